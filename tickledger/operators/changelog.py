@@ -7,6 +7,7 @@ all views agree at every tick, the input position shows every intermediate state
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +24,30 @@ COPIES_PER_STEP = 1_000_000
 # ---------------------------------------------------------------- account steps by tick
 
 
-def event_time_steps(tx: DataFrame) -> tuple[DataFrame, Layout]:
-    """What each account gained on each side at each event time, with its scan layout.
+@dataclass(frozen=True)
+class Steps:
+    """Rows (account, tick, *SIDES), one per account and tick, and how to scan them."""
+
+    rows: DataFrame
+    layout: Layout
+
+    def running(self) -> DataFrame:
+        """The steps with the running value of each side."""
+        folds = {f"run_{c}": Fold("sum", c) for c in SIDES}
+        return prefix_scan(self.rows, folds, keys=["account"], order=["tick"], layout=self.layout)
+
+
+def event_time_steps(tx: DataFrame) -> Steps:
+    """What each account gained on each side at each event time.
 
     Pre-aggregated to one row per (account, tick) before anything is ordered.
     """
     ticks = two_sided_legs(tx, event_tick(), event_tick())
     steps = pin(ticks.groupBy("account", "tick").agg(*[F.sum(c).alias(c) for c in SIDES]), "account-steps")
-    return steps, plan_layout(steps, "tick", ["account"])
+    return Steps(steps, plan_layout(steps, "tick", ["account"]))
 
 
-def arrival_steps(tx: DataFrame) -> tuple[DataFrame, Layout]:
+def arrival_steps(tx: DataFrame) -> Steps:
     """Both legs of a transfer at its input position, one row per (account, position)."""
     amount, one, nothing = F.col("amount"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 
@@ -53,25 +67,19 @@ def arrival_steps(tx: DataFrame) -> tuple[DataFrame, Layout]:
     )
     same = F.col("from_account") == F.col("to_account")
     steps = tx.select(F.explode(F.when(same, within).otherwise(between)).alias("leg")).select("leg.*")
-    return steps, plan_layout(steps, "tick", ["account"])
+    return Steps(steps, plan_layout(steps, "tick", ["account"]))
 
 
-def eager_steps(tx: DataFrame) -> tuple[DataFrame, Layout]:
+def eager_steps(tx: DataFrame) -> Steps:
     """The two legs of a transfer at two ticks: credit at 2*position, debit right after."""
     credit_tick = F.col("arrival") * 2
     steps = two_sided_legs(tx, credit_tick, credit_tick + 1)
-    return steps, plan_layout(steps, "tick", ["account"])
+    return Steps(steps, plan_layout(steps, "tick", ["account"]))
 
 
 # ---------------------------------------------------------------- views over account steps
 
 
-def running_sides(steps: DataFrame, layout: Layout) -> DataFrame:
-    """Account steps with the running value of each side."""
-    folds = {f"run_{c}": Fold("sum", c) for c in SIDES}
-    return prefix_scan(steps, folds, keys=["account"], order=["tick"], layout=layout)
-
-
 def _entries(rows: DataFrame, keys: Sequence[str], value: str, old: Column, old_on: Column, new: Column, new_on: Column):
     """Replacement entries: the old row leaves (-1) and the new one enters (+1) where it changed."""
     columns = [F.col("tick"), *[F.col(k) for k in keys]]
@@ -86,9 +94,9 @@ def _before(column: str) -> Column:
     return F.col(f"run_{column}") - F.col(column)
 
 
-def side_changelog(running: DataFrame, side: str, name: str) -> DataFrame:
+def side_changelog(steps: Steps, side: str, name: str) -> DataFrame:
     """`credits` or `debits`: the running sum of one side."""
-    rows = running.where(F.col(f"{side}_rows") > 0)
+    rows = steps.running().where(F.col(f"{side}_rows") > 0)
     return _entries(
         rows,
         ["account"],
@@ -100,12 +108,12 @@ def side_changelog(running: DataFrame, side: str, name: str) -> DataFrame:
     )
 
 
-def credits_changelog(running: DataFrame) -> DataFrame:
-    return side_changelog(running, "credit", "credits")
+def credits_changelog(steps: Steps) -> DataFrame:
+    return side_changelog(steps, "credit", "credits")
 
 
-def debits_changelog(running: DataFrame) -> DataFrame:
-    return side_changelog(running, "debit", "debits")
+def debits_changelog(steps: Steps) -> DataFrame:
+    return side_changelog(steps, "debit", "debits")
 
 
 def _balance_state() -> tuple[Column, Column, Column, Column]:
@@ -114,17 +122,17 @@ def _balance_state() -> tuple[Column, Column, Column, Column]:
     return _before("credit") - _before("debit"), old_on, F.col("run_credit") - F.col("run_debit"), new_on
 
 
-def balance_changelog(running: DataFrame) -> DataFrame:
+def balance_changelog(steps: Steps) -> DataFrame:
     """credits - debits; an account enters once it was seen on both sides."""
     old, old_on, new, new_on = _balance_state()
-    return _entries(running, ["account"], "balance", old, old_on, new, new_on)
+    return _entries(steps.running(), ["account"], "balance", old, old_on, new, new_on)
 
 
-def balance_changes_per_tick(running: DataFrame) -> DataFrame:
+def balance_changes_per_tick(steps: Steps) -> DataFrame:
     """How each tick with a changed balance moves the grand total and the number of balances."""
     old, old_on, new, new_on = _balance_state()
     nothing = F.lit(0).cast("bigint")
-    moved = running.where((old_on != new_on) | (new_on & (old != new))).select(
+    moved = steps.running().where((old_on != new_on) | (new_on & (old != new))).select(
         "tick",
         (F.when(new_on, new).otherwise(nothing) - F.when(old_on, old).otherwise(nothing)).alias("delta"),
         (new_on.cast("bigint") - old_on.cast("bigint")).alias("accounts"),
@@ -138,23 +146,29 @@ def running_total(deltas: DataFrame, layout: Layout | None = None) -> DataFrame:
     return prefix_scan(deltas, {"total": Fold("sum", "delta")}, order=["tick"], layout=layout)
 
 
-def total_by_tick(running: DataFrame, layout: Layout | None = None) -> DataFrame:
+def total_by_tick(steps: Steps) -> DataFrame:
     """The grand total after every tick that changed a balance: (tick, total)."""
-    return running_total(balance_changes_per_tick(running), layout).select("tick", "total")
+    return running_total(balance_changes_per_tick(steps), steps.layout.unkeyed()).select("tick", "total")
 
 
-def total_changelog(running: DataFrame, layout: Layout | None = None) -> DataFrame:
+def total_changelog(steps: Steps) -> DataFrame:
     """The grand total as a changelog; a tick that leaves it as it was writes nothing."""
-    per_tick = balance_changes_per_tick(running)
-    layout = layout or plan_layout(per_tick, "tick")
     folds = {"total": Fold("sum", "delta"), "run_accounts": Fold("sum", "accounts")}
-    scanned = prefix_scan(per_tick, folds, order=["tick"], layout=layout)
+    scanned = prefix_scan(
+        balance_changes_per_tick(steps), folds, order=["tick"], layout=steps.layout.unkeyed()
+    )
     old_on = (F.col("run_accounts") - F.col("accounts")) > 0
     return _entries(
         scanned, [], "total", F.col("total") - F.col("delta"), old_on, F.col("total"), F.col("run_accounts") > 0
     )
 
 
+def union_total_by_tick(steps: Steps) -> DataFrame:
+    """The grand total over every account, one-sided ones included."""
+    deltas = steps.rows.groupBy("tick").agg(F.sum(F.col("credit") - F.col("debit")).alias("delta"))
+    return running_total(deltas, steps.layout.unkeyed()).select("tick", "total")
+
+
 def self_join_changelog(tx: DataFrame) -> DataFrame:
     """Left self-join on id, fed eagerly: the left input at 2*position, the right one after.
 

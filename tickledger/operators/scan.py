@@ -18,6 +18,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,12 +46,16 @@ class Fold:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where to cut. `column` must not decrease along the scan's order."""
+    """Where to cut: `splits` for the hot keys, `overall` for a scan over all rows."""
 
     column: str
-    splits: tuple[float, ...] = ()
     keys: tuple[str, ...] = ()
     hot: DataFrame | None = None
+    splits: tuple[float, ...] = ()
+    overall: tuple[float, ...] = ()
+
+    def unkeyed(self) -> Layout:
+        return Layout(self.column, splits=self.overall)
 
 
 def plan_layout(
@@ -72,7 +77,7 @@ def plan_layout(
     keys = tuple(keys)
     total = stats.count()
     if total == 0:
-        return Layout(column, keys=keys)
+        return Layout(column, keys)
     if buckets is None:
         floor = BUCKETS_PER_CORE * spark.sparkContext.defaultParallelism
         buckets = min(max(floor, math.ceil(total / rows_per_bucket)), MAX_BUCKETS)
@@ -80,20 +85,24 @@ def plan_layout(
     share = min(1.0, SAMPLES_PER_BUCKET * buckets / total)
     narrow = stats.select(*keys, F.col(column).cast("double").alias(POSITION))
     sample = (narrow.sample(share, seed=7) if share < 1.0 else narrow).toPandas()
-    hot = None
-    if keys:
-        counts = sample.groupby(list(keys)).size()
-        found = counts[counts >= max(FEWEST_SAMPLES_OF_HOT_KEY, len(sample) / (2 * buckets))]
-        if found.empty:
-            return Layout(column, keys=keys)
-        hot_keys = found.index.to_frame(index=False)
-        hot = spark.createDataFrame(hot_keys, stats.select(*keys).schema)
-        sample = sample.merge(hot_keys, on=list(keys))
-    at = sample[POSITION].to_numpy(dtype="float64")
-    if at.size == 0:
-        return Layout(column, keys=keys)
-    splits = np.unique(np.quantile(at, np.arange(1, buckets) / buckets, method="lower"))
-    return Layout(column, tuple(float(s) for s in splits), keys, hot)
+    overall = _boundaries(sample[POSITION], buckets)
+    if not keys:
+        return Layout(column, splits=overall)
+    counts = sample.groupby(list(keys)).size()
+    found = counts[counts >= max(FEWEST_SAMPLES_OF_HOT_KEY, len(sample) / (2 * buckets))]
+    if found.empty:
+        return Layout(column, keys=keys, overall=overall)
+    hot_keys = found.index.to_frame(index=False)
+    hot = spark.createDataFrame(hot_keys, stats.select(*keys).schema)
+    splits = _boundaries(sample.merge(hot_keys, on=list(keys))[POSITION], buckets)
+    return Layout(column, keys, hot, splits, overall)
+
+
+def _boundaries(sample: pd.Series, buckets: int) -> tuple[float, ...]:
+    if sample.empty:
+        return ()
+    cuts = np.unique(np.quantile(sample.to_numpy(dtype="float64"), np.arange(1, buckets) / buckets, method="lower"))
+    return tuple(float(cut) for cut in cuts)
 
 
 def _bucketed(df: DataFrame, layout: Layout) -> DataFrame:
@@ -168,10 +177,9 @@ def prefix_scan(
         whole = [_merge(fold.op, F.col(name), None).alias(name) for name, fold in folds.items()]
         return local.select(*columns, *whole)
 
-    totals = (
-        source.where(F.col(BUCKET) != COLD_BUCKET)
-        .groupBy(*place)
-        .agg(*[_total(fold, order, descending).alias(name) for name, fold in folds.items()])
+    divided = source.where(F.col(BUCKET) != COLD_BUCKET) if keys else source
+    totals = divided.groupBy(*place).agg(
+        *[_total(fold, order, descending).alias(name) for name, fold in folds.items()]
     )
     step = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     carry = totals.select(
