@@ -29,6 +29,7 @@ HOT = "__hot"
 COLD_BUCKET = -1
 
 ROWS_PER_BUCKET = 1_000_000
+FEWEST_ROWS_TO_SPLIT = 4096
 MAX_BUCKETS = 32_768
 BUCKETS_PER_CORE = 4
 SAMPLES_PER_BUCKET = 32
@@ -76,7 +77,7 @@ def plan_layout(
     spark = stats.sparkSession
     keys = tuple(keys)
     total = stats.count()
-    if total == 0:
+    if total < (FEWEST_ROWS_TO_SPLIT if buckets is None else 1):
         return Layout(column, keys)
     if buckets is None:
         floor = BUCKETS_PER_CORE * spark.sparkContext.defaultParallelism

@@ -81,7 +81,7 @@ def json_fields(spark, folder):
     """SELECT event_id, CAST(event_id AS INTEGER) AS as_int, CAST(event_id AS VARCHAR) AS as_text,
        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS as_double,
        CAST(CAST(ts AS VARCHAR) AS TIMESTAMP) AS as_timestamp,
-       CAST(CAST(epoch_us(ts) AS DECIMAL(20, 0)) * 10000 AS BIGINT) AS scaled,
+       epoch_us(ts) // 100 AS scaled,
        TRY_CAST(event_type AS INTEGER) AS lenient FROM events""",
 )
 def casts(spark, folder):
@@ -94,7 +94,7 @@ def casts(spark, folder):
         F.col("event_id").cast("string").alias("as_text"),
         F.get_json_object("props", "$.k").cast("double").alias("as_double"),
         at.cast("string").cast("timestamp").alias("as_timestamp"),
-        (F.unix_micros(at).cast("decimal(20,0)") * 10000).cast("bigint").alias("scaled"),
+        F.floor(F.unix_micros(at).cast("decimal(20,0)") / 1_000_000 * 10_000).cast("bigint").alias("scaled"),
         F.col("event_type").try_cast("int").alias("lenient"),
     )
 

@@ -67,15 +67,13 @@ NET = "SELECT tick, account, CAST(sum(c - d) AS BIGINT) AS net FROM legs GROUP B
 @plan("stream_net_per_tick", sql(TX, EVENT_LEGS, NET))
 def stream_net_per_tick(spark, folder):
     closed = publish.closed_stream(live_transfers(spark, folder))
-    nets = _published(views.net_per_tick(closed, DELAY, GRANULE), "net-per-tick")
-    return nets.where(F.col("account") >= 0)
+    return _published(views.net_per_tick(closed, DELAY, GRANULE), "net-per-tick")
 
 
 @plan("stream_net_per_tick_replay", sql(TX, EVENT_LEGS, NET))
 def stream_net_per_tick_replay(spark, folder):
     replayed = replayed_transfers(spark, folder)
-    nets = _published(views.net_per_tick(replayed, PATIENCE, GRANULE), "net-per-tick")
-    return nets.where(F.col("account") >= 0)
+    return _published(views.net_per_tick(replayed, PATIENCE, GRANULE), "net-per-tick")
 
 
 @plan(
@@ -106,7 +104,7 @@ def stream_balance_per_tick_join(spark, folder):
     credited = publish.closed_stream(live_transfers(spark, folder))
     debited = publish.closed_stream(live_transfers(spark, folder))
     joined = views.balance_per_tick_by_join(credited, debited, DELAY, GRANULE)
-    return _published(joined, "balance-per-tick").where(F.col("account") >= 0)
+    return _published(joined, "balance-per-tick")
 
 
 @plan("stream_outer_join_with_time", sql(TX, PAIRS_OUT.format(right="tx")))
@@ -155,7 +153,7 @@ def _stream_history(view: str, log: tuple[str, ...], out: str) -> None:
         """Written by one streaming query, batch by batch, together with the other views."""
         path = fresh_path(spark, "histories")
         steps = views.account_steps(replayed_transfers(spark, folder), PATIENCE, GRANULE)
-        publish.publish_changelogs(steps.where(F.col("account") >= 0), path, f"{path}/checkpoint")
+        publish.publish_changelogs(steps, path, f"{path}/checkpoint")
         return publish.read_batches(spark, f"{path}/{view}").drop("batch")
 
 
@@ -196,5 +194,5 @@ def stream_json_lines(spark, folder):
 def stream_net_messages(spark, folder):
     """A closed view as JSON messages."""
     closed = publish.closed_stream(live_transfers(spark, folder))
-    nets = views.net_per_tick(closed, DELAY, GRANULE).where(F.col("account") >= 0)
+    nets = views.net_per_tick(closed, DELAY, GRANULE)
     return _published(render.json_messages(nets, "account"), "net-messages")

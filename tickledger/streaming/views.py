@@ -25,14 +25,18 @@ def _tick_window(granule: str) -> Column:
     return F.window("ts", granule)
 
 
+def _live_legs(tx: DataFrame, delay: timedelta) -> DataFrame:
+    legs = two_sided_legs(tx, F.col("ts"), F.col("ts")).withColumnRenamed("tick", "ts")
+    return watermarked(legs, delay)
+
+
 def account_steps(tx: DataFrame, delay: timedelta, granule: str) -> DataFrame:
     """What each account gained on each side at each closed tick (append).
 
     `granule` is the resolution of the event times, so one window is one tick. Published
     once, this table is all that the cumulative views need.
     """
-    legs = two_sided_legs(watermarked(tx, delay), F.col("ts")).withColumnRenamed("tick", "ts")
-    grouped = legs.groupBy(_tick_window(granule).alias("tick"), "account").agg(*[F.sum(c).alias(c) for c in SIDES])
+    grouped = _live_legs(tx, delay).groupBy(_tick_window(granule).alias("tick"), "account").agg(*[F.sum(c).alias(c) for c in SIDES])
     return grouped.select("account", F.unix_micros("tick.start").alias("tick"), *SIDES)
 
 
@@ -44,8 +48,7 @@ def net_per_tick(tx: DataFrame, delay: timedelta, granule: str) -> DataFrame:
 
 def total_per_tick(tx: DataFrame, delay: timedelta, granule: str) -> DataFrame:
     """Sum over accounts of a closed tick's net changes: two chained aggregates (append)."""
-    legs = two_sided_legs(watermarked(tx, delay), F.col("ts")).withColumnRenamed("tick", "ts")
-    accounts = legs.groupBy(_tick_window(granule).alias("tick"), "account").agg(
+    accounts = _live_legs(tx, delay).groupBy(_tick_window(granule).alias("tick"), "account").agg(
         F.sum(F.col("credit") - F.col("debit")).alias("net")
     )
     totals = accounts.groupBy("tick").agg(F.sum("net").alias("total"), F.count(F.lit(1)).alias("accounts"))
