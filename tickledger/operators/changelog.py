@@ -31,10 +31,20 @@ class Steps:
     rows: DataFrame
     layout: Layout
 
-    def running(self) -> DataFrame:
-        """The steps with the running value of each side."""
-        folds = {f"run_{c}": Fold("sum", c) for c in SIDES}
-        return prefix_scan(self.rows, folds, keys=["account"], order=["tick"], layout=self.layout)
+    def running(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """`rows` with the running value of `columns` per account, as run_<column>."""
+        folds = {f"run_{c}": Fold("sum", c) for c in columns}
+        return prefix_scan(rows, folds, keys=["account"], order=["tick"], layout=self.layout)
+
+    def running_side(self, side: str) -> DataFrame:
+        rows = self.rows.where(F.col(f"{side}_rows") > 0).select("account", "tick", side, f"{side}_rows")
+        return self.running(rows, [side, f"{side}_rows"])
+
+    def running_balance(self) -> DataFrame:
+        net = (F.col("credit") - F.col("debit")).alias("net")
+        return self.running(
+            self.rows.select("account", "tick", net, "credit_rows", "debit_rows"), ["net", "credit_rows", "debit_rows"]
+        )
 
 
 def event_time_steps(tx: DataFrame) -> Steps:
@@ -96,9 +106,8 @@ def _before(column: str) -> Column:
 
 def side_changelog(steps: Steps, side: str, name: str) -> DataFrame:
     """`credits` or `debits`: the running sum of one side."""
-    rows = steps.running().where(F.col(f"{side}_rows") > 0)
     return _entries(
-        rows,
+        steps.running_side(side),
         ["account"],
         name,
         _before(side),
@@ -119,20 +128,20 @@ def debits_changelog(steps: Steps) -> DataFrame:
 def _balance_state() -> tuple[Column, Column, Column, Column]:
     old_on = (_before("credit_rows") > 0) & (_before("debit_rows") > 0)
     new_on = (F.col("run_credit_rows") > 0) & (F.col("run_debit_rows") > 0)
-    return _before("credit") - _before("debit"), old_on, F.col("run_credit") - F.col("run_debit"), new_on
+    return _before("net"), old_on, F.col("run_net"), new_on
 
 
 def balance_changelog(steps: Steps) -> DataFrame:
     """credits - debits; an account enters once it was seen on both sides."""
     old, old_on, new, new_on = _balance_state()
-    return _entries(steps.running(), ["account"], "balance", old, old_on, new, new_on)
+    return _entries(steps.running_balance(), ["account"], "balance", old, old_on, new, new_on)
 
 
 def balance_changes_per_tick(steps: Steps) -> DataFrame:
     """How each tick with a changed balance moves the grand total and the number of balances."""
     old, old_on, new, new_on = _balance_state()
     nothing = F.lit(0).cast("bigint")
-    moved = steps.running().where((old_on != new_on) | (new_on & (old != new))).select(
+    moved = steps.running_balance().where((old_on != new_on) | (new_on & (old != new))).select(
         "tick",
         (F.when(new_on, new).otherwise(nothing) - F.when(old_on, old).otherwise(nothing)).alias("delta"),
         (new_on.cast("bigint") - old_on.cast("bigint")).alias("accounts"),
@@ -304,9 +313,9 @@ def join_changelogs(
         entered = F.col(f"{mark}_diff") > 0
         value, on = F.max(F.when(entered, F.col(f"{mark}_value"))), F.max(entered)
         after[mark] = F.when(on.isNotNull(), F.struct(on.alias("on"), value.alias("value")))
-        folds[f"{mark}_new"] = Fold("last", mark)
         folds[f"{mark}_old"] = Fold("last", mark, exclusive=True)
     swept = prefix_scan(entries, folds, keys=[key], order=["tick"], layout=layout, combine=after)
+    swept = swept.withColumns({f"{mark}_new": F.coalesce(mark, f"{mark}_old") for mark in ("l", "r")})
 
     def state(age: str) -> tuple[Column, Column]:
         l_on, r_on = (F.coalesce(F.col(f"{mark}_{age}.on"), F.lit(False)) for mark in ("l", "r"))

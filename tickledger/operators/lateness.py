@@ -56,13 +56,19 @@ def least_at_or_after(marks: DataFrame, probes: DataFrame, value: str, *, strict
     return scanned.where(F.col("rank") == probe_rank).select("at", F.col("least").alias(value))
 
 
-def accepted(tx: DataFrame, delay: timedelta) -> DataFrame:
-    """The rows `late_split` keeps, whole, without sorting the input.
+def accepted(tx: DataFrame, delay: timedelta, *, fine_ticks: bool = False) -> DataFrame:
+    """The rows `late_split` keeps, whole.
 
     A row is late exactly when some row with `ts' > ts + delay` arrived before it. The
     earliest such arrival depends on `ts` alone, so it is worked out per distinct event
-    time and looked up by `ts`: the input itself is only scanned.
+    time and looked up by `ts`: the input itself is only scanned, not sorted. Where almost
+    every row has its own event time that table is as long as the input; `fine_ticks`
+    takes the running maximum over the rows themselves instead.
     """
+    if fine_ticks:
+        layout = plan_layout(tx, "arrival")
+        scanned = prefix_scan(tx, {"__high": Fold("max", "ts")}, order=["arrival", "id"], layout=layout)
+        return scanned.where(event_tick() >= event_tick("__high") - micros(delay)).select(*tx.columns)
     firsts = pin(first_arrivals(tx), "first-arrivals")
     cutoffs = least_at_or_after(
         firsts.select(F.col("tick").alias("at"), "first_arrival"),

@@ -119,17 +119,20 @@ def gen_simplified(spark, folder):
     return generate.simplified(events.select(F.col("event_id").alias("id")), F.lit(events.count()))
 
 
-def _draw(part: int) -> str:
-    return f"CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), {8 * part + 1}, 8) AS BIGINT)"
+def _drawn(bound: int, part: int) -> str:
+    x = f"(event_id + {part + 1} * 1000003) % 2147483647"
+    for step in range(4):
+        x = f"list_transform([{x}], lambda x: (x * (x + 40503) + 12345 * {step + 1}) % 2147483647)[1]"
+    return f"{x} * {bound} // 2147483647"
 
 
 @plan(
     "gen_original",
     f"""WITH sent AS (
-  SELECT event_id AS id, CAST(({_draw(0)} * 10) >> 32 AS INTEGER) AS from_account,
-         CAST(({_draw(1)} * 10) >> 32 AS INTEGER) AS to_account, CAST(1 AS BIGINT) AS amount,
+  SELECT event_id AS id, CAST({_drawn(10, 0)} AS INTEGER) AS from_account,
+         CAST({_drawn(10, 1)} AS INTEGER) AS to_account, CAST(1 AS BIGINT) AS amount,
          TIMESTAMP '2021-01-01 00:00:00' + to_seconds({GENERATED_SECOND}) AS ts,
-         {GENERATED_SECOND} * 1000000 + (({_draw(2)} * 10000000) >> 32) AS arrives_at FROM events)
+         {GENERATED_SECOND} * 1000000 + ({_drawn(10_000_000, 2)}) AS arrives_at FROM events)
 SELECT id, from_account, to_account, amount, ts, row_number() OVER (ORDER BY arrives_at, id) - 1 AS arrival FROM sent""",
 )
 def gen_original(spark, folder):

@@ -1,7 +1,7 @@
 """The two transfer data sets, derived row by row from a table of ids.
 
-Both spread their rows evenly over one minute in whole seconds. The random draws come
-from a hash of the id, so a retried task or another partitioning gives the same rows.
+Both spread their rows evenly over one minute in whole seconds. The random draws are
+computed from the id, so a retried task or another partitioning gives the same rows.
 """
 
 from __future__ import annotations
@@ -18,9 +18,16 @@ MAX_DELAY_MICROS = 10_000_000
 START = "2021-01-01 00:00:00"
 AMOUNT = 1
 
+PRIME = 2**31 - 1
+ROUNDS = 4
+
+
+def _div(whole: Column, by: Column) -> Column:
+    return F.call_function("div", whole, by)
+
 
 def _second(n: Column) -> Column:
-    return F.floor(F.col("id") * SPAN_SECONDS / n).cast("bigint")
+    return _div(F.col("id") * SPAN_SECONDS, n)
 
 
 def _timestamp(second: Column) -> Column:
@@ -41,12 +48,15 @@ def simplified(ids: DataFrame, n: Column) -> DataFrame:
 
 
 def _draw(part: int) -> Column:
-    """A uniform 32-bit number: the part-th eight hex digits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.col("id").cast("string")), 8 * part + 1, 8), 16, 10).cast("bigint")
+    """The part-th number drawn for an id, uniform below PRIME: a few rounds of a quadratic map."""
+    x = (F.col("id") + (part + 1) * 1_000_003) % PRIME
+    for step in range(ROUNDS):
+        x = (x * (x + 40_503) + 12_345 * (step + 1)) % PRIME
+    return x
 
 
 def _below(bound: int, part: int) -> Column:
-    return F.shiftright(_draw(part) * bound, 32)
+    return _div(_draw(part) * bound, F.lit(PRIME))
 
 
 def original(ids: DataFrame, n: Column) -> DataFrame:
@@ -66,7 +76,7 @@ def original(ids: DataFrame, n: Column) -> DataFrame:
         (F.col("second") * 1_000_000 + _below(MAX_DELAY_MICROS, 2)).alias("arrives_at"),
         F.lit(1).cast("bigint").alias("one"),
     )
-    placed = prefix_scan(
-        sent, {"position": Fold("sum", "one")}, order=["arrives_at", "id"], layout=plan_layout(sent, "arrives_at")
-    )
+    undelayed = ids.select((F.col("id") * (SPAN_SECONDS * 1e6) / n).cast("bigint").alias("arrives_at"))
+    layout = plan_layout(undelayed, "arrives_at")
+    placed = prefix_scan(sent, {"position": Fold("sum", "one")}, order=["arrives_at", "id"], layout=layout)
     return placed.select("id", "from_account", "to_account", "amount", "ts", (F.col("position") - 1).alias("arrival"))

@@ -14,6 +14,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on (time zone) and let streaming state spill to disk."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return spark
 
 
