@@ -6,7 +6,7 @@ all views agree at every tick, the input position shows every intermediate state
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +26,15 @@ COPIES_PER_STEP = 1_000_000
 
 @dataclass(frozen=True)
 class Steps:
-    """Rows (account, tick, *SIDES), one per account and tick, and how to scan them."""
+    """Rows (account, tick, *SIDES), one per account and tick, and how to scan them.
+
+    `per_tick` is the most rows one tick can have, where that is known: with one there is
+    nothing to add up per tick, with two it does not pay to do so before a shuffle.
+    """
 
     rows: DataFrame
     layout: Layout
+    per_tick: int | None = None
 
     def running(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         """`rows` with the running value of `columns` per account, as run_<column>."""
@@ -77,14 +82,14 @@ def arrival_steps(tx: DataFrame) -> Steps:
     )
     same = F.col("from_account") == F.col("to_account")
     steps = tx.select(F.explode(F.when(same, within).otherwise(between)).alias("leg")).select("leg.*")
-    return Steps(steps, plan_layout(steps, "tick", ["account"]))
+    return Steps(steps, plan_layout(steps, "tick", ["account"]), per_tick=2)
 
 
 def eager_steps(tx: DataFrame) -> Steps:
     """The two legs of a transfer at two ticks: credit at 2*position, debit right after."""
     credit_tick = F.col("arrival") * 2
     steps = two_sided_legs(tx, credit_tick, credit_tick + 1)
-    return Steps(steps, plan_layout(steps, "tick", ["account"]))
+    return Steps(steps, plan_layout(steps, "tick", ["account"]), per_tick=1)
 
 
 # ---------------------------------------------------------------- views over account steps
@@ -137,16 +142,29 @@ def balance_changelog(steps: Steps) -> DataFrame:
     return _entries(steps.running_balance(), ["account"], "balance", old, old_on, new, new_on)
 
 
-def balance_changes_per_tick(steps: Steps) -> DataFrame:
-    """How each tick with a changed balance moves the grand total and the number of balances."""
+def balance_moves(steps: Steps) -> DataFrame:
+    """How a changed balance moves the grand total and the number of balances: (tick, delta, accounts)."""
     old, old_on, new, new_on = _balance_state()
     nothing = F.lit(0).cast("bigint")
-    moved = steps.running_balance().where((old_on != new_on) | (new_on & (old != new))).select(
+    changed = (old_on != new_on) | (new_on & (old != new))
+    return steps.running_balance().where(changed).select(
         "tick",
         (F.when(new_on, new).otherwise(nothing) - F.when(old_on, old).otherwise(nothing)).alias("delta"),
         (new_on.cast("bigint") - old_on.cast("bigint")).alias("accounts"),
     )
-    return moved.groupBy("tick").agg(F.sum("delta").alias("delta"), F.sum("accounts").alias("accounts"))
+
+
+def _running_per_tick(steps: Steps, moves: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Moves added up per tick, and the running sums of `columns` (name -> column)."""
+    sums = {c: F.sum(c) for c in columns.values()}
+    folds = {name: Fold("sum", c) for name, c in columns.items()}
+    layout = steps.layout.unkeyed()
+    if steps.per_tick == 1:
+        return prefix_scan(moves, folds, order=["tick"], layout=layout, costly=True)
+    if steps.per_tick == 2:
+        return prefix_scan(moves, folds, order=["tick"], layout=layout, combine=sums)
+    per_tick = moves.groupBy("tick").agg(*[total.alias(c) for c, total in sums.items()])
+    return prefix_scan(per_tick, folds, order=["tick"], layout=layout)
 
 
 def running_total(deltas: DataFrame, layout: Layout | None = None) -> DataFrame:
@@ -157,15 +175,12 @@ def running_total(deltas: DataFrame, layout: Layout | None = None) -> DataFrame:
 
 def total_by_tick(steps: Steps) -> DataFrame:
     """The grand total after every tick that changed a balance: (tick, total)."""
-    return running_total(balance_changes_per_tick(steps), steps.layout.unkeyed()).select("tick", "total")
+    return _running_per_tick(steps, balance_moves(steps), {"total": "delta"}).select("tick", "total")
 
 
 def total_changelog(steps: Steps) -> DataFrame:
     """The grand total as a changelog; a tick that leaves it as it was writes nothing."""
-    folds = {"total": Fold("sum", "delta"), "run_accounts": Fold("sum", "accounts")}
-    scanned = prefix_scan(
-        balance_changes_per_tick(steps), folds, order=["tick"], layout=steps.layout.unkeyed()
-    )
+    scanned = _running_per_tick(steps, balance_moves(steps), {"total": "delta", "run_accounts": "accounts"})
     old_on = (F.col("run_accounts") - F.col("accounts")) > 0
     return _entries(
         scanned, [], "total", F.col("total") - F.col("delta"), old_on, F.col("total"), F.col("run_accounts") > 0
@@ -174,8 +189,8 @@ def total_changelog(steps: Steps) -> DataFrame:
 
 def union_total_by_tick(steps: Steps) -> DataFrame:
     """The grand total over every account, one-sided ones included."""
-    deltas = steps.rows.groupBy("tick").agg(F.sum(F.col("credit") - F.col("debit")).alias("delta"))
-    return running_total(deltas, steps.layout.unkeyed()).select("tick", "total")
+    moves = steps.rows.select("tick", (F.col("credit") - F.col("debit")).alias("delta"))
+    return _running_per_tick(steps, moves, {"total": "delta"}).select("tick", "total")
 
 
 def self_join_changelog(tx: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ COLD_BUCKET = -1
 ROWS_PER_BUCKET = 1_000_000
 FEWEST_ROWS_TO_SPLIT = 4096
 MAX_BUCKETS = 32_768
-BUCKETS_PER_CORE = 4
+BUCKETS_PER_CORE = 16
 SAMPLES_PER_BUCKET = 32
 FEWEST_SAMPLES_OF_HOT_KEY = 8
 
@@ -85,7 +86,7 @@ def plan_layout(
 
     share = min(1.0, SAMPLES_PER_BUCKET * buckets / total)
     narrow = stats.select(*keys, F.col(column).cast("double").alias(POSITION))
-    sample = (narrow.sample(share, seed=7) if share < 1.0 else narrow).toPandas()
+    sample = (narrow.sample(share, seed=7) if share < 1.0 else narrow).toArrow().to_pandas()
     overall = _boundaries(sample[POSITION], buckets)
     if not keys:
         return Layout(column, splits=overall)
@@ -94,7 +95,7 @@ def plan_layout(
     if found.empty:
         return Layout(column, keys=keys, overall=overall)
     hot_keys = found.index.to_frame(index=False)
-    hot = spark.createDataFrame(hot_keys, stats.select(*keys).schema)
+    hot = spark.createDataFrame(pa.Table.from_pandas(hot_keys, preserve_index=False), stats.select(*keys).schema)
     splits = _boundaries(sample.merge(hot_keys, on=list(keys))[POSITION], buckets)
     return Layout(column, keys, hot, splits, overall)
 
@@ -155,21 +156,25 @@ def prefix_scan(
     keys: Sequence[str] = (),
     descending: bool = False,
     combine: Mapping[str, Column] | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """One running column per fold, per `keys` (none = over everything) by `order`.
 
     Without `combine` the rows of `df` are kept as they are. With it, rows equal in keys and
     order are first aggregated to these columns, on the partitioning the scan needs anyway.
-    `keys` must not be NULL; the layout column must be one of `order`.
+    `costly` rows (of keys, order and fold columns only) are computed once: the bucket totals
+    are then read back from the shuffle and not summed ahead of it in a second pass. `keys`
+    must not be NULL; the layout column must be one of `order`.
     """
     axis = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     split = bool(layout.splits)
     source = _bucketed(df, layout) if split else df.withColumn(BUCKET, F.lit(COLD_BUCKET))
     place = [*keys, BUCKET] if split or not keys else list(keys)
     columns = df.columns
+    if combine is not None or (costly and split):
+        source = source.repartition(*[F.col(c) for c in place])
     if combine is not None:
-        placed = source.repartition(*[F.col(c) for c in place])
-        source = placed.groupBy(BUCKET, *keys, *order).agg(*[c.alias(name) for name, c in combine.items()])
+        source = source.groupBy(BUCKET, *keys, *order).agg(*[c.alias(name) for name, c in combine.items()])
         columns = [*keys, *order, *combine]
     window = Window.partitionBy(*place).orderBy(*axis)
 
@@ -180,8 +185,12 @@ def prefix_scan(
 
     divided = source.where(F.col(BUCKET) != COLD_BUCKET) if keys else source
     totals = divided.groupBy(*place).agg(
-        *[_total(fold, order, descending).alias(name) for name, fold in folds.items()]
+        *[_total(fold, order, descending).alias(name) for name, fold in folds.items()],
+        F.max(order[0]).alias(POSITION),
     )
+    if costly:
+        # Asking for the position keeps it in this branch, so that both read one shuffle.
+        totals = totals.where(F.col(POSITION).isNotNull())
     step = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
     carry = totals.select(
         *place,
