@@ -137,7 +137,7 @@ def test_retractions_give_the_latest_rows(spark):
         want[account] = want.get(account, 0) + amount
     changes = C.retractions(upserts, "key", "arrival", ["to_account", "amount"])
     assert dict(rows(C.weighted_sum(changes, "to_account", "amount", "s"))) == want
-    assert rows(C.latest(upserts, "key", ["arrival"]).select("key", "to_account", "amount")) == sorted(
+    assert rows(C.latest(upserts, "key", "arrival").select("key", "to_account", "amount")) == sorted(
         (k, a, m) for k, (a, m) in newest.items()
     )
 

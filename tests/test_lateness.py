@@ -56,6 +56,20 @@ def test_periodic_watermark_never_steps_back(spark, jumbled):
     assert got == want
 
 
+def test_row_count_starts_anew_in_each_file(spark, jumbled):
+    tx = ledger(spark, jumbled).withColumn("file", F.floor(F.col("arrival") / 250).cast("int"))
+    got = rows(lateness.periodic_watermark_per_file(tx, 7, timedelta(seconds=5), "file"))
+    ordered = sorted(jumbled, key=lambda r: r[5])
+    want, high = [], None
+    for file in range(3):
+        part = ordered[250 * file : 250 * (file + 1)]
+        for n in range(7, len(part) + 1, 7):
+            mark = tick(part[n - 1][4] - 5)
+            high = mark if high is None else max(high, mark)
+            want.append((file, n, high))
+    assert got == want
+
+
 def test_late_refinements_match_a_timer_simulation(spark, jumbled):
     every, delay = 7, 5
     state, fired, high = {}, {}, None

@@ -273,10 +273,14 @@ def retractions(upserts: DataFrame, key: str, order: str, columns: Sequence[str]
     return entries.select("tick", key, "entry.row.*", "entry.diff")
 
 
-def latest(upserts: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Keyed table: the last upsert of each key. Partial maxima are taken before the shuffle."""
-    rows = F.max_by(F.struct(*upserts.columns), F.struct(*order))
-    return upserts.groupBy(F.col(key).alias("__key")).agg(rows.alias("row")).select("row.*")
+def newest_per_key(upserts: DataFrame, order: str) -> list[Column]:
+    """Each column of the row with the highest `order`; fixed-size columns aggregate by hash."""
+    return [F.max_by(c, order).alias(c) for c in upserts.columns]
+
+
+def latest(upserts: DataFrame, key: str, order: str) -> DataFrame:
+    """Keyed table: the last upsert of each key. Maxima are taken before the shuffle."""
+    return upserts.groupBy(F.col(key).alias("__key")).agg(*newest_per_key(upserts, order)).drop("__key")
 
 
 def changelog_of_versions(versions: DataFrame, keys: Sequence[str], value: str, live: Column, tick: str = "tick") -> DataFrame:

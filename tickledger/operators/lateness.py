@@ -98,24 +98,34 @@ def progress_rows(tx: DataFrame, delay: timedelta) -> DataFrame:
     return advanced.select((F.col("tick") - micros(delay)).alias("watermark"))
 
 
-def numbered(tx: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """Input rows with their 1-based line number."""
-    layout = layout or plan_layout(tx, "arrival")
+def numbered(tx: DataFrame, layout: Layout | None = None, per: str | None = None) -> DataFrame:
+    """Input rows with their 1-based line number, counted over all input or `per` file."""
+    keys = [] if per is None else [per]
+    layout = layout or plan_layout(tx, "arrival", keys)
     one = tx.withColumn("__one", F.lit(1).cast("bigint"))
-    return prefix_scan(one, {"row_no": Fold("sum", "__one")}, order=["arrival", "id"], layout=layout).drop("__one")
+    folds = {"row_no": Fold("sum", "__one")}
+    return prefix_scan(one, folds, keys=keys, order=["arrival", "id"], layout=layout).drop("__one")
 
 
 def periodic_watermark(tx: DataFrame, every: int, delay: timedelta, layout: Layout | None = None) -> DataFrame:
     """A watermark after each `every` rows, from the last row seen; it never steps back."""
-    layout = layout or plan_layout(tx, "arrival")
-    marks = pin(
-        numbered(tx.select("id", "ts", "arrival"), layout)
-        .where(F.col("row_no") % every == 0)
-        .select("row_no", (event_tick() - micros(delay)).alias("mark")),
-        "watermark-rows",
-    )
-    scanned = prefix_scan(marks, {"wm": Fold("max", "mark")}, order=["row_no"], layout=plan_layout(marks, "row_no"))
-    return scanned.select("row_no", "wm")
+    marks = _marks(numbered(tx.select("id", "ts", "arrival"), layout), every, delay)
+    return _never_back(marks, "row_no").select("row_no", "wm")
+
+
+def periodic_watermark_per_file(tx: DataFrame, every: int, delay: timedelta, file: str) -> DataFrame:
+    """The same over several files read one after the other: the row count starts anew in each."""
+    lines = numbered(tx.select("id", "ts", "arrival", file), per=file)
+    return _never_back(_marks(lines, every, delay), "arrival").select(file, "row_no", "wm")
+
+
+def _marks(lines: DataFrame, every: int, delay: timedelta) -> DataFrame:
+    mark = (event_tick() - micros(delay)).alias("mark")
+    return pin(lines.where(F.col("row_no") % every == 0).drop("id").select("*", mark).drop("ts"), "watermark-rows")
+
+
+def _never_back(marks: DataFrame, order: str) -> DataFrame:
+    return prefix_scan(marks, {"wm": Fold("max", "mark")}, order=[order], layout=plan_layout(marks, order))
 
 
 def late_refinements(tx: DataFrame, every: int, delay: timedelta) -> DataFrame:

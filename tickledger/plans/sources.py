@@ -45,7 +45,7 @@ QUALIFY row_number() OVER (PARTITION BY key ORDER BY arrival DESC, id DESC) = 1"
     ),
 )
 def tx_upsert(spark, folder):
-    return C.latest(upserts(spark, folder), "key", ["arrival", "id"])
+    return C.latest(upserts(spark, folder), "key", "arrival")
 
 
 @plan(
@@ -67,13 +67,18 @@ def event_epoch(spark, folder):
 
 @plan(
     "json_fields",
-    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text FROM events",
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_dynamic FROM events""",
 )
 def json_fields(spark, folder):
-    """A field of a JSON document by schema and by path."""
+    """A field of a JSON document by schema, by path, and from a document of unknown shape."""
     parsed = F.from_json("props", "k BIGINT", {"mode": "FAILFAST"})
-    events = table(spark, folder, "events")
-    return events.select("event_id", parsed["k"].alias("k"), F.get_json_object("props", "$.k").alias("k_text"))
+    return table(spark, folder, "events").select(
+        "event_id",
+        parsed["k"].alias("k"),
+        F.get_json_object("props", "$.k").alias("k_text"),
+        F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k_dynamic"),
+    )
 
 
 @plan(

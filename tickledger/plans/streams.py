@@ -128,7 +128,7 @@ def stream_accounts_eager(spark, folder):
     replayed = replayed_transfers(spark, folder).where(F.col("id") >= 0)
     publish.publish_states(views.eager_accounts(replayed), f"{path}/states", f"{path}/checkpoint")
     states = publish.read_batches(spark, f"{path}/states")
-    return C.latest(states, "account", ["batch"]).drop("batch")
+    return C.latest(states, "account", "batch").drop("batch")
 
 
 @plan(
@@ -143,8 +143,8 @@ QUALIFY row_number() OVER (PARTITION BY key ORDER BY arrival DESC, id DESC) = 1"
 def stream_upserts(spark, folder):
     path = fresh_path(spark, "upserts")
     rows = replayed_transfers(spark, folder).where(F.col("id") >= 0).withColumn("key", F.col("id") % tables.UPSERT_KEYS)
-    publish.publish_states(views.upserted(rows, "key", ["arrival", "id"]), f"{path}/states", f"{path}/checkpoint")
-    return C.latest(publish.read_batches(spark, f"{path}/states"), "key", ["batch"]).drop("batch")
+    publish.publish_states(views.upserted(rows, "key", "arrival"), f"{path}/states", f"{path}/checkpoint")
+    return C.latest(publish.read_batches(spark, f"{path}/states"), "key", "batch").drop("batch")
 
 
 def _stream_history(view: str, log: tuple[str, ...], out: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickledger.functions.legs import two_sided_legs
-from tickledger.operators.changelog import SIDES
+from tickledger.operators.changelog import SIDES, newest_per_key
 from tickledger.schema import micros
 
 
@@ -76,10 +76,9 @@ def eager_accounts(tx: DataFrame) -> DataFrame:
     return two_sided_legs(tx).groupBy("account").agg(*[F.sum(c).alias(c) for c in SIDES])
 
 
-def upserted(tx: DataFrame, key: str, order: list[str]) -> DataFrame:
+def upserted(tx: DataFrame, key: str, order: str) -> DataFrame:
     """Keyed table: the newest row of every key touched by a batch (update)."""
-    rows = F.max_by(F.struct(*tx.columns), F.struct(*order))
-    return tx.groupBy(F.col(key).alias("table_key")).agg(rows.alias("row")).select("row.*")
+    return tx.groupBy(F.col(key).alias("__key")).agg(*newest_per_key(tx, order)).drop("__key")
 
 
 def self_join_sides(left: DataFrame, right: DataFrame) -> DataFrame:
