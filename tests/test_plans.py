@@ -4,7 +4,7 @@ import re
 from datetime import timedelta
 
 import pytest
-from conftest import at, ledger
+from conftest import at
 from pyspark.sql import functions as F
 
 from tickledger.operators import changelog as C
@@ -37,10 +37,6 @@ def after_run(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def count(plan, node):
-    return len(re.findall(rf"(?<!Reused)(?<!Broadcast)\b{node}\b", plan))
-
-
 def test_balance_is_one_scan_and_one_shuffle(stored):
     plan = before_run(V.balance(stored))
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
@@ -65,6 +61,18 @@ def test_late_rule_only_scans_the_input(stored):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_late_rule_without_broadcast(spark, stored, shuffled_joins):
+    kept = lateness.accepted(stored, timedelta(seconds=5))
+    assert "SortMergeJoin" in before_run(kept)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept.exceptAll(lateness.accepted(stored, timedelta(seconds=5))).count() == 0
+
+
+def test_keyed_table_aggregates_by_hash_before_the_shuffle(stored):
+    plan = before_run(C.latest(stored.withColumn("key", F.col("id") % 500), "key", "arrival"))
+    assert "SortAggregate" not in plan and "partial_max_by" in plan
+
+
 def test_self_join_reads_and_shuffles_ids_only(stored, shuffled_joins):
     plan = before_run(V.outer_join(stored, stored))
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(id") == 2

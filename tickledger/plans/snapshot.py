@@ -10,6 +10,7 @@ from tickledger.functions import legs as L
 from tickledger.functions import render
 from tickledger.operators import changelog as C
 from tickledger.operators import views as V
+from tickledger.operators.named import register_views
 from tickledger.plans.inputs import (
     KEPT,
     MARKED,
@@ -224,3 +225,33 @@ def as_of_transactions(spark, folder):
 )
 def view_to_json(spark, folder):
     return render.json_messages(V.balance(transfers(spark, folder)), "account")
+
+
+SQL_BALANCE = """SELECT {p}credits.account, {p}credits.credits - {p}debits.debits AS balance
+FROM {p}credits, {p}debits WHERE {p}credits.account = {p}debits.account"""
+
+
+@plan("sql_views_balance", sql(TX, CREDITS, DEBITS, BALANCE, "SELECT * FROM balance"))
+def sql_views_balance(spark, folder):
+    """The balance view written in Spark SQL over the named views."""
+    register_views(transfers(spark, folder), prefix="ledger_")
+    return spark.sql(SQL_BALANCE.format(p="ledger_"))
+
+
+@plan(
+    "sql_views_totals",
+    sql(
+        TX,
+        CREDITS,
+        DEBITS,
+        BALANCE,
+        CREDITS2,
+        DEBITS2,
+        BALANCE2,
+        """SELECT CAST((SELECT sum(balance) FROM balance) AS BIGINT) AS total,
+       CAST((SELECT sum(balance) FROM balance2) AS BIGINT) AS total2""",
+    ),
+)
+def sql_views_totals(spark, folder):
+    register_views(transfers(spark, folder), prefix="ledger_")
+    return spark.sql("SELECT (SELECT total FROM ledger_total) AS total, (SELECT total FROM ledger_total2) AS total2")

@@ -12,8 +12,7 @@ from tickledger.operators import changelog as C
 from tickledger.plans.histories import FULL_RUNS
 from tickledger.plans.inputs import (
     BALANCE_LOG,
-    CREDITS_LOG,
-    DEBITS_LOG,
+    DELAY,
     GRANULE,
     TOTAL_LOG,
     TOTALS,
@@ -31,7 +30,6 @@ from tickledger.sources import transactions as S
 from tickledger.streaming import publish, views
 from tickledger.workspace import fresh_path
 
-DELAY = timedelta(hours=4)
 # Longer than any row is delayed, so that no batch boundary makes a row late.
 PATIENCE = timedelta(days=10)
 REPLAY_FILES = 4

@@ -19,7 +19,6 @@ from tickledger.schema import TX_COLUMNS
 from tickledger.workspace import fresh_path, pin
 
 END_OF_TIME = datetime(9000, 1, 1, tzinfo=timezone.utc)
-END_OF_TIME_MICROS = 221_845_392_000_000_000
 OPENING_TICK = -(2**63)
 VIEWS = {
     "credits": C.credits_changelog,
@@ -93,9 +92,10 @@ def publish_changelogs(steps: DataFrame, path: str, checkpoint: str) -> Streamin
 
     def write(closed: DataFrame, batch: int) -> None:
         spark = closed.sparkSession
-        if closed.isEmpty():
+        stored = pin(closed, "closed-steps")  # the batch itself must run once only
+        if stored.isEmpty():
             return
-        rows = pin(_with_opening(spark, closed, f"{path}/accounts", batch), "closed-steps")
+        rows = _with_opening(spark, stored, f"{path}/accounts", batch)
         current = C.Steps(rows, plan_layout(rows, "tick", ["account"]))
         for name, changelog in VIEWS.items():
             entries = changelog(current).where(F.col("tick") > OPENING_TICK)
