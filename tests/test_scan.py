@@ -56,7 +56,7 @@ def test_matches_a_loop(spark, data, keyed, descending):
 def test_hot_key_is_spread_and_cold_keys_stay_whole(spark, data):
     df = spark.createDataFrame(data, "k int, t bigint, v bigint, w bigint")
     layout = plan_layout(df, "t", ["k"], buckets=8)
-    assert rows(layout.hot) == [(0,)]
+    assert layout.hot.to_pylist() == [{"k": 0}]
     got = prefix_scan(df, {"s": Fold("sum", "v")}, order=["t"], keys=["k"], layout=layout)
     text = got._jdf.queryExecution().toString()
     assert "windowspecdefinition(k#" in text and "__bucket#" in text
@@ -87,3 +87,12 @@ def test_unkeyed_layout_comes_from_the_same_sample(spark, data):
     assert layout.keys == () and layout.splits
     got = prefix_scan(df, {"s": Fold("sum", "v")}, order=["t"], layout=layout)
     assert rows(got.select("t", "s")) == sorted((r[1], r[4]) for r in expected(data, False, False))
+
+
+def test_many_hot_keys_of_two_columns(spark):
+    raw = [(k % 10, k // 10, t * 100 + k, 1) for k in range(100) for t in range(60)]
+    df = spark.createDataFrame(raw, "a int, b int, t bigint, v bigint").repartition(4)
+    layout = plan_layout(df, "t", ["a", "b"], buckets=200)
+    assert layout.hot.num_rows == 100 and layout.hot.column_names == ["a", "b"]
+    got = prefix_scan(df, {"s": Fold("sum", "v")}, order=["t"], keys=["a", "b"], layout=layout)
+    assert rows(got.select("t", "s")) == sorted((t * 100 + k, t + 1) for k in range(100) for t in range(60))

@@ -35,6 +35,7 @@ MAX_BUCKETS = 32_768
 BUCKETS_PER_CORE = 16
 SAMPLES_PER_BUCKET = 32
 FEWEST_SAMPLES_OF_HOT_KEY = 8
+HOT_KEYS_IN_PREDICATE = 64
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Layout:
 
     column: str
     keys: tuple[str, ...] = ()
-    hot: DataFrame | None = None
+    hot: pa.Table | None = None
     splits: tuple[float, ...] = ()
     overall: tuple[float, ...] = ()
 
@@ -95,9 +96,8 @@ def plan_layout(
     if found.empty:
         return Layout(column, keys=keys, overall=overall)
     hot_keys = found.index.to_frame(index=False)
-    hot = spark.createDataFrame(pa.Table.from_pandas(hot_keys, preserve_index=False), stats.select(*keys).schema)
     splits = _boundaries(sample.merge(hot_keys, on=list(keys))[POSITION], buckets)
-    return Layout(column, keys, hot, splits, overall)
+    return Layout(column, keys, pa.Table.from_pandas(hot_keys, preserve_index=False), splits, overall)
 
 
 def _boundaries(sample: pd.Series, buckets: int) -> tuple[float, ...]:
@@ -114,9 +114,13 @@ def _bucketed(df: DataFrame, layout: Layout) -> DataFrame:
     placed = cut.transform(df.withColumn(POSITION, F.col(layout.column).cast("double")))
     bucket = F.col(BUCKET).cast("int")
     if layout.keys:
-        marked = F.broadcast(layout.hot.withColumn(HOT, F.lit(True)))
-        placed = placed.join(marked, list(layout.keys), "left")
-        bucket = F.when(F.col(HOT), bucket).otherwise(F.lit(COLD_BUCKET))
+        if len(layout.keys) == 1 and layout.hot.num_rows <= HOT_KEYS_IN_PREDICATE:
+            hot = F.col(layout.keys[0]).isin(layout.hot.column(0).to_pylist())
+        else:
+            schema = df.select(*layout.keys).schema
+            listed = df.sparkSession.createDataFrame(layout.hot, schema).withColumn(HOT, F.lit(True))
+            placed, hot = placed.join(F.broadcast(listed), list(layout.keys), "left"), F.col(HOT)
+        bucket = F.when(hot, bucket).otherwise(F.lit(COLD_BUCKET))
     return placed.select(*df.columns, bucket.alias(BUCKET))
 
 
