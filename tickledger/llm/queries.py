@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, packing, secret_scan
+from tickledger.llm import ann, bpe, html_text, packing, secret_scan, url_filter, warc
 from tickledger.llm.base import table
+from tickledger.workspace import fresh_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,3 +58,75 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+#: Host rules of the URL query.
+RULES = (
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+)
+
+OP3_SQL = """
+WITH parts AS (
+  SELECT page_id, url,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), hosts AS (
+  SELECT page_id, rest,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+      lambda p : p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')) AS query
+  FROM parts
+), keys AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '(/|[.]html?)$', '')
+    || CASE WHEN len(query) > 0 THEN '?' || array_to_string(list_sort(query), '&') ELSE '' END END AS key
+  FROM hosts
+), listed AS (
+  SELECT DISTINCT key FROM keys JOIN labels ON try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)(/|[.]html)?$', 1) AS bigint) = doc_id
+  WHERE toxic = 1 AND key IS NOT NULL
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM keys
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query("op3_blocked_bloom", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The list: canonical addresses of pages whose document (the number in the path) is labelled toxic."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "^/[a-z]+/([0-9]+)(/|[.]html)?$", 1)
+    toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id")
+    numbered = pages.select(url_filter.canonical(F.col("url")).alias("key"), number.alias("digits"))
+    numbered = numbered.selectExpr("key", "try_cast(digits as bigint) as doc_id")
+    listed = numbered.join(toxic, "doc_id", "left_semi").select("key")
+    return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_warc_shards")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    root = fresh_path(spark, "warc")
+    warc.write(table(spark, folder, "pages").select("page_id", "url", "html"), root)
+    back = warc.read(spark, root, with_payload=False)
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_layout_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+@query("op9_inverted_multi_index")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
