@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import ann, bpe, html_text, minhash, packing, secret_scan, url_filter, warc
+from tickledger.llm import ann, bpe, html_text, langid, minhash, packing, quality, secret_scan, url_filter, warc
 from tickledger.llm.base import table
 from tickledger.workspace import fresh_path
 
@@ -127,6 +127,22 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages").select("page_id", "html")).select("page_id", "text")
 
 
+@query("op7_hierarchical_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    hidden = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~hidden).select("text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", hidden.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_covariance_outliers")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality.judged(docs, keep=("doc_id",))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op9_inverted_multi_index")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
