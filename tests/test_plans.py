@@ -8,7 +8,7 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from tickledger.operators import changelog as C
-from tickledger.operators import lateness
+from tickledger.operators import lateness, scan
 from tickledger.operators import views as V
 from tickledger.operators.scan import plan_layout
 from tickledger.sources import generate
@@ -21,6 +21,12 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+@pytest.fixture(autouse=True)
+def small_buckets(monkeypatch):
+    """20,000 rows in 32 buckets, as a large table would have."""
+    monkeypatch.setattr(scan, "ROWS_PER_BUCKET", 625)
+
+
 @pytest.fixture
 def shuffled_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tickledger.operators import scan
 from tickledger.operators.scan import Fold, plan_layout, prefix_scan
 
 FOLDS = {
@@ -53,10 +54,27 @@ def test_matches_a_loop(spark, data, keyed, descending):
     assert sorted((tuple(r) for r in got.collect()), key=str) == expected(data, keyed, descending)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_bucket_totals_fold_in_levels(spark, data, monkeypatch, descending):
+    monkeypatch.setattr(scan, "FOLD_WIDTH", 3)
+    df = spark.createDataFrame(data, "k int, t bigint, v bigint, w bigint").repartition(5)
+    for keys in (["k"], []):
+        layout = plan_layout(df, "t", keys, rows_per_bucket=70)
+        assert len(layout.splits) + 1 > 3 * 3 * 3
+        got = prefix_scan(df, FOLDS, order=["t"], keys=keys, layout=layout, descending=descending)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == expected(data, bool(keys), descending)
+
+
+def test_buckets_follow_the_rows(spark):
+    df = spark.range(1000).withColumnRenamed("id", "t")
+    assert plan_layout(df, "t").splits == () and plan_layout(df.limit(0), "t").splits == ()
+    assert len(plan_layout(df, "t", rows_per_bucket=10).splits) == 99
+
+
 def test_hot_key_is_spread_and_cold_keys_stay_whole(spark, data):
     df = spark.createDataFrame(data, "k int, t bigint, v bigint, w bigint")
     layout = plan_layout(df, "t", ["k"], buckets=8)
-    assert layout.hot.to_pylist() == [{"k": 0}]
+    assert layout.hot == (spark.range(1).select(F.xxhash64(F.lit(0))).first()[0],)
     got = prefix_scan(df, {"s": Fold("sum", "v")}, order=["t"], keys=["k"], layout=layout)
     text = got._jdf.queryExecution().toString()
     assert "windowspecdefinition(k#" in text and "__bucket#" in text
@@ -65,7 +83,7 @@ def test_hot_key_is_spread_and_cold_keys_stay_whole(spark, data):
 def test_without_hot_keys_there_is_one_window(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), F.col("id").alias("t"), F.lit(1).alias("v"))
     layout = plan_layout(df, "t", ["k"], buckets=8)
-    assert layout.hot is None and layout.splits == ()
+    assert layout.hot == () and layout.splits == ()
     got = prefix_scan(df, {"s": Fold("sum", "v")}, order=["t"], keys=["k"], layout=layout)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.agg(F.sum("s")).first()[0] == 5000
@@ -93,6 +111,6 @@ def test_many_hot_keys_of_two_columns(spark):
     raw = [(k % 10, k // 10, t * 100 + k, 1) for k in range(100) for t in range(60)]
     df = spark.createDataFrame(raw, "a int, b int, t bigint, v bigint").repartition(4)
     layout = plan_layout(df, "t", ["a", "b"], buckets=200)
-    assert layout.hot.num_rows == 100 and layout.hot.column_names == ["a", "b"]
+    assert len(layout.hot) == 100 and layout.keys == ("a", "b")
     got = prefix_scan(df, {"s": Fold("sum", "v")}, order=["t"], keys=["a", "b"], layout=layout)
     assert rows(got.select("t", "s")) == sorted((t * 100 + k, t + 1) for k in range(100) for t in range(60))

@@ -193,19 +193,21 @@ def union_total_by_tick(steps: Steps) -> DataFrame:
     return _running_per_tick(steps, moves, {"total": "delta"}).select("tick", "total")
 
 
-def self_join_changelog(tx: DataFrame) -> DataFrame:
-    """Left self-join on id, fed eagerly: the left input at 2*position, the right one after.
+def self_join_changelog(tx: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
+    """Left self-join on id (and what else `on` names), fed eagerly: the left input at 2*position, the right one after.
 
-    Each id first appears unmatched, then that row is taken back for the matched one.
+    Each id first appears unmatched, then that row is taken back for the matched one. Ids are unique, so
+    no key can be hot and none is looked for.
     """
 
     def entries(tick: Column) -> DataFrame:
-        return tx.select(tick.alias("tick"), "id", F.col("id").alias("value"), F.lit(1).alias("diff"))
+        return tx.select(tick.alias("tick"), F.struct(*on).alias("key"), F.col("id").alias("value"), F.lit(1).alias("diff"))
 
-    position = F.col("arrival") * 2
-    return join_changelogs(
-        entries(position), entries(position + 1), "id", "value", "value", lambda _, other: other, "other_id", how="left"
+    position, layout = F.col("arrival") * 2, Layout("tick", ("key",))
+    joined = join_changelogs(
+        entries(position), entries(position + 1), "key", "value", "value", lambda _, other: other, "other_id", how="left", layout=layout
     )
+    return joined.select("tick", F.col("key.id").alias("id"), "other_id", "diff")
 
 
 # ---------------------------------------------------------------- algebra on changelogs

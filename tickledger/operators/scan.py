@@ -5,7 +5,7 @@ Here the order axis of every hot key (and of the unkeyed, global case) is cut in
 of about equal row count:
 
 1. rows are shuffled once by (key, bucket) and folded inside their bucket;
-2. each bucket's total, a tiny aggregate, is folded along the buckets of its key;
+2. each bucket's total, a tiny aggregate, is folded along the buckets of its key, in levels where there are many;
 3. what came before a bucket is joined back on (key, bucket), the partitioning step 1 left.
 
 Keys below one bucket's worth of rows stay whole, so an all-cold input costs one window.
@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +28,13 @@ POSITION = "__position"
 HOT = "__hot"
 COLD_BUCKET = -1
 
-ROWS_PER_BUCKET = 1_000_000
-FEWEST_ROWS_TO_SPLIT = 4096
-MAX_BUCKETS = 32_768
-BUCKETS_PER_CORE = 16
+ROWS_PER_BUCKET = 250_000
 SAMPLES_PER_BUCKET = 32
+#: Bounds what the driver holds of a sample, two numbers a row; with more buckets than an eighth of it, buckets are less even.
+MOST_SAMPLES = 4_000_000
 FEWEST_SAMPLES_OF_HOT_KEY = 8
-HOT_KEYS_IN_PREDICATE = 64
+#: Buckets whose totals one window task folds; more of them are folded in several levels.
+FOLD_WIDTH = 4096
 
 
 @dataclass(frozen=True)
@@ -49,11 +48,11 @@ class Fold:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where to cut: `splits` for the hot keys, `overall` for a scan over all rows."""
+    """Where to cut: `splits` for the hot keys (known by hash), `overall` for a scan over all rows."""
 
     column: str
     keys: tuple[str, ...] = ()
-    hot: pa.Table | None = None
+    hot: tuple[int, ...] = ()
     splits: tuple[float, ...] = ()
     overall: tuple[float, ...] = ()
 
@@ -66,38 +65,32 @@ def plan_layout(
     column: str,
     keys: Sequence[str] = (),
     *,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
     buckets: int | None = None,
 ) -> Layout:
     """Choose hot keys and bucket boundaries from a count and a bounded sample of `stats`.
 
-    `stats` only has to be distributed like the rows to scan. The sample holds about
-    `SAMPLES_PER_BUCKET` rows per bucket (a million at most); a key is hot when it fills half
-    a bucket, so there are at most twice as many hot keys as buckets. Sampling moves the
-    boundaries only: every row is scanned and results do not depend on the layout.
+    `stats` only has to be distributed like the rows to scan. The number of buckets follows the
+    number of rows, whatever it is; what fits into one bucket needs no boundary. A key is hot
+    when it fills half a bucket. The sample holds a hash of the keys and the position. It moves
+    boundaries only: every row is scanned and results do not depend on the layout, nor on two keys
+    of one hash.
     """
-    spark = stats.sparkSession
     keys = tuple(keys)
     total = stats.count()
-    if total < (FEWEST_ROWS_TO_SPLIT if buckets is None else 1):
+    buckets = buckets or math.ceil(total / (rows_per_bucket or ROWS_PER_BUCKET))
+    if not total or buckets == 1:
         return Layout(column, keys)
-    if buckets is None:
-        floor = BUCKETS_PER_CORE * spark.sparkContext.defaultParallelism
-        buckets = min(max(floor, math.ceil(total / rows_per_bucket)), MAX_BUCKETS)
-
-    share = min(1.0, SAMPLES_PER_BUCKET * buckets / total)
-    narrow = stats.select(*keys, F.col(column).cast("double").alias(POSITION))
+    share = min(1.0, min(SAMPLES_PER_BUCKET * buckets, MOST_SAMPLES) / total)
+    narrow = stats.select(F.col(column).cast("double").alias(POSITION), *[F.xxhash64(*keys).alias(HOT)] * bool(keys))
     sample = (narrow.sample(share, seed=7) if share < 1.0 else narrow).toArrow().to_pandas()
     overall = _boundaries(sample[POSITION], buckets)
     if not keys:
         return Layout(column, splits=overall)
-    counts = sample.groupby(list(keys)).size()
-    found = counts[counts >= max(FEWEST_SAMPLES_OF_HOT_KEY, len(sample) / (2 * buckets))]
-    if found.empty:
-        return Layout(column, keys=keys, overall=overall)
-    hot_keys = found.index.to_frame(index=False)
-    splits = _boundaries(sample.merge(hot_keys, on=list(keys))[POSITION], buckets)
-    return Layout(column, keys, pa.Table.from_pandas(hot_keys, preserve_index=False), splits, overall)
+    counts = sample[HOT].value_counts()
+    hot = counts.index[counts >= max(FEWEST_SAMPLES_OF_HOT_KEY, len(sample) / (2 * buckets))]
+    splits = _boundaries(sample[POSITION][sample[HOT].isin(hot)], buckets)
+    return Layout(column, keys, tuple(sorted(map(int, hot))), splits, overall)
 
 
 def _boundaries(sample: pd.Series, buckets: int) -> tuple[float, ...]:
@@ -114,13 +107,9 @@ def _bucketed(df: DataFrame, layout: Layout) -> DataFrame:
     placed = cut.transform(df.withColumn(POSITION, F.col(layout.column).cast("double")))
     bucket = F.col(BUCKET).cast("int")
     if layout.keys:
-        if len(layout.keys) == 1 and layout.hot.num_rows <= HOT_KEYS_IN_PREDICATE:
-            hot = F.col(layout.keys[0]).isin(layout.hot.column(0).to_pylist())
-        else:
-            schema = df.select(*layout.keys).schema
-            listed = df.sparkSession.createDataFrame(layout.hot, schema).withColumn(HOT, F.lit(True))
-            placed, hot = placed.join(F.broadcast(listed), list(layout.keys), "left"), F.col(HOT)
-        bucket = F.when(hot, bucket).otherwise(F.lit(COLD_BUCKET))
+        listed = df.sparkSession.createDataFrame([(key,) for key in layout.hot], f"{HOT} long")
+        placed = placed.join(listed, F.xxhash64(*layout.keys) == F.col(HOT), "left")
+        bucket = F.when(F.col(HOT).isNotNull(), bucket).otherwise(F.lit(COLD_BUCKET))
     return placed.select(*df.columns, bucket.alias(BUCKET))
 
 
@@ -151,6 +140,28 @@ def _merge(op: str, here: Column, before: Column | None) -> Column:
     return (F.greatest if op == "max" else F.least)(here, before)
 
 
+def _before(totals: DataFrame, folds: Mapping[str, Fold], keys: Sequence[str], step: str, descending: bool, steps: int) -> DataFrame:
+    """For each row of `totals` (one per keys and `step`) the fold of the rows before it.
+
+    Up to FOLD_WIDTH steps are folded by one window; of more, each run of that width is folded on its own,
+    and what came before a run is found in the same way from the runs' totals.
+    """
+    exclusive = {name: Fold(fold.op, name, True) for name, fold in folds.items()}
+    axis = F.col(step).desc() if descending else F.col(step).asc()
+    if steps <= FOLD_WIDTH:
+        window = Window.partitionBy(*keys).orderBy(axis)
+        return totals.select(*keys, step, *[_local(fold, window).alias(name) for name, fold in exclusive.items()])
+    run = f"{step}_run"
+    placed = totals.withColumn(run, F.floor(F.col(step) / FOLD_WIDTH))
+    window = Window.partitionBy(*keys, run).orderBy(axis)
+    inside = placed.select(*keys, run, step, *[_local(fold, window).alias(name) for name, fold in exclusive.items()])
+    sums = placed.groupBy(*keys, run).agg(*[_total(fold, [step], descending).alias(name) for name, fold in exclusive.items()])
+    ahead = _before(sums, folds, keys, run, descending, math.ceil(steps / FOLD_WIDTH) + 1)
+    ahead = ahead.select(*keys, run, *[F.col(name).alias(f"{name}_ahead") for name in folds])
+    merged = [_merge(fold.op, F.col(name), F.col(f"{name}_ahead")).alias(name) for name, fold in folds.items()]
+    return inside.join(ahead, [*keys, run], "left").select(*keys, step, *merged)
+
+
 def prefix_scan(
     df: DataFrame,
     folds: Mapping[str, Fold],
@@ -195,14 +206,8 @@ def prefix_scan(
     if costly:
         # Asking for the position keeps it in this branch, so that both read one shuffle.
         totals = totals.where(F.col(POSITION).isNotNull())
-    step = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-    carry = totals.select(
-        *place,
-        *[
-            _local(Fold(fold.op, name, True), Window.partitionBy(*keys).orderBy(step)).alias(f"__before_{name}")
-            for name, fold in folds.items()
-        ],
-    )
+    carry = _before(totals.select(*place, *folds), folds, keys, BUCKET, descending, len(layout.splits) + 1)
+    carry = carry.select(*place, *[F.col(name).alias(f"__before_{name}") for name in folds])
     joined = local.join(carry, place, "left")
     return joined.select(
         *columns,

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from tickledger.functions import render
 from tickledger.operators import audit
 from tickledger.operators import changelog as C
+from tickledger.operators import timed as T
 from tickledger.plans.inputs import (
     ARRIVAL_TICKS,
+    BALANCE2_LOG,
     BALANCE_LOG,
+    CREDITS2_LOG,
     CREDITS_LOG,
+    DEBITS2_LOG,
     DEBITS_LOG,
     EAGER_TICKS,
     EVENT_TICKS,
@@ -21,6 +25,7 @@ from tickledger.plans.inputs import (
     ORDER_TX,
     RUNS,
     SELF_JOIN_LOG,
+    TOTAL2_LOG,
     TOTAL_LOG,
     TOTALS,
     TX,
@@ -29,10 +34,12 @@ from tickledger.plans.inputs import (
     legs,
     order_transfers,
     sql,
+    timed_runs,
     transfers,
     upserts,
 )
 from tickledger.plans.registry import plan
+from tickledger.schema import event_tick
 from tickledger.sinks import publish
 from tickledger.workspace import fresh_path
 
@@ -74,6 +81,52 @@ for _suffix, _steps, _runs in CONTRACTS:
         _register(_view, _changelog, _log, _out, _suffix, _steps, _runs)
 
 
+TIMED_CONTRACTS = [
+    ("", lambda s, f: T.event_time_steps(kept_transfers(s, f)), (TX, MARKED, KEPT, *timed_runs("kept", *EVENT_TICKS))),
+    ("_eager", lambda s, f: T.eager_steps(transfers(s, f)), (TX, *timed_runs("tx", *EAGER_TICKS))),
+]
+TIMED_HISTORIES = [
+    ("credits2_changelog", T.credits_changelog, (CREDITS2_LOG,), "SELECT tick, account, credits, ts, diff FROM credits2_log"),
+    ("debits2_changelog", T.debits_changelog, (DEBITS2_LOG,), "SELECT tick, account, debits, ts, diff FROM debits2_log"),
+    ("balance2_changelog", T.balance_changelog, (BALANCE2_LOG,), "SELECT tick, account, balance, ts, diff FROM balance2_log"),
+    ("total2_changelog", T.total_changelog, (BALANCE2_LOG, TOTAL2_LOG), "SELECT tick, total, diff FROM total2_log"),
+]
+for _suffix, _steps, _runs in TIMED_CONTRACTS:
+    for _view, _changelog, _log, _out in TIMED_HISTORIES:
+        _register(_view, _changelog, _log, _out, _suffix, _steps, _runs)
+
+
+@plan("accepted_transactions_changelog", sql(TX, MARKED, KEPT, "SELECT epoch_us(ts) AS tick, id, 1 AS diff FROM kept"))
+def accepted_transactions_changelog(spark, folder):
+    return T.accepted_changelog(kept_transfers(spark, folder), event_tick())
+
+
+@plan("accepted_transactions_changelog_eager", sql(TX, "SELECT 2 * arrival AS tick, id, 1 AS diff FROM tx"))
+def accepted_transactions_changelog_eager(spark, folder):
+    return T.accepted_changelog(transfers(spark, folder), F.col("arrival") * 2)
+
+
+@plan(
+    "outer_join_with_time_changelog",
+    sql(
+        TX,
+        MARKED,
+        KEPT,
+        """SELECT epoch_us(t1.ts) AS tick, t1.id, t2.id AS other_id, 1 AS diff
+FROM kept AS t1 LEFT JOIN kept AS t2 ON t1.id = t2.id AND t1.ts = t2.ts""",
+    ),
+)
+def outer_join_with_time_changelog(spark, folder):
+    kept = kept_transfers(spark, folder)
+    return T.outer_join_with_time_changelog(kept.select("id", "ts"), kept.select("id", "ts"))
+
+
+@plan("outer_join_with_time_changelog_eager", sql(TX, SELF_JOIN_LOG, "SELECT tick, id, other_id, diff FROM self_join_log"))
+def outer_join_with_time_changelog_eager(spark, folder):
+    """Ids are unique, so the condition on event time holds for the pairs that ids make."""
+    return C.self_join_changelog(transfers(spark, folder), on=("id", "ts"))
+
+
 def _kept_steps(spark, folder) -> C.Steps:
     return C.event_time_steps(kept_transfers(spark, folder))
 

@@ -115,3 +115,55 @@ SELF_JOIN_LOG = """self_join_log AS (
   SELECT 2 * arrival + 1, id, NULL, -1 FROM tx
   UNION ALL
   SELECT 2 * arrival + 1, t1.id, t2.id, 1 FROM tx AS t1 JOIN (SELECT id FROM tx) AS t2 ON t1.id = t2.id)"""
+
+
+def timed_runs(source: str, credit_tick: str, debit_tick: str) -> tuple[str, ...]:
+    """Running sums and newest times of both sides after every tick that touched an account."""
+    return (
+        f"""timed_legs AS (
+  SELECT to_account AS account, {credit_tick} AS tick, amount AS c, 0 AS d, ts AS cts, NULL AS dts FROM {source}
+  UNION ALL
+  SELECT from_account, {debit_tick}, 0, amount, NULL, ts FROM {source})""",
+        """timed_steps AS (
+  SELECT account, tick, sum(c) AS c, sum(d) AS d, max(cts) AS cts, max(dts) AS dts FROM timed_legs GROUP BY account, tick)""",
+        """timed_runs AS (
+  SELECT account, tick, cts, dts, sum(c) OVER w AS rc, sum(d) OVER w AS rd, max(cts) OVER w AS rcts, max(dts) OVER w AS rdts
+  FROM timed_steps WINDOW w AS (PARTITION BY account ORDER BY tick ROWS UNBOUNDED PRECEDING))""",
+    )
+
+
+def timed_side_log(name: str, value: str, ts: str) -> str:
+    """`credits` or `debits` with its newest time as a changelog CTE named <name>2_log."""
+    return f"""{name}2_states AS (
+  SELECT account, tick, {value} AS v, r{ts} AS ts, lag({value}) OVER w AS old, lag(r{ts}) OVER w AS old_ts
+  FROM timed_runs WHERE {ts} IS NOT NULL WINDOW w AS (PARTITION BY account ORDER BY tick)),
+{name}2_log AS (
+  SELECT tick, account, CAST(old AS BIGINT) AS {name}, old_ts AS ts, -1 AS diff FROM {name}2_states
+  WHERE old_ts IS NOT NULL AND (old <> v OR old_ts <> ts)
+  UNION ALL
+  SELECT tick, account, CAST(v AS BIGINT), ts, 1 FROM {name}2_states WHERE old_ts IS NULL OR old <> v OR old_ts <> ts)"""
+
+
+CREDITS2_LOG = timed_side_log("credits", "rc", "cts")
+DEBITS2_LOG = timed_side_log("debits", "rd", "dts")
+
+BALANCE2_LOG = """balance2_states AS (
+  SELECT account, tick, rc - rd AS v, rcts AS ts, coalesce(rcts = rdts, false) AS is_on,
+         lag(rc - rd) OVER w AS old, lag(rcts) OVER w AS old_ts, coalesce(lag(rcts = rdts) OVER w, false) AS was_on
+  FROM timed_runs WINDOW w AS (PARTITION BY account ORDER BY tick)),
+balance2_log AS (
+  SELECT tick, account, CAST(old AS BIGINT) AS balance, old_ts AS ts, -1 AS diff FROM balance2_states
+  WHERE was_on AND (NOT is_on OR old <> v OR old_ts <> ts)
+  UNION ALL
+  SELECT tick, account, CAST(v AS BIGINT), ts, 1 FROM balance2_states WHERE is_on AND (NOT was_on OR old <> v OR old_ts <> ts))"""
+
+TOTAL2_LOG = """total2_moves AS (
+  SELECT tick, sum(balance * diff) AS delta, sum(diff) AS accounts FROM balance2_log GROUP BY tick),
+total2_states AS (
+  SELECT tick, delta, sum(delta) OVER w AS total, accounts, sum(accounts) OVER w AS on_now
+  FROM total2_moves WINDOW w AS (ORDER BY tick ROWS UNBOUNDED PRECEDING)),
+total2_log AS (
+  SELECT tick, CAST(total - delta AS BIGINT) AS total, -1 AS diff FROM total2_states
+  WHERE on_now - accounts > 0 AND (on_now = 0 OR delta <> 0)
+  UNION ALL
+  SELECT tick, CAST(total AS BIGINT), 1 FROM total2_states WHERE on_now > 0 AND (on_now - accounts = 0 OR delta <> 0))"""

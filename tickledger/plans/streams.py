@@ -32,12 +32,12 @@ from tickledger.workspace import fresh_path
 
 # Longer than any row is delayed, so that no batch boundary makes a row late.
 PATIENCE = timedelta(days=10)
-REPLAY_FILES = 4
+REPLAY_BATCHES = 4
 
 
 def live_events(spark: SparkSession, folder: str) -> DataFrame:
     stored = tables.table(spark, folder, "events").schema
-    return replay.stream_files(spark, folder, stored, name="events.parquet")
+    return replay.stream_table(spark, folder, "events", stored)
 
 
 def live_transfers(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,8 +47,9 @@ def live_transfers(spark: SparkSession, folder: str) -> DataFrame:
 def replayed_transfers(spark: SparkSession, folder: str) -> DataFrame:
     """The stored transfers in several micro-batches, by arrival."""
     path = fresh_path(spark, "replay")
-    replay.write_replay(transfers(spark, folder).unionByName(publish.closing_row(spark)), path, REPLAY_FILES)
-    return replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=1)
+    rows = transfers(spark, folder).unionByName(publish.closing_row(spark))
+    each = replay.write_replay(rows, path, REPLAY_BATCHES)
+    return replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=each)
 
 
 def _published(view: DataFrame, label: str) -> DataFrame:

@@ -1,15 +1,25 @@
-"""Stored transfers as a folder of files that streams in arrival order."""
+"""Stored tables as streams, and transfers as a folder of files that streams in arrival order."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def write_replay(tx: DataFrame, path: str, files: int) -> None:
-    """`files` parquet files, each a range of arrival positions, stamped in that order."""
-    tx.repartitionByRange(files, "arrival").sortWithinPartitions("arrival").write.parquet(path)
+ROWS_PER_FILE = 1_000_000
+
+
+def write_replay(tx: DataFrame, path: str, batches: int, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Parquet files, each a range of arrival positions, stamped in that order; returns how many make one batch.
+
+    Their number follows the rows, so no task sorts or writes more than about `rows_per_file`.
+    """
+    each = max(1, math.ceil(tx.count() / rows_per_file / batches))
+    tx.repartitionByRange(each * batches, "arrival").sortWithinPartitions("arrival").write.parquet(path)
     stamp_in_name_order(tx.sparkSession, path)
+    return each
 
 
 def stamp_in_name_order(spark: SparkSession, path: str) -> list[str]:
@@ -46,3 +56,20 @@ def stream_files(
     if name is not None:
         reader = reader.option("pathGlobFilter", name)
     return reader.parquet(path)
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType, *, bytes_per_batch: str | None = None) -> DataFrame:
+    """A stored parquet table as a stream, whether it is one file or a folder of part files.
+
+    The file source filters leaf files by name and refuses the path of a single file, so the two forms
+    need different paths.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    if fs.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
