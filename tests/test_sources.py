@@ -4,6 +4,7 @@ import pytest
 from conftest import rows, tick
 from pyspark.sql import functions as F
 
+from tickledger import workspace
 from tickledger.functions import render
 from tickledger.operators import lateness
 from tickledger.sinks import publish
@@ -125,3 +126,29 @@ def test_text_files_read_back_in_tick_order(spark, tmp_path):
     text = [line for p in parts for line in p.read_text().split()]
     assert text == [f"{i:04d}" for i in reversed(range(1000))]
     assert publish.read_lines(spark, path).count() == 1000
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    for name, ids in (("b", range(500, 1200)), ("a", range(500)), ("c", range(1200, 1203))):
+        lines = [f'{{"id":{i},"from_account":0,"to_account":1,"amount":1,"ts":"2021-01-01 00:00:00.000"}}' for i in ids]
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # files are read in several blocks, out of order
+    try:
+        got = S.read_numbered_json_lines(spark, str(tmp_path))
+        assert got.where("id <> arrival").count() == 0 and got.count() == 1203
+        assert got.rdd.getNumPartitions() > 3 and got.select("file").distinct().count() == 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Remote:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(Remote)

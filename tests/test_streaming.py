@@ -7,7 +7,9 @@ from conftest import ledger, rows
 from pyspark.sql import functions as F
 
 from tickledger.operators import changelog as C
+from tickledger.operators import lateness
 from tickledger.operators import views as V
+from tickledger.plans import PLANS
 from tickledger.schema import TX_SCHEMA
 from tickledger.sources import replay
 from tickledger.sources import transactions as S
@@ -178,3 +180,43 @@ def test_streaming_reader_is_strict(spark, six, tmp_path):
     (tmp_path / "in" / "bad.txt").write_text('{"id": 1}\n')
     with pytest.raises(Exception, match="missing field"):
         published(spark, S.stream_json_lines(spark, str(tmp_path / "in")), tmp_path, "strict")
+
+
+FOLDER_QUERIES = [
+    "stream_pass_through", "stream_net_per_tick", "total_finalized", "stream_balance_per_tick_join",
+    "stream_outer_join_with_time", "stream_messages", "stream_net_messages",
+]
+
+
+@pytest.fixture(scope="module")
+def events_as_folder(spark, tmp_path_factory):
+    """The stored events as a folder of part files, the way Spark writes a table."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(5).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", FOLDER_QUERIES)
+def test_a_folder_table_streams_like_a_single_file(spark, events_as_folder, name):
+    stored, single = (rows(PLANS[name].run(spark, f)) for f in (events_as_folder, "/root/testdata/sf0.001"))
+    assert stored == single and len(stored) > 0
+
+
+def test_reading_nothing_of_a_table_with_rows_is_an_error(spark, events_as_folder, monkeypatch):
+    def nothing(session, folder, name, schema, **_):
+        return session.readStream.schema(schema).option("pathGlobFilter", "none").parquet(folder)
+
+    monkeypatch.setattr(replay, "stream_table", nothing)
+    with pytest.raises(RuntimeError, match="no rows were read"):
+        PLANS["stream_pass_through"].run(spark, events_as_folder)
+
+
+def test_exact_late_rule_over_batches(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i, rng.randrange(4), rng.randrange(4), 1, rng.randrange(60), i) for i in range(300)]
+    write_files(spark, data, tmp_path / "in", 5)
+    publish.publish_accepted(stream(spark, tmp_path / "in").where("id >= 0"), timedelta(seconds=5), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = publish.read_batches(spark, str(tmp_path / "out" / "rows"))
+    expected = lateness.accepted(ledger(spark, data), timedelta(seconds=5))
+    assert rows(got.drop("batch")) == rows(expected) and 0 < expected.count() < 300
+    assert got.select("batch").distinct().count() > 1

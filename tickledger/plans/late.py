@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tickledger.functions import render
 from tickledger.operators import lateness
 from tickledger.plans.inputs import DELAY, KEPT, MARKED, TX, WATERMARK_EVERY, kept_transfers, sql, transfers
 from tickledger.plans.registry import plan
+from tickledger.sources import transactions as S
+from tickledger.workspace import fresh_path
 
 NUMBERED = "numbered AS (SELECT *, row_number() OVER (ORDER BY arrival, id) AS row_no FROM tx)"
 PERIODIC = f"""periodic AS (
@@ -79,3 +83,42 @@ LATE_REFINEMENTS = sql(
 @plan("late_refinements", LATE_REFINEMENTS)
 def late_refinements(spark, folder):
     return lateness.late_refinements(transfers(spark, folder), WATERMARK_EVERY, DELAY)
+
+
+# Positions that one file of lines covers.
+LINES_PER_FILE = 5000
+
+
+def stored_lines(spark, folder):
+    """The transfers as JSON lines in files by arrival, read back by the position of the line alone."""
+    path = fresh_path(spark, "lines")
+    number = F.lpad(F.floor(F.col("arrival") / LINES_PER_FILE).cast("string"), 12, "0").alias("number")
+    rows = transfers(spark, folder).select(number, "arrival", "id", S.json_document().alias("line"))
+    ordered = rows.repartition("number").sortWithinPartitions("number", "arrival", "id")
+    ordered.select("number", "line").write.partitionBy("number").text(path)
+    return S.read_numbered_json_lines(spark, path)
+
+
+@plan("lines_late_split", sql(TX, MARKED, "SELECT id, ts, watermark, ts >= watermark AS kept FROM marked"))
+def lines_late_split(spark, folder):
+    return lateness.late_split(stored_lines(spark, folder), DELAY)
+
+
+PER_FILE = f"""lines AS (
+  SELECT *, arrival // {LINES_PER_FILE} AS file_no, row_number() OVER (PARTITION BY arrival // {LINES_PER_FILE} ORDER BY arrival, id) AS row_no
+  FROM tx)"""
+
+
+@plan(
+    "files_periodic_watermark",
+    sql(
+        TX,
+        PER_FILE,
+        f"""SELECT file_no, row_no, max(epoch_us(ts - INTERVAL 4 HOUR)) OVER (ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS wm
+FROM lines WHERE row_no % {WATERMARK_EVERY} = 0""",
+    ),
+)
+def files_periodic_watermark(spark, folder):
+    """The row count starts anew in each file, the watermark goes on."""
+    marks = lateness.periodic_watermark_per_file(stored_lines(spark, folder), WATERMARK_EVERY, DELAY, "file")
+    return marks.select(F.regexp_extract("file", "number=([0-9]+)", 1).cast("bigint").alias("file_no"), "row_no", "wm")

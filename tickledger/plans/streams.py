@@ -14,6 +14,8 @@ from tickledger.plans.inputs import (
     BALANCE_LOG,
     DELAY,
     GRANULE,
+    KEPT,
+    MARKED,
     TOTAL_LOG,
     TOTALS,
     TX,
@@ -52,10 +54,13 @@ def replayed_transfers(spark: SparkSession, folder: str) -> DataFrame:
     return replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=each)
 
 
-def _published(view: DataFrame, label: str) -> DataFrame:
+def _published(view: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """The finished stream's rows; an error if it read nothing of a table in `folder` that has rows."""
     spark = view.sparkSession
     path = fresh_path(spark, label)
-    publish.append_to(view, f"{path}/rows", f"{path}/checkpoint")
+    query = publish.append_to(view, f"{path}/rows", f"{path}/checkpoint")
+    if folder is not None and publish.unread_sources(query) and not tables.table(spark, folder, "events").isEmpty():
+        raise RuntimeError(f"no rows were read from {publish.unread_sources(query)}")
     return spark.read.schema(view.schema).parquet(f"{path}/rows")
 
 
@@ -66,7 +71,7 @@ NET = "SELECT tick, account, CAST(sum(c - d) AS BIGINT) AS net FROM legs GROUP B
 @plan("stream_net_per_tick", sql(TX, EVENT_LEGS, NET))
 def stream_net_per_tick(spark, folder):
     closed = publish.closed_stream(live_transfers(spark, folder))
-    return _published(views.net_per_tick(closed, DELAY, GRANULE), "net-per-tick")
+    return _published(views.net_per_tick(closed, DELAY, GRANULE), "net-per-tick", folder)
 
 
 @plan("stream_net_per_tick_replay", sql(TX, EVENT_LEGS, NET))
@@ -86,7 +91,7 @@ def stream_net_per_tick_replay(spark, folder):
 def total_finalized(spark, folder):
     """Closed ticks only, and in each of them the net changes of all accounts add up to 0."""
     closed = publish.closed_stream(live_transfers(spark, folder))
-    return _published(views.total_per_tick(closed, DELAY, GRANULE), "totals")
+    return _published(views.total_per_tick(closed, DELAY, GRANULE), "totals", folder)
 
 
 @plan(
@@ -103,13 +108,13 @@ def stream_balance_per_tick_join(spark, folder):
     credited = publish.closed_stream(live_transfers(spark, folder))
     debited = publish.closed_stream(live_transfers(spark, folder))
     joined = views.balance_per_tick_by_join(credited, debited, DELAY, GRANULE)
-    return _published(joined, "balance-per-tick")
+    return _published(joined, "balance-per-tick", folder)
 
 
 @plan("stream_outer_join_with_time", sql(TX, PAIRS_OUT.format(right="tx")))
 def stream_outer_join_with_time(spark, folder):
     joined = views.outer_join_with_time(live_transfers(spark, folder), live_transfers(spark, folder), DELAY)
-    return _published(joined, "outer-join")
+    return _published(joined, "outer-join", folder)
 
 
 @plan(
@@ -160,9 +165,18 @@ _stream_history("balance", (BALANCE_LOG,), "SELECT tick, account, balance, diff
 _stream_history("total", (BALANCE_LOG, TOTALS, TOTAL_LOG), "SELECT tick, total, diff FROM total_log")
 
 
+@plan("stream_accepted_on_time", sql(TX, MARKED, KEPT, "SELECT * FROM kept"))
+def stream_accepted_on_time(spark, folder):
+    """Late rows are dropped one by one, over several batches, as in the batch form."""
+    path = fresh_path(spark, "accepted")
+    replayed = replayed_transfers(spark, folder).where(F.col("id") >= 0)
+    publish.publish_accepted(replayed, DELAY, path, f"{path}/checkpoint")
+    return publish.read_batches(spark, f"{path}/rows").drop("batch")
+
+
 @plan("stream_pass_through", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def stream_pass_through(spark, folder):
-    return _published(live_events(spark, folder), "pass-through")
+    return _published(live_events(spark, folder), "pass-through", folder)
 
 
 @plan("stream_messages", sql(TX, "SELECT id, from_account, to_account, amount, ts FROM tx"))
@@ -170,7 +184,7 @@ def stream_messages(spark, folder):
     """Published as keyed JSON messages and decoded again."""
     keyed = live_transfers(spark, folder).select("id", S.json_document().alias("value"))
     messages = keyed.select(F.col("id").cast("string").alias("key"), "value")
-    return S.decode_json(_published(messages, "messages").select("value"))
+    return S.decode_json(_published(messages, "messages", folder).select("value"))
 
 
 @plan("stream_json_lines", sql(TX, "SELECT id, from_account, to_account, amount, ts FROM tx"))
@@ -194,4 +208,4 @@ def stream_net_messages(spark, folder):
     """A closed view as JSON messages."""
     closed = publish.closed_stream(live_transfers(spark, folder))
     nets = views.net_per_tick(closed, DELAY, GRANULE)
-    return _published(render.json_messages(nets, "account"), "net-messages")
+    return _published(render.json_messages(nets, "account"), "net-messages", folder)

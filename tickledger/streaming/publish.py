@@ -6,7 +6,7 @@ partition only, so a batch that is run again after a failure leaves the same row
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tickledger.functions.render import json_messages
 from tickledger.operators import changelog as C
-from tickledger.operators.scan import plan_layout
-from tickledger.schema import TX_COLUMNS
+from tickledger.operators.scan import Fold, plan_layout, prefix_scan
+from tickledger.schema import TX_COLUMNS, micros
 from tickledger.workspace import fresh_path, pin
 
 END_OF_TIME = datetime(9000, 1, 1, tzinfo=timezone.utc)
@@ -35,6 +35,15 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def unread_sources(query: StreamingQuery) -> list[str]:
+    """The sources of a finished query that gave it no row."""
+    read: dict[str, int] = {}
+    for report in query.recentProgress:
+        for source in report["sources"]:
+            read[source["description"]] = read.get(source["description"], 0) + source["numInputRows"]
+    return [name for name, rows in read.items() if not rows]
+
+
 def append_to(view: DataFrame, path: str, checkpoint: str, form: str = "parquet") -> StreamingQuery:
     """An append-mode view as a growing folder of files."""
     return run_available(view.writeStream.format(form).outputMode("append").option("path", path), checkpoint)
@@ -76,9 +85,32 @@ def publish_states(view: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return run_available(view.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
+def publish_accepted(tx: DataFrame, delay: timedelta, path: str, checkpoint: str) -> StreamingQuery:
+    """The rows of a stream that are on time, by the exact rule per row, each batch under rows/batch=N.
+
+    Rows must stream in the order of `arrival`. A batch takes the running maximum of its event times on from
+    the one value that the batch before it left under high/batch=N-1, and leaves its own.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        stored = pin(rows, "batch-rows")
+        before = spark.read.parquet(f"{path}/high/batch={batch - 1}").first()[0] if batch else None
+        layout = plan_layout(stored, "arrival")
+        scanned = prefix_scan(stored, {"__high": Fold("max", "ts")}, order=["arrival", "id"], layout=layout)
+        high = F.greatest(F.unix_micros("__high"), F.lit(before).cast("bigint"))
+        kept = scanned.where(F.unix_micros("ts") >= high - micros(delay)).select(*rows.columns)
+        kept.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        left = stored.agg(F.greatest(F.max(F.unix_micros("ts")), F.lit(before).cast("bigint")).alias("high"))
+        left.write.mode("overwrite").parquet(f"{path}/high/batch={batch}")
+
+    return run_available(tx.writeStream.outputMode("append").foreachBatch(write), checkpoint)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Everything published under batch=N, with the batch number as a column."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    """What completely written batches published under batch=N, with the batch number as a column."""
+    batches = [f"{path}/batch={b}" for b in published_batches(spark, path)]
+    rows = spark.read.option("basePath", path).parquet(*batches)
     return rows.withColumn("batch", F.col("batch").cast("bigint"))
 
 
