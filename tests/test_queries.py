@@ -13,7 +13,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in entry.CORPUS_QUERIES])
 def test_query_matches_its_sql(spark, con, name):
     assert name in entry.oracle_sql()
     assert compare(spark, con, FOLDER, name) is None
