@@ -1,0 +1,254 @@
+"""Tokenizer, packing, secrets, HTML and language ID against plain versions, and on awkward inputs."""
+
+from __future__ import annotations
+
+import random
+import re
+import sys
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tickledger.llm import bpe, html_text, langid, packing, secret_scan
+from tickledger.llm.queries import QUERIES, TOKENIZER
+
+AWKWARD = [None, "", " ", "\n\n\t", "é", "a" * 5000, "字" * 3000, "<|endoftext|>x<|endoftext|>", "don't  stop 1²3 \x1c\x85 \r\n", "AKIA" + "X" * 20]
+DOCS = "doc_id long, text string, row string, value string, secrets string, ids string"
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = [(i, x, "r", "v", "s", "i") for i, x in enumerate(AWKWARD)] + [(None, "same", None, None, None, None)] * 2
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def ids_of(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<u4").tolist()
+
+
+def test_automaton_agrees_with_the_library(library):
+    random.seed(5)
+    parts = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "²", "é", "ß", "字", "😀", "\x1c", "\x85", "\xa0", "the", "ing", "aaaa", "==", "<|endoftext|>", "A", "Ⅷ", "​", "0000", "ſ"]
+    coder = bpe.Encoder(bpe.automaton(TOKENIZER))
+    for _ in range(3000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 30)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert ids_of(coder.encode(text)) == ids
+        assert coder.tables.decode(coder.encode(text)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_automaton_accepts_only_what_merging_gives():
+    """Over a small alphabet, of all ways to cut a word exactly one is accepted: the one that merging gives."""
+    letters, merged = "abc", [("a", "b"), ("ab", "c"), ("b", "c"), ("a", "a"), ("aa", "a"), ("c", "ab")]
+    labels = [*letters, *[x + y for x, y in merged]]
+    number = {x: i for i, x in enumerate(labels)}
+    tables = bpe.Automaton([x.encode() for x in labels], [(number[x], number[y], number[x + y]) for x, y in merged], {})
+    random.seed(2)
+    for _ in range(500):
+        word = "".join(random.choice(letters) for _ in range(random.randint(1, 9)))
+        expected = list(word)
+        for x, y in merged:
+            k = 0
+            while k < len(expected) - 1:
+                if (expected[k], expected[k + 1]) == (x, y):
+                    expected[k : k + 2] = [x + y]
+                k += 1
+        assert [labels[t] for t in tables.encode_word(word.encode())] == expected
+        assert len(list(_paths(tables, word))) == 1
+
+
+def _paths(tables, word, before=None):
+    """All ways to cut `word` that the automaton accepts."""
+    if not word:
+        yield ()
+    for token in set(tables.longest.values()) - {-1}:
+        kind = tables.class_of[token]
+        follows = before is None or tables.arcs[tables.state_of[before]][kind >> 3] >> (kind & 7) & 1
+        if follows and word.startswith(tables.labels[token].decode()):
+            for rest in _paths(tables, word[len(tables.labels[token]) :], token):
+                yield token, *rest
+
+
+def test_encode_and_decode_whole_texts(awkward, library):
+    coded = bpe.decode(bpe.encode(awkward, TOKENIZER), TOKENIZER).collect()
+    assert len(coded) == awkward.count()
+    for row in coded:
+        assert ids_of(row["ids"]) == library.encode(row["text"] or "", add_special_tokens=False).ids
+        assert row["decoded"] == (row["text"] or "")
+    assert "value" in coded[0] and "secrets" in coded[0]
+
+
+def test_pieces_and_packing(spark, awkward, library):
+    cut = packing.pieces(awkward, TOKENIZER, tokens=16, keep=("doc_id", "row"))
+    packed = packing.pack(cut, packing.Capacity(tokens=16)).collect()
+    texts = {r["doc_id"]: r["text"] for r in awkward.collect()}
+    by_doc, by_sequence = {}, {}
+    for r in packed:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for doc, rows in by_doc.items():
+        ids = library.encode(texts[doc] or "", add_special_tokens=False).ids + [0]
+        if doc is None:
+            assert len(rows) == 2 and len({r["ids_crc32"] for r in rows}) == 1
+            continue
+        rows.sort(key=lambda r: r["piece"])
+        at = 0
+        for r in rows:
+            part = np.array(ids[at : at + r["length"]], "<u4").tobytes()
+            assert (r["start"], bytes(r["ids"]), r["ids_crc32"]) == (at, part, zlib.crc32(part))
+            at += r["length"]
+        assert at == len(ids) and all(r["length"] == 16 for r in rows[1:])
+    for places in by_sequence.values():
+        places.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
+        assert sum(n for _, n in places) <= 16
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_holds_every_capacity(rule):
+    random.seed(3)
+    lengths = np.array([random.randint(1, 60) for _ in range(400)])
+    capacity = packing.Capacity(tokens=100, documents=4, attention=5000, rule=rule)
+    sequence, offset = packing.best_fit(lengths, capacity)
+    for s in set(sequence.tolist()):
+        own = np.flatnonzero(sequence == s)
+        assert lengths[own].sum() <= 100 and len(own) <= 4 and (lengths[own] ** 2).sum() <= 5000
+        at = sorted(own, key=lambda i: offset[i])
+        assert offset[at].tolist() == [0, *np.cumsum(lengths[at])[:-1].tolist()]
+
+
+def test_packing_is_close_to_the_least_number():
+    random.seed(4)
+    lengths = np.array([random.randint(1, 2048) for _ in range(3000)])
+    sequence, _ = packing.best_fit(lengths, packing.Capacity())
+    assert len(set(sequence.tolist())) <= 1.02 * -(-lengths.sum() // 2048)
+
+
+def test_packing_nothing_and_too_much(spark):
+    empty = spark.createDataFrame([], "doc_id long, length long")
+    assert packing.pack(empty).count() == 0
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([3000]), packing.Capacity())
+
+
+def test_base_secrets_against_plain_rules(spark):
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
+    random.seed(6)
+    bits = ["password", "Token", "SECRET", "api_key", "apikey", " ", "=", ":", '"', "'", "abc123DEF/+", "x", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "f", "\n", "é", "https://h.example/p"]
+    docs += ["".join(random.choice(bits) for _ in range(random.randint(1, 25))) for _ in range(2000)]
+    rules = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), lambda m: len(m[2]) >= 8),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    )
+    for text in docs:
+        found = secret_scan.find(text)
+        base = [(s, k, e) for s, k, e in found if k < 3]
+        assert base == sorted((m.start(), k, m.end()) for k, (_, rule, holds) in enumerate(rules) for m in rule.finditer(text) if holds(m))
+        assert found == sorted(found)
+
+
+def test_weak_parts_are_reported_only_together():
+    key, secret = "ASIA1234567890ABCDEF", "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5bC7d"
+    kinds = lambda text: [secret_scan.KINDS[k] for _, k, _ in secret_scan.find(text)]
+    assert kinds(f"id {key} only") == [] and kinds(f"just {secret} here") == [] and kinds("see https://api.example.com/v1") == []
+    assert kinds(f"{key} and {secret}") == ["weak_id", "weak_secret"]
+    assert kinds(f"https://api.example.com/v1 {secret}") == ["endpoint", "weak_secret"]
+    assert kinds(f"{key}{' ' * 500}{secret}") == []
+    assert kinds(f'{key} password = "hunter2hunter2"') == ["weak_id", "assign"]
+
+
+def test_linking_agrees_with_all_pairs():
+    random.seed(8)
+    role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "s", 5: "e"}
+    needs = {"i": "s", "s": "ie", "e": "is"}
+    for _ in range(300):
+        spans = [(p := random.randint(0, 300), random.randint(0, 5), p + random.randint(1, 30)) for _ in range(12)]
+        strong, weak = [x for x in spans if x[1] < 3], [x for x in spans if x[1] > 2]
+        expected = [w for w in weak if any(role[o[1]] in needs[role[w[1]]] and o[0] < w[2] + 20 and o[2] > w[0] - 20 for o in spans)]
+        assert secret_scan.linked(strong, weak, scope=20) == expected
+
+
+def test_scan_and_redact(awkward, spark):
+    scanned = secret_scan.scan(awkward)
+    rows = {r["doc_id"]: r for r in scanned.collect()}
+    assert [s["kind"] for s in rows[9]["secrets"]] == ["access"] and not rows[0]["secrets"]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(scanned).collect()}
+    assert clean[9] == "[secret]" and clean[0] is None and clean[6] == AWKWARD[6]
+    text = f"a token: {'f' * 40} b AKIA{'Q' * 16}é"
+    one = secret_scan.redact(secret_scan.scan(spark.createDataFrame([(text,)], "text string"))).first()["text"]
+    assert one == "a [secret] b [secret]é"
+    assert secret_scan.scan(awkward.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<p>a<p>b", "a\n\nb"),
+        ("a <b>b</b>\n c<br>d", "a b c\nd"),
+        ("<ul><li>one<li>two<ol start=3><li>x<li>y</ol></ul>", "- one\n- two\n  3. x\n  4. y"),
+        ("<table><tr><th>Name<th>N<tr><td>long name<td>2</table>", "Name       N\nlong name  2"),
+        ("<table><tr><td>字<td>x<tr><td>abc<td>y</table>", "字   x\nabc  y"),
+        ("<pre>\n a\n  b</pre>", "a\n  b".replace("a", " a", 1)),
+        ("x<script>var a='</p>'</script><style>p{}</style><!-- c -->y", "xy"),
+        ("<div hidden>no</div><p style='display: none'>no</p><p>yes", "yes"),
+        ("<select><option>a<option>b</select>", "a\nb"),
+        ("<blockquote>q<br>r</blockquote>", "> q\n> r"),
+        ("&lt;b&gt; &amp; &copy; 1 < 2", "<b> & © 1 < 2"),
+        ("<dl><dt>t<dd>d</dl>", "t\n    d"),
+        ("</div></p>a<img alt=pic>", "apic"),
+        ("<a href='x>y'>l</a", "l"),
+    ],
+)
+def test_rendering(page, text):
+    assert html_text.render(page) == text
+
+
+def test_rendering_survives_deep_and_broken_pages():
+    for page in ("<ul><li>" * 3000 + "x", "<table><tr><td>" * 3000 + "x", "<div>" * 30_000 + "x", "<a " + '"' * 20_001, "<" * 20_000, "<!--" * 5000):
+        html_text.render(page)
+    assert html_text.render("<div>" * 30_000 + "x") == "x"
+
+
+def test_extract_keeps_all_text_of_real_pages(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("old"))
+    rows = html_text.extract(pages).collect()
+    assert len(rows) == pages.count() and rows[0].asDict().keys() == {*pages.columns}
+    for r in rows:
+        body = re.sub(r"(?s)<(script|style|title)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", r["html"])
+        import html as h
+
+        assert re.sub(r"\s", "", h.unescape(body)) == re.sub(r"\s|^- ", "", re.sub(r"(?m)^\s*- ", "", r["text"]))
+
+
+def test_language_families_and_held_out_accuracy(spark):
+    found = QUERIES["op7_hierarchical_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
+    rows = found.where("held_out").select("lang", "lang_pred", "score").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.97 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_of_awkward_texts(spark, awkward):
+    labelled = spark.createDataFrame([("the cat and the dog " * 3, "en"), ("der Hund und die Katze " * 3, "de"), ("le chat et le chien " * 3, "fr"), (None, "en"), ("x", None), ("12", "de")], "text string, lang string")
+    model = langid.fit(labelled)
+    assert sorted(x for g in model.families for x in g) == ["de", "en", "fr"] and len(model.families) == 2
+    rows = {r["doc_id"]: r for r in langid.predict(awkward, model).collect()}
+    assert {rows[i]["lang_pred"] for i in (0, 1, 2, 3)} == {"und"} and rows[0]["score"] == 0
+    assert rows[5]["lang_pred"] in ("de", "en", "fr")
+    none = langid.fit(labelled.limit(0))
+    assert {r["lang_pred"] for r in langid.predict(awkward, none).collect()} == {"und"}
+
+
+if __name__ == "__main__":
+    sys.exit(pytest.main([__file__]))
