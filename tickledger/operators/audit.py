@@ -76,3 +76,15 @@ def differences(published: DataFrame, expected: DataFrame, columns: Sequence[str
     """Rows whose copies differ between two bags: positive = only published, negative = missing."""
     both = published.select(*columns, F.lit(1).alias("side")).unionByName(expected.select(*columns, F.lit(-1).alias("side")))
     return both.groupBy(*columns).agg(F.sum("side").alias("surplus")).where(F.col("surplus") != 0)
+
+
+def agreement(entries: DataFrame, views: Sequence[str]) -> DataFrame:
+    """Per view, how many rows its history has that the view has not (`surplus`), and the other way round (`missing`).
+
+    `entries` are (view, account, value, diff): the history's own diffs, and -1 for each row of the view.
+    """
+    left = entries.groupBy("view", "account", "value").agg(F.sum("diff").alias("surplus"))
+    named = entries.sparkSession.createDataFrame([(v,) for v in views], "view string")
+    found = left.groupBy("view").agg(F.count_if(F.col("surplus") > 0).alias("surplus"), F.count_if(F.col("surplus") < 0).alias("missing"))
+    nothing = F.lit(0).cast("bigint")
+    return named.join(found, "view", "left").select("view", F.coalesce("surplus", nothing).alias("surplus"), F.coalesce("missing", nothing).alias("missing"))

@@ -7,7 +7,7 @@ all views agree at every tick, the input position shows every intermediate state
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +29,14 @@ class Steps:
     """Rows (account, tick, *SIDES), one per account and tick, and how to scan them.
 
     `per_tick` is the most rows one tick can have, where that is known: with one there is
-    nothing to add up per tick, with two it does not pay to do so before a shuffle.
+    nothing to add up per tick, with two it does not pay to do so before a shuffle. `scanned`
+    holds the running sides where several views share one scan (`scanned_once`).
     """
 
     rows: DataFrame
     layout: Layout
     per_tick: int | None = None
+    scanned: DataFrame | None = None
 
     def running(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         """`rows` with the running value of `columns` per account, as run_<column>."""
@@ -42,16 +44,27 @@ class Steps:
         return prefix_scan(rows, folds, keys=["account"], order=["tick"], layout=self.layout)
 
     def running_side(self, side: str) -> DataFrame:
+        if self.scanned is not None:
+            columns = [side, f"{side}_rows", f"run_{side}", f"run_{side}_rows"]
+            return self.scanned.where(F.col(f"{side}_rows") > 0).select("account", "tick", *columns)
         rows = self.rows.where(F.col(f"{side}_rows") > 0).select("account", "tick", side, f"{side}_rows")
         return self.running(rows, [side, f"{side}_rows"])
 
     def running_balance(self) -> DataFrame:
         net = (F.col("credit") - F.col("debit")).alias("net")
+        if self.scanned is not None:
+            run_net = (F.col("run_credit") - F.col("run_debit")).alias("run_net")
+            return self.scanned.select("account", "tick", net, "credit_rows", "debit_rows", run_net, "run_credit_rows", "run_debit_rows")
         return self.running(
             self.rows.select("account", "tick", net, "credit_rows", "debit_rows"), ["net", "credit_rows", "debit_rows"]
         )
 
 
+def scanned_once(steps: Steps) -> Steps:
+    """The same steps with all four sides scanned once and written, for several views that follow from them."""
+    return replace(steps, scanned=pin(steps.running(steps.rows, SIDES), "running-sides"))
+
+
 def event_time_steps(tx: DataFrame) -> Steps:
     """What each account gained on each side at each event time.
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickledger.functions.legs import two_sided_legs
 from tickledger.operators import audit
 from tickledger.operators import changelog as C
 from tickledger.operators import views as V
@@ -138,19 +139,17 @@ AGREEMENT = sql(
 def audit_views_agree(spark, folder):
     """Snapshots of the histories against the views computed directly at the same tick."""
     kept = kept_transfers(spark, folder)
-    steps = C.event_time_steps(kept)
+    steps = C.scanned_once(C.event_time_steps(kept))
     seen = V.as_of(kept, F.timestamp_micros(F.lit(SNAPSHOT_AT)))
-    checks = [
-        _agreement("credits", C.credits_changelog(steps), V.credits(seen)),
-        _agreement("debits", C.debits_changelog(steps), V.debits(seen)),
-        _agreement("balance", C.balance_changelog(steps), V.balance(seen)),
+    histories = {"credits": C.credits_changelog(steps), "debits": C.debits_changelog(steps), "balance": C.balance_changelog(steps)}
+    published = [
+        log.where(F.col("tick") <= SNAPSHOT_AT).select(F.lit(view).alias("view"), "account", F.col(view).alias("value"), "diff")
+        for view, log in histories.items()
     ]
-    return reduce(DataFrame.unionByName, checks)
-
-
-def _agreement(view: str, history: DataFrame, direct: DataFrame) -> DataFrame:
-    columns = ["account", view]
-    found = audit.differences(C.snapshot_as_of(history, columns, SNAPSHOT_AT), direct, columns)
-    return found.agg(
-        F.count_if(F.col("surplus") > 0).alias("surplus"), F.count_if(F.col("surplus") < 0).alias("missing")
-    ).select(F.lit(view).alias("view"), "surplus", "missing")
+    # all direct views follow from one aggregate of both sides
+    sides = two_sided_legs(seen).groupBy("account").agg(*[F.sum(c).alias(c) for c in C.SIDES])
+    credited, debited = F.col("credit_rows") > 0, F.col("debit_rows") > 0
+    values = {"credits": (credited, F.col("credit")), "debits": (debited, F.col("debit")), "balance": (credited & debited, F.col("credit") - F.col("debit"))}
+    entries = [F.when(on, F.struct(F.lit(view).alias("view"), "account", value.alias("value"), F.lit(-1).alias("diff"))) for view, (on, value) in values.items()]
+    direct = sides.select(F.explode(F.array(*entries)).alias("entry")).where("entry is not null").select("entry.*")
+    return audit.agreement(reduce(DataFrame.unionByName, [*published, direct]), list(histories))

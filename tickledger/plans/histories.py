@@ -157,7 +157,7 @@ def outer_join_changelog_eager(spark, folder):
 @plan("join_changelogs", sql(*KEPT_RUNS, BALANCE_LOG, "SELECT tick, account, balance, diff FROM balance_log"))
 def join_changelogs(spark, folder):
     """The balance history from the published credit and debit histories alone."""
-    steps = _kept_steps(spark, folder)
+    steps = C.scanned_once(_kept_steps(spark, folder))
     return C.join_changelogs(
         C.credits_changelog(steps),
         C.debits_changelog(steps),
@@ -182,7 +182,7 @@ def join_changelogs(spark, folder):
 )
 def consolidate(spark, folder):
     """Which accounts a side gained at a tick: replacements cancel out."""
-    steps = _kept_steps(spark, folder)
+    steps = C.scanned_once(_kept_steps(spark, folder))
     entries = [log(steps).select("tick", "account", "diff") for log in (C.credits_changelog, C.debits_changelog)]
     return C.consolidate(entries[0].unionByName(entries[1]), ["account"])
 

@@ -128,7 +128,7 @@ def publish_changelogs(steps: DataFrame, path: str, checkpoint: str) -> Streamin
         if stored.isEmpty():
             return
         rows = _with_opening(spark, stored, f"{path}/accounts", batch)
-        current = C.Steps(rows, plan_layout(rows, "tick", ["account"]))
+        current = C.scanned_once(C.Steps(rows, plan_layout(rows, "tick", ["account"])))
         for name, changelog in VIEWS.items():
             entries = changelog(current).where(F.col("tick") > OPENING_TICK)
             entries.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
