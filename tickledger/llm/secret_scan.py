@@ -42,7 +42,9 @@ ASSIGN = re.compile(f"(?:{'|'.join(map(_either_case, KEYWORDS))})" + r"""["']?\x
 HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?:A[A-Z]{3}[A-Z0-9]{12,124}|(?:client|account|user|key)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,})", re.ASCII)
+WEAK_ID = re.compile(r"(?<![A-Za-z0-9])A[A-Z]{3}[A-Z0-9]{12,124}", re.ASCII)
+NAMED_ID = re.compile(r"(?<![A-Za-z0-9])(?:client|account|user|key)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}", re.ASCII)
+ID_NAMES = ("client", "account", "user", "key")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII)
 MIXED = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
@@ -66,9 +68,10 @@ def weak(text: str, folded: str, strong: list[tuple[int, int, int]]) -> list[tup
     out = []
     if "://" in text:
         out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    if strong or out or "id" in folded:
-        out += [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
-    if strong or out:  # a secret alone is never reported
+    out += [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
+    if ("=" in text or ":" in text) and any(name in folded for name in ID_NAMES):
+        out += [(m.start(), 3, m.end()) for m in NAMED_ID.finditer(text)]
+    if out or any(kind == 1 for _, kind, _ in strong):  # a secret with neither identifier nor endpoint is never reported
         out += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text) if all(x.search(m[0]) for x in MIXED)]
     covered = sorted((s, e) for s, _, e in strong)
     starts = [s for s, _ in covered]
