@@ -134,7 +134,7 @@ def write(pages: DataFrame, root: str, key: str = "page_id", uri: str = "url", p
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields)
     sharded = both.mapInArrow(with_shard, f"{kinds}, shard int")
-    ordered = sharded.repartition(len(borders) + 1, "shard").sortWithinPartitions("shard", "key", "kind", "uri", F.sha1("payload"))
+    ordered = sharded.repartitionById(len(borders) + 1, "shard").sortWithinPartitions("shard", "key", "kind", "uri", F.sha1("payload"))
     temporary = f"{root}/_temporary"
     _open(root)[0].create_dir(_open(temporary)[1], recursive=True)
 
