@@ -198,7 +198,8 @@ def concentrated(inner: DataFrame, factor: DataFrame, settings: Settings) -> Dat
     near = _with_distance(inner, factor).where("distance is not null")
     # cells of one percent of the distance; the share ends with the cell that reaches it
     near = near.withColumn("cell", F.floor(F.log(F.col("distance") + 1e-6) * 100))
-    limit = _quantile(near.groupBy("group", "cell").count(), ["group"], settings.share, 1).withColumnRenamed("cell", "last")
+    # one row per group; written, so that its size is known and a hot group need not be moved for it
+    limit = pin(_quantile(near.groupBy("group", "cell").count(), ["group"], settings.share, 1), "limits").withColumnRenamed("cell", "last")
     kept = near.join(limit, "group").where("cell <= last")
     means = [F.avg(x).alias(f"a{i}") for i, x in enumerate(DIMENSIONS)]
     products = [F.covar_pop(DIMENSIONS[i], DIMENSIONS[j]).alias(f"v{i}{j}") for i, j in _lower()]
