@@ -37,8 +37,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """Sampled rows per language and of all languages, SVM penalty and rounds, and how margins become scores."""
 
-    per_language: int = 1000
-    most_rows: int = 20_000
+    per_language: int = 500
+    most_rows: int = 8000
     penalty: float = 10.0
     rounds: int = 200
     steepness: float = 4.0
@@ -101,7 +101,8 @@ def sample_of(labelled: DataFrame, text: str, label: str, settings: Settings) ->
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("label is not null")
     counts = rows.groupBy("label").count().collect()
     each = min(settings.per_language, settings.most_rows / max(1, len(counts)))
-    shares = rows.sparkSession.createDataFrame([(r["label"], int((1 << 30) * min(1.0, each / r["count"]))) for r in counts], "label string, upto long")
+    # one row per language; without the hint the planner, which does not know that, would move all texts first
+    shares = F.broadcast(rows.sparkSession.createDataFrame([(r["label"], int((1 << 30) * min(1.0, each / r["count"]))) for r in counts], "label string, upto long"))
     drawn = rows.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).join(shares, "label")
     return drawn.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto")).select("text", "label").distinct()
 
@@ -118,23 +119,28 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", settings:
     labels = np.array(drawn.column("label").to_pylist(), dtype=object)
     if not len(labels):
         return Model()
-    x = np.frombuffer(b"".join(drawn.column("x").to_pylist()), "<f4").reshape(len(labels), DIMENSIONS).astype(float)
+    x = np.empty((len(labels), DIMENSIONS), np.float32)
+    for i, row in enumerate(drawn.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), "<f4")
+    del drawn
     order = np.lexsort((*x.T[:8], labels.astype(str)))
-    return train(x[order], labels[order], settings)
+    return train(x, labels, order, settings)
 
 
-def train(x: np.ndarray, labels: np.ndarray, settings: Settings) -> Model:
+def train(x: np.ndarray, labels: np.ndarray, order: np.ndarray, settings: Settings) -> Model:
+    """Both levels of machines from the rows of `x`, taken in `order` so that sums do not depend on how rows came."""
     languages = sorted(set(labels))
-    model = Model(families=families_of(np.array([x[labels == n].mean(axis=0) for n in languages]), languages), steepness=settings.steepness)
+    means = np.array([x[order[labels[order] == n]].mean(axis=0) for n in languages])
+    model = Model(families=families_of(means, languages), steepness=settings.steepness)
     family = {n: i for i, names in enumerate(model.families) for n in names}
     of = np.array([family[n] for n in labels])
     for a in range(len(model.families)):
         for b in range(a + 1, len(model.families)):
-            model.between[a, b] = svm(x[of == a], x[of == b], settings)
+            model.between[a, b] = svm(x, order[of[order] == a], order[of[order] == b], settings)
     for names in model.families:
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
-                model.within[a, b] = svm(x[labels == a], x[labels == b], settings)
+                model.within[a, b] = svm(x, order[labels[order] == a], order[labels[order] == b], settings)
     return model
 
 
@@ -148,19 +154,22 @@ def families_of(means: np.ndarray, languages: list[str]) -> list[list[str]]:
     return sorted(sorted(languages[i] for i in g) for g in groups)
 
 
-def svm(first: np.ndarray, second: np.ndarray, settings: Settings) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss, classes weighted alike, by accelerated gradients."""
-    x = np.hstack([np.vstack([first, second]), np.ones((len(first) + len(second), 1))])
-    y = np.concatenate([np.ones(len(first)), -np.ones(len(second))])
-    weight = np.where(y > 0, 0.5 / len(first), 0.5 / len(second)) * settings.penalty
-    step = 1 / (1 + 2 * settings.penalty * (x**2).sum(axis=1).max())
-    at = ahead = np.zeros(x.shape[1])
+def svm(x: np.ndarray, first: np.ndarray, second: np.ndarray, settings: Settings) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss between two sets of rows, by accelerated gradients.
+
+    Classes are weighted alike. Features have length one, so a margin's gradient is bounded by the row's length with bias.
+    """
+    own = x[np.concatenate([first, second])]
+    y = np.concatenate([np.ones(len(first), np.float32), -np.ones(len(second), np.float32)])
+    weight = (np.where(y > 0, 0.5 / len(first), 0.5 / len(second)) * settings.penalty).astype(np.float32)
+    step = np.float32(1 / (1 + 2 * settings.penalty * 2))
+    at = ahead = np.zeros(own.shape[1] + 1, np.float32)
     for k in range(settings.rounds):
-        short = np.maximum(0, 1 - y * (x @ ahead))
-        gradient = ahead - 2 * x.T @ (weight * short * y)
+        pull = 2 * weight * np.maximum(0, 1 - y * (own @ ahead[:-1] + ahead[-1])) * y
+        gradient = ahead - np.append(pull @ own, pull.sum())
         before, at = at, ahead - step * gradient
-        ahead = at + k / (k + 3) * (at - before)
-    return at
+        ahead = at + np.float32(k / (k + 3)) * (at - before)
+    return at.astype(float)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
