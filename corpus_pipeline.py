@@ -20,7 +20,7 @@ from tickledger.workspace import fresh_path
 #: Below this score neither the family nor the language is clear.
 LEAST_SCORE = 0.2
 #: Pieces with ids are larger than those without, so a packing task takes fewer.
-PIECES_PER_TASK = 8192
+PIECES_PER_TASK = 4096
 
 
 def _wrapped(docs: DataFrame, *names: str) -> DataFrame:

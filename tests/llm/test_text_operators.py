@@ -43,7 +43,7 @@ def test_automaton_agrees_with_the_library(library):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 30)))
         ids = library.encode(text, add_special_tokens=False).ids
         assert ids_of(coder.encode(text)) == ids
-        assert coder.tables.decode(coder.encode(text)) == library.decode(ids, skip_special_tokens=False)
+        assert bpe.decode_ids(coder.tables.labels, coder.encode(text)) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_automaton_accepts_only_what_merging_gives():

@@ -32,7 +32,7 @@ from tickledger.llm.base import rebatched
 # Fixed value: the pre-split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 BATCH_ROWS = 256
 
 
@@ -95,10 +95,10 @@ class Automaton:
                 raise ValueError("the vocabulary has no tokens for some part of the text")
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """Text of little-endian 32-bit ids; bytes that are no UTF-8 become U+FFFD."""
-        labels = self.labels
-        return b"".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+def decode_ids(labels: list[bytes], ids: bytes) -> str:
+    """Text of little-endian 32-bit ids, the labels of their arcs; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 def _compile(size: int, merges: list, lengths: list[int], added: set[int]):
@@ -224,43 +224,34 @@ def _narrow_pattern() -> str:
     return f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def encoder(shared) -> Encoder:
-    """The encoder of this Python worker for a broadcast automaton; its words are kept between tasks."""
-    tables = shared.value
-    if id(tables) not in _encoders:
-        _encoders.clear()
-        _encoders[id(tables)] = Encoder(tables)
-    return _encoders[id(tables)]
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of `docs` and `ids`, the token ids of the whole text as little-endian 32-bit integers.
 
     No shuffle. A null text counts as empty and gives empty ids; a column already named like `ids` is replaced.
     """
-    return _mapped(docs, path, text, ids, "binary")
+    shared = docs.sparkSession.sparkContext.broadcast(automaton(path))
+
+    def coder():
+        # one for each task: a worker that goes on to other work holds no words
+        tool = Encoder(shared.value)
+        return lambda x: tool.encode(x or "")
+
+    return _mapped(docs, text, ids, pa.binary(), "binary", coder)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of `docs` and `text`, decoded from `ids`; null ids give an empty text."""
-    return _mapped(docs, path, ids, text, "string")
+    shared = docs.sparkSession.sparkContext.broadcast(automaton(path).labels)
+    return _mapped(docs, ids, text, pa.string(), "string", lambda: lambda x: decode_ids(shared.value, x or b""))
 
 
-def _mapped(docs: DataFrame, path: str, source: str, target: str, kind: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton(path))
+def _mapped(docs: DataFrame, source: str, target: str, arrow: pa.DataType, kind: str, make) -> DataFrame:
     carried = docs.select(F.struct(*[docs[c] for c in docs.columns if c != target]).alias("row"), docs[source].alias("value"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(shared)
+        function = make()
         for batch in rebatched(batches, BATCH_ROWS):
-            values = batch.column(1).to_pylist()
-            if kind == "binary":
-                out = pa.array([tool.encode(x or "") for x in values], pa.binary())
-            else:
-                out = pa.array([tool.tables.decode(x or b"") for x in values], pa.string())
+            out = pa.array([function(x) for x in batch.column(1).to_pylist()], arrow)
             yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["row", "value"])
 
     row_type = carried.schema["row"].dataType.simpleString()

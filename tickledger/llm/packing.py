@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickledger.llm.base import rebatched
-from tickledger.llm.bpe import BATCH_ROWS, automaton, encoder
+from tickledger.llm.bpe import BATCH_ROWS, Encoder, automaton
 from tickledger.workspace import pin
 
 
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, text
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(shared)
+        tool = Encoder(shared.value)
         for batch in rebatched(batches, BATCH_ROWS):
             of, cut = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
@@ -95,7 +95,7 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), length: str = "lengt
         sequence, offset = best_fit(rows.column("value").to_numpy(), capacity)
         base = TaskContext.get().partitionId() << 40
         out = pa.table([rows.column("row"), pa.array(sequence + base, pa.int64()), pa.array(offset, pa.int64())], names=["row", "sequence_id", "offset"])
-        yield from out.to_batches(max_chunksize=10_000)
+        yield from out.to_batches(max_chunksize=1000)
 
     row_type = carried.schema["row"].dataType.simpleString()
     placed = carried.mapInArrow(run, f"row {row_type}, sequence_id long, offset long")
