@@ -11,12 +11,14 @@ From sketches to components:
 
 1. Copies of one word sequence form a class; only its smallest document goes on.
 2. Documents that agree in all coordinates of a band share a bucket.
-3. Each member of a bucket is verified against the bucket's smallest; components of those links follow.
-4. Buckets whose members still lie in several components are worked through in blocks: all pairs of a
-   bucket are compared exactly inside the task, which returns only links that join components.
-
-Step 4 leaves out no pair of a bucket, so a link is missed only if no band agrees (for similarity 0.85 one
-pair in 10^8). No pairs within a group are ever written out: links between members that
+3. Each member of a bucket is verified against the bucket's smallest, by sketch and then by whole set;
+   components of those links follow.
+4. In buckets whose members still lie in several components all pairs are compared inside the task, block by
+   block: by sketches at first, which leaves the members that have a partner in reach in another component,
+   then by their whole sets. A task returns only links that join components.
+
+Step 4 leaves out no pair of a bucket, so a link is missed only if no band agrees or its sketches differ by
+more than seven standard deviations (for similarity 0.85 one pair in 10^8). No pairs within a group are ever written out: links between members that
 are connected already are not needed for components.
 """
 
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickledger.llm.base import rebatched
+from tickledger.llm.url_filter import possible_hits
 from tickledger.workspace import pin
 
 BATCH_ROWS = 128
@@ -49,6 +52,17 @@ class Settings:
     rows: int = 6
     partners: int = 1000  # partners of one document that a verification task takes at most
     block_shingles: int = 400_000  # shingles of a bucket that one side of a block holds
+    block_sketches: int = 1024  # and how many sketches
+
+    @property
+    def coordinates(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def least_equal(self) -> float:
+        """Equal coordinates that a link has but for one in 10^11: seven standard deviations below the mean."""
+        share = self.percent / 100
+        return self.coordinates * share - 7 * (self.coordinates * share * (1 - share)) ** 0.5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,9 +156,9 @@ def own_id(key: Column, text: Column) -> Column:
 
 
 def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
-    """`id, own, h1, h2, n, bands` for rows `id, own, text`: fingerprint, set size and band keys."""
-    t = settings.bands * settings.rows
-    kinds = [("id", pa.int64()), ("own", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    """`id, own, h1, h2, n, bands, sketch` for rows `id, own, text`: fingerprint, set size, band keys, sketch bytes."""
+    t = settings.coordinates
+    kinds = [("id", pa.int64()), ("own", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, BATCH_ROWS):
@@ -155,13 +169,14 @@ def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
                 print_ = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
                 if print_ not in known:
                     elements = shingles(words, settings.words)
-                    keys = band_keys(sketch(elements, t), settings.bands, settings.rows) if len(elements) else []
-                    known[print_] = len(elements), keys
+                    made = sketch(elements, t) if len(elements) else np.empty(0, np.uint64)
+                    keys = band_keys(made, settings.bands, settings.rows) if len(elements) else []
+                    known[print_] = len(elements), keys, made.astype(np.uint8).tobytes()
                 out.append((*(int.from_bytes(print_[i : i + 8], "little", signed=True) for i in (0, 8)), *known[print_]))
-            made = [pa.array([r[c] for r in out], kind) for c, (_, kind) in enumerate(kinds[2:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), *made], schema=pa.schema(kinds))
+            columns = [pa.array([r[c] for r in out], kind) for c, (_, kind) in enumerate(kinds[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), *columns], schema=pa.schema(kinds))
 
-    return docs.mapInArrow(run, "id long, own long, h1 long, h2 long, n long, bands array<long>")
+    return docs.mapInArrow(run, "id long, own long, h1 long, h2 long, n long, bands array<long>, sketch binary")
 
 
 def components(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,33 +190,43 @@ def components(docs: DataFrame, settings: Settings = Settings(), key: str = "doc
     plain = docs.select(docs[key].cast("long").alias("id"), own_id(docs[key], docs[text]).alias("own"), docs[text].alias("text"))
     rows = pin(sketched(plain, settings), "sketches")
     # one class for each word sequence; texts without words stay alone
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("own").alias("node"))
+    classes = pin(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("own").alias("node")), "classes")
     joined = rows.join(classes, ["h1", "h2"], "left")
-    member = pin(joined.select("id", "own", "n", F.coalesce("node", "own").alias("node"), F.when(F.col("own") == F.col("node"), F.col("bands")).alias("bands")), "members")
+    member = pin(joined.select("id", "own", "n", F.coalesce("node", "own").alias("node"), *[F.when(F.col("own") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "sketch")]), "members")
 
     keyed = member.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
+    ends = [F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print")]
+    shared = keyed.groupBy("bucket").agg(*ends).where("leader < last")
+    # of buckets with the same members, as bands of close copies make them, one is enough
+    shared = shared.groupBy("leader", "last", "size", "print").agg(F.min("bucket").alias("bucket"))
     buckets = pin(keyed.join(shared.select("bucket", "leader"), "bucket").distinct(), "buckets")
 
-    pairs = pin(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
-    sets = pin(_sets(plain.join(wanted, "own", "left_semi"), settings), "candidate-sets")
-    links = pin(_verified(pairs, sets, settings), "links")
+    wanted = buckets.select("node").distinct()
+    sketches = pin(member.where("bands is not null").select("node", "sketch").join(wanted, "node", "left_semi").distinct(), "candidate-sketches")
+    pairs = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    likely = pin(_compared(pin(pairs, "pairs"), sketches, "sketch", alike(settings), settings), "likely-pairs")
+    sets = _sets(plain, likely.select(F.explode(F.array("a", "b")).alias("node")), settings)
+    links = pin(_compared(likely, sets, "elements", similar(settings), settings), "links")
     labels = connected(links)
 
     # buckets that those links leave in several components
     placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sums = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     split = placed.join(sums.where("low < high and size > 2").select("bucket"), "bucket").select("bucket", "node", "label")
-    across = pin(_across(split, sets, settings), "more-links")
+    across = pin(_across(split, sketches, plain, settings), "more-links")
     final = connected(links.unionByName(across))
 
     named = member.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return named.select("id", "own", F.col("n").alias("n_shingles"), "label", F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
 
 
-def _sets(candidates: DataFrame, settings: Settings) -> DataFrame:
-    """`node, n, elements`: the sets of the candidates' whole texts, made once."""
+def _sets(plain: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """`node, n, elements`: the sets of the whole texts of the documents `wanted`.
+
+    A blocked Bloom filter keeps the texts of most other documents from being moved to the exact join.
+    """
+    keys = pin(wanted.distinct(), "wanted")
+    candidates = possible_hits(plain, "own", keys, "node").join(keys, F.col("own") == F.col("node"), "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, BATCH_ROWS):
@@ -209,7 +234,7 @@ def _sets(candidates: DataFrame, settings: Settings) -> DataFrame:
             columns = [batch.column("own"), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "elements"])
 
-    return candidates.select("own", "text").distinct().mapInArrow(run, "node long, n long, elements binary")
+    return pin(candidates.select("own", "text").distinct().mapInArrow(run, "node long, n long, elements binary"), "candidate-sets")
 
 
 def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -229,12 +254,28 @@ def _groups(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield held
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs `a, b` whose sets are similar enough. Partners of one `a` are dealt to several tasks."""
+def alike(settings: Settings):
+    """Whether two sketches agree well enough for a link."""
+    least = settings.least_equal
+    return lambda x, y: (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum() >= least
+
+
+def similar(settings: Settings):
+    """Whether two whole sets are linked."""
+
+    def test(x: bytes, y: bytes) -> bool:
+        first, second = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        return linked(_common(first, second), len(first), len(second), settings.percent)
+
+    return test
+
+
+def _compared(pairs: DataFrame, sides: DataFrame, payload: str, test, settings: Settings) -> DataFrame:
+    """The pairs `a, b` whose payloads pass the test. Partners of one `a` are dealt to several tasks."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / settings.partners).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    partners = dealt.join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "elements")
-    leaders = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "elements")
+    partners = dealt.join(sides, F.col("b") == F.col("node")).select("a", "part", "b", payload)
+    leaders = parts.join(sides, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), payload)
     together = leaders.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +283,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
         for batch in rebatched(batches, BATCH_ROWS):
             out = []
             for row in batch.to_pylist():
-                elements = np.frombuffer(row["elements"], np.uint64)
                 if row["b"] is None:
-                    held = [*(held if at == (row["a"], row["part"]) else []), elements]
+                    held = [*(held if at == (row["a"], row["part"]) else []), row[payload]]
                     at = row["a"], row["part"]
-                elif any(linked(_common(x, elements), len(x), len(elements), settings.percent) for x in held):
+                elif any(test(x, row[payload]) for x in held):
                     out.append((row["a"], row["b"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
@@ -261,24 +301,49 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(places, len(y) - 1)] == x).sum())
 
 
-def _across(split: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links `a, b` between components within buckets, as many as join what can be joined.
-
-    A bucket is cut into blocks of about `block_shingles`; each pair of its blocks is a unit of work.
-    """
-    weighed = split.join(sets, "node")
-    blocks = weighed.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") + 64) / settings.block_shingles).cast("int").alias("blocks"))
-    cut = weighed.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "elements")
+def _across(split: DataFrame, sketches: DataFrame, plain: DataFrame, settings: Settings) -> DataFrame:
+    """Links `a, b` between components within buckets, as many as join what can be joined."""
     unit = ("bucket", "low", "high")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, unit):
+            found = in_reach(group, settings.least_equal)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in ("bucket", "node")], names=["bucket", "node"])
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, unit):
             found = join_components(group, settings.percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "a long, b long").distinct()
+    sketched_ = split.join(sketches, "node")
+    members = pin(_blocks(sketched_, F.count("*") / settings.block_sketches, "sketch").mapInArrow(near, "bucket long, node long").distinct(), "in-reach")
+    sets = _sets(plain, members.select("node"), settings)
+    left = split.join(members, ["bucket", "node"]).join(sets, "node")
+    return _blocks(left, F.sum(F.col("n") + 64) / settings.block_shingles, "elements").mapInArrow(exact, "a long, b long").distinct()
+
+
+def _blocks(members: DataFrame, weight: Column, payload: str) -> DataFrame:
+    """Members dealt to the units of their bucket, sorted by unit: its blocks, about `weight` of them, in pairs."""
+    blocks = members.groupBy("bucket").agg(F.ceil(weight).cast("int").alias("blocks"))
+    cut = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = paired.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", payload)
+    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+
+def in_reach(group: list[dict], least_equal: float) -> list[dict]:
+    """The members of a unit whose sketch agrees well enough with one of another component."""
+    sketches = np.array([np.frombuffer(r["sketch"], np.uint8) for r in group])
+    labels = np.array([r["label"] for r in group])
+    found = np.zeros(len(group), bool)
+    for i in range(len(group) - 1):
+        others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        close = others[(sketches[others] == sketches[i]).sum(axis=1) >= least_equal]
+        found[close] = True
+        found[i] |= len(close) > 0
+    return [r for r, keep in zip(group, found, strict=True) if keep]
 
 
 def join_components(group: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -339,10 +404,15 @@ def connected(links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which one stands for each component: the one with the smallest id.
 
-    Rows that repeat an id count as one document: the smallest text stays.
+    Rows that repeat an id count as one document: the smallest text stays. What joins the documents is the ids that go and
+    the ids that repeat; both are written before, so texts are moved only where those lists are long.
     """
-    kept = components(docs, settings, key, text).where("own = label").select(F.col("own").alias("kept_id")).distinct()
+    counts = components(docs, settings, key, text).groupBy("own").agg(F.max(F.col("own") == F.col("label")).alias("kept"), F.count("*").alias("rows"))
+    counts = pin(counts.where("not kept or rows > 1"), "kept-ids")
+    gone = counts.where("not kept").select(F.col("own").alias("kept_id"))
+    repeated = counts.where("kept").select(F.col("own").alias("kept_id"))
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_row"), own_id(docs[key], docs[text]).alias("kept_id"), docs[text].alias("doc_text"))
-    found = named.join(kept, "kept_id", "left_semi")
+    left = named.join(gone, "kept_id", "left_anti")
     first = Window.partitionBy("kept_id").orderBy("doc_text")
-    return found.withColumn("doc_place", F.row_number().over(first)).where("doc_place = 1").select("doc_row.*")
+    smallest = left.join(repeated, "kept_id", "left_semi").withColumn("doc_place", F.row_number().over(first)).where("doc_place = 1")
+    return left.join(repeated, "kept_id", "left_anti").select("doc_row.*").unionByName(smallest.select("doc_row.*"))

@@ -99,6 +99,22 @@ def blocks_of(listed: DataFrame, column: str, blocks: int) -> DataFrame:
     return words.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
 
 
+def filter_of(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The filter of the distinct values of `column`, broadcast-sized, and its number of blocks."""
+    blocks = min(MAX_BLOCKS, max(1, -(-keys.count() // KEYS_PER_BLOCK)))
+    return F.broadcast(pin(blocks_of(keys, column, blocks), "bloom-filter")), blocks
+
+
+def possible_hits(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose `column` may be among `keys`: all that are, and few others while the filter is below its bound."""
+    filter_, blocks = filter_of(keys, key)
+    hashed = F.xxhash64(column)
+    hit = F.lit(True)
+    for w in range(WORDS):
+        hit = hit & (F.col(f"w{w}").bitwiseAND(_bit(hashed, w)) != 0)
+    return rows.withColumn("probe_block", _block(hashed, blocks)).join(filter_, (F.col("probe_block") == F.col("block")) & hit).select(*rows.columns)
+
+
 def listed_in(pages: DataFrame, listed: DataFrame, column: str) -> DataFrame:
     """All rows and columns of `pages` and `listed`, whether `column` is in the one-column table `listed`.
 
@@ -106,8 +122,7 @@ def listed_in(pages: DataFrame, listed: DataFrame, column: str) -> DataFrame:
     """
     name = "listed_key"
     keys = pin(listed.select(F.col(listed.columns[0]).alias(name)).dropna().distinct(), "url-list")
-    blocks = min(MAX_BLOCKS, max(1, -(-keys.count() // KEYS_PER_BLOCK)))
-    filter_ = F.broadcast(pin(blocks_of(keys, name, blocks), "url-filter"))
+    filter_, blocks = filter_of(keys, name)
     key = F.xxhash64(column)
     probed = pages.withColumn("probe_block", _block(key, blocks)).join(filter_, F.col("probe_block") == F.col("block"), "left")
     hit = F.col(column).isNotNull()
