@@ -189,6 +189,28 @@ def test_linking_agrees_with_all_pairs():
         assert secret_scan.linked(strong, weak, scope=20) == expected
 
 
+def test_no_string_is_both_parts():
+    secret = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    url = "https://example.com/Docs/2021/Report-Final-v2"
+    kinds = lambda text: [secret_scan.KINDS[k] for _, k, _ in secret_scan.find(text)]
+    assert kinds(f"see {url} for more") == [] and kinds(f"key_id = {secret}") == []
+    assert kinds(f"{url} and {url}") == [] and kinds(f"https://a.example/r?to={url}") == []
+    assert kinds(f"{url}?n=1 {secret}") == ["endpoint", "weak_secret"]
+    assert kinds(f"key_id = {secret} {secret[::-1]}") == ["weak_id", "weak_secret"]
+    assert kinds(f"https://user:{secret}@example.com/v1") == ["endpoint", "weak_secret"]
+
+
+def test_linking_of_parts_that_lie_apart():
+    random.seed(8)
+    role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "s", 5: "e"}
+    needs = {"i": "s", "s": "ie", "e": "is"}
+    for _ in range(300):
+        spans = [(p := random.randint(0, 300), random.randint(0, 5), p + random.randint(1, 30)) for _ in range(12)]
+        strong, weak = [x for x in spans if x[1] < 3], [x for x in spans if x[1] > 2]
+        expected = [w for w in weak if any(role[o[1]] in needs[role[w[1]]] and (w[0] - 20 < o[2] <= w[0] or w[2] <= o[0] < w[2] + 20) for o in spans)]
+        assert secret_scan.linked(strong, weak, scope=20, place=lambda x: (x[0], x[2])) == expected
+
+
 def test_scan_and_redact(awkward, spark):
     scanned = secret_scan.scan(awkward)
     rows = {r["doc_id"]: r for r in scanned.collect()}

@@ -9,15 +9,17 @@ the complementary parts of their own text, and one is reported only where
 * a secret has an identifier or an endpoint in reach,
 * an endpoint has an identifier or a secret in reach.
 
-Strong spans count as parts too: `access` as identifier, `assign` and `hex` as secrets. The join
+Strong spans count as parts too: `access` as identifier, `assign` and `hex` as secrets. Two parts link only
+if they lie apart, so that no string is both. An endpoint's part is its host and path: a user or parameter in the same
+URL may link with it, and nothing within host and path is a secret. The join
 merges sorted intervals by their nearest neighbours, so no pairs are formed, however many parts a text has.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,9 @@ NAMED_ID = re.compile(r"(?<![A-Za-z0-9])(?:client|account|user|key)[_-]?id[\"']?
 ID_NAMES = ("client", "account", "user", "key")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII)
+#: Host and path of a URL, after the user that may stand before the host; URLs may hold others as parameters.
+LOCATION = re.compile(r"://(?:[^\s\"'<>/?#@]*@)*([^\s\"'<>?#]*)")
+INNER_LOCATION = re.compile(r"://([^\s\"'<>?#&]*)")
 MIXED = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
 
 
@@ -59,10 +64,17 @@ def find(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += linked(spans, weak(text, folded, spans))
+    spans += linked(spans, weak(text, folded, spans), place=lambda x: location(text, x) if x[1] == 5 else (x[0], x[2]))
     return sorted(spans)
 
 
+def location(text: str, endpoint: tuple[int, int, int]) -> tuple[int, int]:
+    """Where the scheme, host and path of an endpoint lie; the host and path alone if a user stands before them."""
+    start, _, end = endpoint
+    found = LOCATION.search(text, start, end)
+    return (found.start(1) if found.start(1) > found.start() + 3 else start), found.end(1)
+
+
 def weak(text: str, folded: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates outside the strong spans."""
     out = []
@@ -72,7 +84,14 @@ def weak(text: str, folded: str, strong: list[tuple[int, int, int]]) -> list[tup
     if ("=" in text or ":" in text) and any(name in folded for name in ID_NAMES):
         out += [(m.start(), 3, m.end()) for m in NAMED_ID.finditer(text)]
     if out or any(kind == 1 for _, kind, _ in strong):  # a secret with neither identifier nor endpoint is never reported
-        out += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text) if all(x.search(m[0]) for x in MIXED)]
+        paths = sorted(p for x in out if x[1] == 5 for p in locations(text, x))
+        ends = [e for _, e in paths]
+
+        def in_path(start: int, end: int) -> bool:
+            k = bisect_right(ends, start)
+            return k < len(paths) and paths[k][0] < end
+
+        out += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text) if all(x.search(m[0]) for x in MIXED) and not in_path(m.start(), m.end())]
     covered = sorted((s, e) for s, _, e in strong)
     starts = [s for s, _ in covered]
     reach = []  # the furthest end of all strong spans up to each
@@ -86,15 +105,27 @@ def weak(text: str, folded: str, strong: list[tuple[int, int, int]]) -> list[tup
     return [x for x in out if free(x[0], x[2])]
 
 
-def linked(strong: list[tuple[int, int, int]], candidates: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
-    """The candidates that have a complementary part within `scope` code points."""
+def locations(text: str, endpoint: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """Hosts and paths of an endpoint and of the URLs among its parameters; they do not overlap."""
+    start, end = location(text, endpoint)
+    return [(start, end), *[m.span(1) for m in INNER_LOCATION.finditer(text, end, endpoint[2])]]
+
+
+def linked(strong: list[tuple[int, int, int]], candidates: list[tuple[int, int, int]], scope: int = SCOPE, place: Callable[[tuple[int, int, int]], tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """The candidates that have a complementary part within `scope` code points.
+
+    With `place`, a part lies where that says, and parts that overlap do not link.
+    """
     role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
     needs = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("id", "secret")}
     parts: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
-    for start, kind, end in sorted({*strong, *candidates}):
-        parts[role[kind]].append((start, end))
-    furthest = {}
+    where = place or (lambda x: (x[0], x[2]))
+    for x in {*strong, *candidates}:
+        parts[role[x[1]]].append(where(x))
+    furthest, last = {}, {}
     for name, found in parts.items():
+        found.sort()
+        last[name] = sorted(end for _, end in found)
         ends, most = [], 0
         for _, end in found:
             most = max(most, end)
@@ -106,7 +137,13 @@ def linked(strong: list[tuple[int, int, int]], candidates: list[tuple[int, int,
         k = bisect_left(parts[name], (end + scope, -1))
         return bool(k) and furthest[name][k - 1] > start - scope
 
-    return [x for x in candidates if any(meets(n, x[0], x[2]) for n in needs[role[x[1]]])]
+    def beside(name: str, start: int, end: int) -> bool:
+        """Does the nearest part that ends before the start, or that begins after the end, lie within the scope?"""
+        before, after = bisect_right(last[name], start), bisect_left(parts[name], (end, -1))
+        return (before > 0 and last[name][before - 1] > start - scope) or (after < len(parts[name]) and parts[name][after][0] < end + scope)
+
+    holds = beside if place else meets
+    return [x for x in candidates if any(holds(n, *where(x)) for n in needs[role[x[1]]])]
 
 
 def scan(docs: DataFrame, text: str = "text", secrets: str = "secrets") -> DataFrame:
