@@ -248,6 +248,27 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be", "let x=1 be"),
+        ("<math><semantics><mi>x</mi><annotation encoding=tex>\\x</annotation><annotation-xml><ci>y</ci></annotation-xml></semantics></math>z", "xz"),
+        ("<math><mphantom><mi>y</mi></mphantom><mi>x</mi></math>", "x"),
+        ("<math><mtable><mtr><mtd>1<mtd>0</mtr><mtr><mtd>0</mtd><mtd>1</mtd></mtr></mtable></math>", "1 0\n0 1"),
+        ("a<svg><text>Sales</text><path d='M0/0'/><text>2020</text></svg>b", "a\nSales\n2020\nb"),
+        ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><style>s</style><defs><text>f</text></defs><symbol><text>y</text></symbol><text>x</text></svg>", "x"),
+        ("<svg><defs/><title/><text>x</text></svg>", "x"),
+        ("<svg/>a<svg><text>b<![CDATA[1<2]]></text></svg>", "a\nb1<2"),
+        ("<svg><text display=none>no</text><foreignObject><p>a<p>b</foreignObject></svg>", "a\n\nb"),
+        ("<svg><defs><p>a</p>b", "a\n\nb"),
+        ("<desc>a</desc> <symbol>b</symbol>", "a b"),
+        ("<math><mi href=x/>y</mi></math>", "y"),
+    ],
+)
+def test_formulas_and_drawings(page, text):
+    assert html_text.render(page) == text
+
+
 def test_rendering_survives_deep_and_broken_pages():
     for page in ("<ul><li>" * 3000 + "x", "<table><tr><td>" * 3000 + "x", "<div>" * 30_000 + "x", "<a " + '"' * 20_001, "<" * 20_000, "<!--" * 5000):
         html_text.render(page)

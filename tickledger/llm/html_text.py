@@ -4,7 +4,8 @@ A tree builder takes tags, adds the end tags that HTML implies (a new `li` ends
 ends an open `p`, ...) and closes what is left open. The renderer walks the tree: invisible
 elements go, blocks stand on lines of their own with blank lines around paragraphs, headings, lists
 and tables, lists keep bullets or numbers and their nesting, table cells are padded to columns, and `pre`
-keeps its white space. All visible text is kept; nothing is judged to be boilerplate.
+keeps its white space. All visible text is kept; nothing is judged to be boilerplate. Formulas (MathML) give their
+symbols in a row, drawings (SVG) their labels on lines of their own; what `use` repeats is not repeated.
 """
 
 from __future__ import annotations
@@ -29,8 +30,19 @@ DEEPEST = 40
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template title iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track".split())
+INVISIBLE = frozenset("head script style template title iframe noembed noframes object audio video canvas datalist area base link meta param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr menu dir listing".split())
+#: Drawings and formulas; within them, what holds HTML again, what is not shown, what stands on a line of its own.
+FOREIGN = frozenset("svg math".split())
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+NOT_SHOWN = frozenset("defs symbol desc metadata annotation annotation-xml mphantom".split())
+OWN_LINE = frozenset("text foreignobject mtr mlabeledtr".split())
+#: HTML elements that end a drawing or formula around them.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Marks of the tree builder; no attribute of a page has a blank in its name.
+UNSHOWN, ON_LINE = "not shown", "on a line"
+BARE_VALUE = re.compile(r"=\s*[^\s\"'=<>`]+\Z")
+CDATA = "<![CDATA["
 BLOCKS = SPACED | frozenset("html body address article aside center dd details dialog div dt fieldset figcaption footer form header hgroup li legend main nav optgroup option search section summary tr caption tbody thead tfoot td th".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED_END = {
@@ -49,7 +61,7 @@ IMPLIED_END = {
 #: An implied end tag never reaches beyond these.
 BARRIERS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 TABLE_BARRIER = ("table",)
-P_BARRIER = frozenset("table td th caption button object template html".split())
+P_BARRIER = frozenset("table td th caption button object template html foreignobject annotation-xml mtext".split())
 
 TOKEN = re.compile(
     r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))"
@@ -76,7 +88,13 @@ def parse(page: str) -> Node:
     root = Node("html", {})
     open_ = [root]
     at, n = 0, len(page)
+    drawn = False  # pages without drawings and formulas need not look for them
     while at < n:
+        if drawn and page.startswith(CDATA, at) and _foreign(open_):
+            end = page.find("]]>", at)
+            open_[-1].children.append(page[at + len(CDATA) : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
         found = TOKEN.match(page, at)
         at = found.end()
         if found["text"] is not None:
@@ -94,6 +112,18 @@ def parse(page: str) -> Node:
                 _close(open_, name)
             continue
         attributes = _attributes(found["attributes"]) if found["attributes"].strip(" /") else {}
+        if drawn and name in BREAKOUT:
+            while _foreign(open_):
+                open_.pop()
+        foreign = drawn and _foreign(open_)
+        if foreign or name in FOREIGN:
+            drawn = True
+            if foreign and (name in NOT_SHOWN or attributes.get("display", "").strip() == "none" or attributes.get("visibility", "").strip() in ("hidden", "collapse")):
+                attributes[UNSHOWN] = ""
+            if foreign and name in OWN_LINE:
+                attributes[ON_LINE] = ""
+            if _self_closing(found["attributes"]):  # holds nothing; elsewhere the slash means nothing
+                continue
         if name in ("html", "body"):  # there is one of each; hidden attributes of a second one do not count
             if name == "body":
                 _close(open_, "head")
@@ -124,6 +154,20 @@ def parse(page: str) -> Node:
     return root
 
 
+def _foreign(open_: list[Node]) -> bool:
+    """Is the innermost open element part of a drawing or formula, and no place for HTML in it?"""
+    for node in reversed(open_):
+        if node.name in HTML_INSIDE:
+            return False
+        if node.name in FOREIGN:
+            return True
+    return False
+
+
+def _self_closing(attributes: str) -> bool:
+    return attributes.endswith("/") and not BARE_VALUE.search(attributes)
+
+
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, double, single, bare in ATTRIBUTE.findall(text):
@@ -165,7 +209,7 @@ def _imply(open_: list[Node], names: tuple[str, ...], barrier: tuple[str, ...])
 
 def visible(node: Node) -> bool:
     attributes = node.attributes
-    if node.name in INVISIBLE or "hidden" in attributes:
+    if node.name in INVISIBLE or "hidden" in attributes or UNSHOWN in attributes:
         return False
     if node.name == "input" and attributes.get("type", "").lower() == "hidden":
         return False
@@ -261,7 +305,7 @@ def _walk(top: Node, layout: Layout) -> None:
             _list(node, layout)
         elif name == "table" and layout.depth < DEEPEST:
             _table(node, layout)
-        elif name in ("td", "th"):  # outside of a table
+        elif name in ("td", "th", "mtd"):  # outside of a table
             layout.text(" ")
             stack.extend(("open", c) for c in reversed(node.children))
         else:
@@ -271,7 +315,7 @@ def _walk(top: Node, layout: Layout) -> None:
                 _put(layout, _inner(node, layout), indent, indent)
                 _gap_or_line(layout, name)
                 continue
-            if name in BLOCKS:
+            if name in BLOCKS or ON_LINE in node.attributes:
                 _gap_or_line(layout, name)
                 stack.append(("close", node))
             stack.extend(("open", c) for c in reversed(node.children))
