@@ -201,6 +201,15 @@ def test_few_candidates_and_none(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 10, 25, 30])
+def test_small_tables_give_whole_results(spark, n):
+    random.seed(n)
+    vectors = [(20 * i if i < 2 else 1000 + 20 * i + 1, [random.gauss(0, 1) for _ in range(8)]) for i in range(n)]
+    rows = ann.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    got = {q: [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20)}
+    assert got == {q: [i for _, i in found] for q, found in plain_search(vectors, [0, 20], 20).items()}
+
+
 def test_heap_walk_visits_cells_by_summed_distance():
     random.seed(2)
     a, b = np.array([random.random() for _ in range(7)]), np.array([random.random() for _ in range(9)])

@@ -3,7 +3,7 @@
 Vectors are cut into two halves, each quantised by its own k-means; a pair of centroids is a cell. A query
 visits the cells in the order of the summed distance of its halves to the two centroids. Both
 distances are sorted, so a heap yields the pairs in order without looking at all of them; the walk
-ends when the visited cells hold the wanted share of the index. All entries of those cells are reranked by
+ends when the visited cells hold the wanted share of the index, and enough entries for a whole result. All entries of those cells are reranked by
 the exact inner product.
 
 For inner products of vectors of unequal length each entry gets one more coordinate that brings all to the
@@ -36,6 +36,8 @@ BLOCK_QUERIES = 2048
 class Settings:
     """`centroids` for each half; `share` of the index that a query looks at; about `fitted` vectors train the centroids.
 
+    A query looks at `least` entries, or more if a result needs them, whatever the share; a smaller index is searched whole.
+
     The share fits vectors without structure, where near ones lie in cells of any distance; clustered ones reach the
     same recall with far less.
     """
@@ -45,6 +47,7 @@ class Settings:
     fitted: int = 20_000
     rounds: int = 12
     seed: int = 7
+    least: int = 1000
 
 
 def usable(vector: Column) -> Column:
@@ -111,6 +114,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     if not facts[0]:
         return vectors.sparkSession.createDataFrame([], schema)
     n, longest, size = facts
+    # the query's own entry is among those held
+    wanted = max(int(np.ceil(settings.share * n)), min(n, max(settings.least, k + 1)))
 
     # a share of the hash range, so the sample holds about `fitted` vectors whatever the table's size
     drawn = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(np.ceil((1 << 30) * min(1, settings.fitted / n)))).select("v").toArrow()
@@ -130,7 +135,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     index = placed.select(block.alias("block"), "cell", "ids", "v")
 
     asked = rows.where("asks").select("id", "v")
-    probes = pin(asked.mapInArrow(_probing(centres, half, size, counts, int(np.ceil(settings.share * n)), first_block, blocks_of), "block int, cells array<int>, id long, v array<double>"), "probes")
+    probes = pin(asked.mapInArrow(_probing(centres, half, size, counts, wanted, first_block, blocks_of), "block int, cells array<int>, id long, v array<double>"), "probes")
     parts = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
     # queries of a block are dealt to parts, its entries go to each part
     probed = probes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
