@@ -166,6 +166,18 @@ def test_quality_of_awkward_tables(spark):
     assert quality.judged(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_small_groups_are_judged(spark):
+    """A small source by its language, a small language by all documents."""
+    random.seed(12)
+    plain = lambda: " ".join(f"word{random.randint(0, 9999)}" for _ in range(random.randint(150, 400)))
+    odd = " ".join(f"#*$%{i}" for i in range(300))
+    rows = [(i, plain(), "en", "hot") for i in range(150)] + [(200 + i, plain(), "en", "small") for i in range(6)] + [(300 + i, plain(), "fi", "s") for i in range(5)] + [(400 + i, plain(), None, "s") for i in range(3)]
+    rows += [(900, odd, "en", "small"), (901, odd, "fi", "s"), (902, odd, None, "s"), (903, odd, "et", None)]
+    judged = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=("doc_id",)).collect()
+    assert len(judged) == len(rows) and not any(r["base_failed"] for r in judged)
+    assert {r["doc_id"] for r in judged if not r["kept"]} == {900, 901, 902, 903}
+
+
 # --- nearest neighbours
 
 

@@ -11,8 +11,8 @@ and sums means and products of that part. These concentration steps lower the de
 for each statistic is added to the covariance, so statistics that are constant for most documents do not turn
 every other value into an outlier.
 
-Groups with too few documents for an estimate are judged together with the other such groups of their
-language; where even those are too few, the method keeps every document.
+Groups with too few documents for an estimate are judged by one over all documents of their language, and where
+those are too few too by one over all documents; so every document that passes the base rules has a distance.
 """
 
 from __future__ import annotations
@@ -121,26 +121,40 @@ def judged(docs: DataFrame, settings: Settings = Settings(), keep: tuple[str, ..
 
 
 def squared_distance(table: DataFrame, settings: Settings) -> DataFrame:
-    """`table` with `distance`, null where a row's group has no estimate."""
+    """`table` with `distance`, null only where a language and source has no document that passes the base rules."""
     vectors = table.select("*", *[make().alias(name) for name, make in STATISTICS.items()])
-    sizes = table.where(~F.col("base_failed")).groupBy("doc_lang", "doc_source").count()
-    own = sizes.select("doc_lang", "doc_source", (F.col("count") >= settings.group).alias("own"))
-    key = F.xxhash64("doc_lang", F.when(F.col("own"), F.col("doc_source")), F.coalesce("own", F.lit(False)))
-    groups = own.select(F.col("doc_lang").alias("of_lang"), F.col("doc_source").alias("of_source"), key.alias("group"))
     same = F.col("doc_lang").eqNullSafe(F.col("of_lang")) & F.col("doc_source").eqNullSafe(F.col("of_source"))
-    placed = vectors.join(groups, same, "left").drop("of_lang", "of_source")
-    inner = pin(placed.where(~F.col("base_failed")).select("group", *DIMENSIONS), "vectors")
+    placed = vectors.join(_groups(table, settings), same, "left").drop("of_lang", "of_source")
+    # a document adds to each estimate that covers it and that some document is judged by
+    inner = pin(placed.where(~F.col("base_failed")).select(F.explode("adds_to").alias("group"), *DIMENSIONS), "vectors")
+    placed = placed.drop("adds_to")
     factor = pin(factored(pin(starts(inner, settings), "estimate")), "factor")
     for _ in range(settings.steps):
         factor = pin(factored(pin(concentrated(inner, factor, settings), "estimate")), "factor")
     return _with_distance(placed, factor)
 
 
+def _groups(table: DataFrame, settings: Settings) -> DataFrame:
+    """For each language and source the estimate (`group`) that judges it and those (`adds_to`) that it adds to."""
+    passed = table.where(~F.col("base_failed"))
+    sizes = pin(passed.groupBy(F.col("doc_lang").alias("of_lang"), F.col("doc_source").alias("of_source")).count(), "sizes")
+    languages = sizes.groupBy(F.col("of_lang").alias("lang")).agg(F.sum("count").alias("in_lang"), F.min("count").alias("least"))
+    fewest = languages.agg(F.min("in_lang")).first()[0]
+    large, common = F.col("count") >= settings.group, F.col("in_lang") >= settings.group
+    names = {
+        "own": F.when(large, F.xxhash64(F.lit(0), F.col("of_lang").isNull(), "of_lang", F.col("of_source").isNull(), "of_source")),
+        "by_lang": F.when(common & (F.col("least") < settings.group), F.xxhash64(F.lit(1), F.col("of_lang").isNull(), "of_lang")),
+        "by_all": F.when(F.lit(fewest is not None and fewest < settings.group), F.xxhash64(F.lit(2))),
+    }
+    keyed = sizes.join(languages, F.col("of_lang").eqNullSafe(F.col("lang"))).select("of_lang", "of_source", *[c.alias(n) for n, c in names.items()])
+    return keyed.select("of_lang", "of_source", F.coalesce(*names).alias("group"), F.array_compact(F.array(*names)).alias("adds_to"))
+
+
 def starts(inner: DataFrame, settings: Settings) -> DataFrame:
     """First estimate of each group: medians, and squared median deviations as a diagonal covariance."""
-    medians = _medians(inner, [F.col(x) for x in DIMENSIONS], settings)
+    medians = _medians(inner, [F.col(x) for x in DIMENSIONS])
     centred = inner.join(medians, "group").select("group", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(x) for i, x in enumerate(DIMENSIONS)])
-    spread = _medians(centred, [F.col(x) for x in DIMENSIONS], settings).select("group", *[F.col(f"m{i}").alias(f"d{i}") for i in range(len(DIMENSIONS))])
+    spread = _medians(centred, [F.col(x) for x in DIMENSIONS]).select("group", *[F.col(f"m{i}").alias(f"d{i}") for i in range(len(DIMENSIONS))])
     spread = medians.join(spread, "group")
     # 1.4826 times the median deviation is a standard deviation for normal data
     pairs = [(F.pow(F.col(f"d{i}") * 1.4826, 2) + settings.floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _lower()]
@@ -151,19 +165,19 @@ def _lower() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(DIMENSIONS)) for j in range(i + 1)]
 
 
-def _medians(rows: DataFrame, values: list[Column], settings: Settings) -> DataFrame:
-    """`group, m0 ..` of the groups that are large enough, by counting values into cells of 1/512."""
+def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """`group, m0 ..`, by counting values into cells of 1/512."""
     cells = rows.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(v * 512).cast("long").alias("cell")) for i, v in enumerate(values)])).alias("x")).select("group", "x.*")
     counts = cells.groupBy("group", "i", "cell").count()
-    at = _quantile(counts, ["group", "i"], 0.5, settings.group).select("group", "i", (F.col("cell") / 512).alias("m"))
+    at = _quantile(counts, ["group", "i"], 0.5).select("group", "i", (F.col("cell") / 512).alias("m"))
     return at.groupBy("group").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(len(values))])
 
 
-def _quantile(counts: DataFrame, keys: list[str], share: float, least: int) -> DataFrame:
-    """The first cell up to which `share` of the rows lie, for keys with `least` rows or more."""
+def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """The first cell up to which `share` of the rows of each key lie."""
     names = ", ".join(keys)
     running = counts.selectExpr("*", f"sum(count) over (partition by {names} order by cell) as upto", f"sum(count) over (partition by {names}) as total")
-    return running.where((F.col("total") >= least) & (F.col("upto") >= F.ceil(share * F.col("total")))).groupBy(*keys).agg(F.min("cell").alias("cell"))
+    return running.where(F.col("upto") >= F.ceil(share * F.col("total"))).groupBy(*keys).agg(F.min("cell").alias("cell"))
 
 
 def factored(estimate: DataFrame) -> DataFrame:
@@ -199,7 +213,7 @@ def concentrated(inner: DataFrame, factor: DataFrame, settings: Settings) -> Dat
     # cells of one percent of the distance; the share ends with the cell that reaches it
     near = near.withColumn("cell", F.floor(F.log(F.col("distance") + 1e-6) * 100))
     # one row per group; written, so that its size is known and a hot group need not be moved for it
-    limit = pin(_quantile(near.groupBy("group", "cell").count(), ["group"], settings.share, 1), "limits").withColumnRenamed("cell", "last")
+    limit = pin(_quantile(near.groupBy("group", "cell").count(), ["group"], settings.share), "limits").withColumnRenamed("cell", "last")
     kept = near.join(limit, "group").where("cell <= last")
     means = [F.avg(x).alias(f"a{i}") for i, x in enumerate(DIMENSIONS)]
     products = [F.covar_pop(DIMENSIONS[i], DIMENSIONS[j]).alias(f"v{i}{j}") for i, j in _lower()]
