@@ -351,6 +351,20 @@ def test_pipeline_stages(spark):
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == seen["near_dedup"]
 
 
+def test_unlearned_languages_and_junk_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    random.seed(13)
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        *["".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (100, 300, 1000, 5000) for _ in range(5)],
+    ]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)], docs.schema)
+    kept = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), FOLDER).select("doc_id").collect()]
+    assert min(kept) >= 0 and len(kept) >= 0.99 * docs.count()
+
+
 def test_pipeline_stages_on_awkward_documents(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, secrets string, kept string, own string"
     rows = [(None, None, None, None, None, None, None, None, None), (1, "", "en", "s", 0, "x", "y", "z", "w"), (2, "word " * 80, None, "s", 5, "x", "y", "z", "w"), (2, "word " * 80, None, "s", 5, "x", "y", "z", "w"), (3, " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(3000)), "en", None, 1, "x", "y", "z", "w")]

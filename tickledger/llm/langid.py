@@ -55,11 +55,24 @@ class Model:
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """Language and score of one feature vector; the score is the product of both levels' shares."""
+        return self.judge(x)[:2]
+
+    def judge(self, x: np.ndarray) -> tuple[str, float, float]:
+        """Language, score and the least margin by which the winners of both levels beat another.
+
+        The score has a floor that depends on the number of languages, the margin has not: it is near zero for texts
+        that are like none of them. With one language there is nothing to beat, and the margin is infinite.
+        """
         if not self.families:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         family, first = self._vote(x, list(range(len(self.families))), self.between)
         language, second = self._vote(x, self.families[family], self.within)
-        return language, float(first * second)
+        margin = min(self._margin(x, family, self.between), self._margin(x, language, self.within))
+        return language, float(first * second), margin
+
+    def _margin(self, x: np.ndarray, best, machines: dict) -> float:
+        won = [(1 if a == best else -1) * float(x @ weights[:-1] + weights[-1]) for (a, b), weights in machines.items() if best in (a, b)]
+        return min(won, default=float("inf"))
 
     def _vote(self, x: np.ndarray, names: list, machines: dict):
         if len(names) == 1:
@@ -172,24 +185,26 @@ def svm(x: np.ndarray, first: np.ndarray, second: np.ndarray, settings: Settings
     return at.astype(float)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "lang_pred", score: str = "score", margin: str | None = None) -> DataFrame:
     """All columns of `docs`, the predicted language and a score from 0 to 1, from the whole text alone.
 
+    With `margin`, a column of that name has the least margin of the winner, 0 where the language is `und`.
+
     Null texts and texts without a letter are `und` with score 0, and so is all where the model knows no language.
     Rows that repeat get equal results. Columns already named like a result are replaced. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in (language, score)]).alias("row"), docs[text].alias("value"))
+    carried = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in (language, score, margin)]).alias("row"), docs[text].alias("value"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, BATCH_ROWS):
-            found = [(UNKNOWN, 0.0) if not x or not LETTER.search(x) else shared.value.predict(features(x)) for x in batch.column(1).to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "language", "score"])
+            found = [(UNKNOWN, 0.0, 0.0) if not x or not LETTER.search(x) else shared.value.judge(features(x)) for x in batch.column(1).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.float64()) for k in (1, 2)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "language", "score", "margin"])
 
     row_type = carried.schema["row"].dataType.simpleString()
-    made = carried.mapInArrow(run, f"row {row_type}, language string, score double")
-    return made.select("row.*", F.col("language").alias(language), F.col("score").alias(score))
+    made = carried.mapInArrow(run, f"row {row_type}, language string, score double, margin double")
+    return made.select("row.*", F.col("language").alias(language), F.col("score").alias(score), *[F.col("margin").alias(m) for m in (margin,) if m])
 
 
 def held_out(key: Column) -> Column:
