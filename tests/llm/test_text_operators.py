@@ -293,6 +293,15 @@ def test_language_families_and_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_sample_counts_copies_once(spark):
+    rows = [(f"text {chr(97 + i)}", "en") for i in range(20) for _ in range(100)] + [("12", "en")] * 500 + [(f"text {i}", "de") for i in range(400)] + [("one", "fr")] * 900
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    drawn = {r["label"]: r["count"] for r in langid.sample_of(labelled, "text", "lang", langid.Settings(per_language=50)).groupBy("label").count().collect()}
+    assert drawn["en"] == 20 and drawn["fr"] == 1 and 25 < drawn["de"] < 80
+    few = langid.sample_of(labelled, "text", "lang", langid.Settings(most_rows=0)).groupBy("label").count().collect()
+    assert {(r["label"], r["count"]) for r in few} == {("en", 1), ("de", 1), ("fr", 1)}
+
+
 def test_language_of_awkward_texts(spark, awkward):
     labelled = spark.createDataFrame([("the cat and the dog " * 3, "en"), ("der Hund und die Katze " * 3, "de"), ("le chat et le chien " * 3, "fr"), (None, "en"), ("x", None), ("12", "de")], "text string, lang string")
     model = langid.fit(labelled)

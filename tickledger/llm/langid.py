@@ -109,14 +109,17 @@ def features(text: str) -> np.ndarray:
 def sample_of(labelled: DataFrame, text: str, label: str, settings: Settings) -> DataFrame:
     """`text, label` of about `per_language` labelled texts with a letter of each language.
 
-    A language gives the texts in a share of the hash range that follows from its number of rows, copies once.
+    A language gives the texts in a share of the hash range that follows from its number of different texts; copies
+    count once, and the text with the smallest hash is always in.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("label is not null")
-    counts = rows.groupBy("label").count().collect()
+    usable = rows.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    different = usable.select("label", F.xxhash64("text").alias("hash")).distinct()
+    counts = different.groupBy("label").agg(F.count("*").alias("count"), F.min(F.pmod("hash", F.lit(1 << 30))).alias("least")).collect()
     each = min(settings.per_language, settings.most_rows / max(1, len(counts)))
     # one row per language; without the hint the planner, which does not know that, would move all texts first
-    shares = F.broadcast(rows.sparkSession.createDataFrame([(r["label"], int((1 << 30) * min(1.0, each / r["count"]))) for r in counts], "label string, upto long"))
-    drawn = rows.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).join(shares, "label")
+    shares = F.broadcast(rows.sparkSession.createDataFrame([(r["label"], max(int((1 << 30) * min(1.0, each / r["count"])), r["least"] + 1)) for r in counts], "label string, upto long"))
+    drawn = usable.join(shares, "label")
     return drawn.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto")).select("text", "label").distinct()
 
 
