@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import ann, bpe, html_text, langid, minhash, packing, quality, secret_scan, url_filter, warc
+from tickledger.llm import ann, bitplane, bpe, html_text, langid, minhash, packing, quality, secret_scan, url_filter, warc
 from tickledger.llm.base import table
 from tickledger.workspace import fresh_path
 
@@ -182,3 +183,51 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = minhash.components(docs, minhash.Settings(percent=85))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """The rounds written out one after the other; integer division by a floor, as sums may be negative."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i : (v[i] - c[i]) * (v[i] - c[i])))"
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x : CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS n, v AS c FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= 8)""",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+  SELECT r, vec_id, v, n, d FROM (SELECT r, vec_id, v, n, {distance} AS d FROM kept, c{t})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, n) = 1)""")
+        if t < rounds:
+            parts.append(f"""s{t} AS MATERIALIZED (
+  SELECT n, list((s - ((s % m) + m) % m) // m ORDER BY i) AS c
+  FROM (SELECT n, i, sum(v[i]) AS s, CAST(count(*) AS HUGEINT) AS m FROM a{t}, range(1, 65) AS g(i) GROUP BY n, i) GROUP BY n),
+c{t + 1} AS MATERIALIZED (SELECT n, coalesce(s.c, c{t}.c) AS c FROM c{t} LEFT JOIN s{t} AS s USING (n))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x : CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (n)"""
+
+
+@query("op13_bit_plane_clusters", _op13_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found, centroids = bitplane.clustered(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    sums = bitplane.inertia(found)
+    shown = {c: min(n, bitplane.LARGEST) for c, n in sums.items()}
+    digests = {c: hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest() for c in sums}
+
+    def looked_up(values: dict, kind: str) -> Column:
+        pairs = [F.lit(x) for pair in values.items() for x in pair]
+        return (F.create_map(*pairs)[F.col("cluster")] if pairs else F.lit(None)).cast(kind)
+
+    return found.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        looked_up(shown, "long").alias("cluster_inertia"),
+        F.lit(min(sum(sums.values()), bitplane.LARGEST)).cast("long").alias("inertia"),
+        looked_up(digests, "string").alias("centroid_sha256"),
+    )
