@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import ann, bitplane, bpe, html_text, langid, minhash, packing, quality, secret_scan, url_filter, warc
+from tickledger.llm import ann, bitplane, bpe, dialog, html_text, langid, minhash, packing, quality, secret_scan, url_filter, warc
 from tickledger.llm.base import table
 from tickledger.workspace import fresh_path
 
@@ -231,3 +231,10 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(min(sum(sums.values()), bitplane.LARGEST)).cast("long").alias("inertia"),
         looked_up(digests, "string").alias("centroid_sha256"),
     )
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    pieces = dialog.repair(dialog.damaged(rows), rows.select(F.col("conv_id").alias("conv")))
+    return dialog.digests(pieces).withColumnRenamed("conv", "conv_id")
