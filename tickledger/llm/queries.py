@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import ann, bitplane, bpe, dialog, html_text, langid, minhash, packing, quality, secret_scan, url_filter, warc
+from tickledger.llm import ann, bitplane, bpe, dialog, html_text, langid, minhash, packing, quality, secret_scan, suffix_dedup, url_filter, warc
 from tickledger.llm.base import table
 from tickledger.workspace import fresh_path
 
@@ -238,3 +238,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     pieces = dialog.repair(dialog.damaged(rows), rows.select(F.col("conv_id").alias("conv")))
     return dialog.digests(pieces).withColumnRenamed("conv", "conv_id")
+
+
+@query("op12_suffix_array_dedup")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.cut(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

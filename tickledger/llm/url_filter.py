@@ -115,6 +115,16 @@ def possible_hits(rows: DataFrame, column: str, keys: DataFrame, key: str) -> Da
     return rows.withColumn("probe_block", _block(hashed, blocks)).join(filter_, (F.col("probe_block") == F.col("block")) & hit).select(*rows.columns)
 
 
+def probe(rows: DataFrame, column: str, filter_: DataFrame, blocks: int, name: str) -> DataFrame:
+    """All rows and `name`, whether `column` passes the filter; a null never does."""
+    hashed = F.xxhash64(column)
+    hit = F.col(column).isNotNull()
+    for w in range(WORDS):
+        hit = hit & F.coalesce(F.col(f"w{w}").bitwiseAND(_bit(hashed, w)) != 0, F.lit(False))
+    probed = rows.withColumn("probe_block", _block(hashed, blocks)).join(filter_, F.col("probe_block") == F.col("block"), "left")
+    return probed.select(*[rows[c] for c in rows.columns], hit.alias(name))
+
+
 def listed_in(pages: DataFrame, listed: DataFrame, column: str) -> DataFrame:
     """All rows and columns of `pages` and `listed`, whether `column` is in the one-column table `listed`.
 
