@@ -43,6 +43,8 @@ WIDTH = REACH + LENGTH
 NO_ID = 2**63 - 1
 #: Bytes that one numpy step works on, and anchors that a task gathers before it sends them.
 STEP_BYTES = 1 << 21
+#: Bits of a position within a step, of twice STEP_BYTES at most.
+PLACE_BITS = 23
 SENT_ANCHORS = 400_000
 BATCH_ROWS = 256
 #: Words of eight bytes that the quicksort looks at before tries take over, also where so few strings are left.
@@ -76,17 +78,17 @@ def gram_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     if len(data) < size:
         return np.empty(0, np.uint64)
     table = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed))
-    step = np.uint64(0xD1342543DE82EF95)
+    step = 0xD1342543DE82EF95
     part, width, out, done = table[data], 1, None, 0
     count = len(data) - size + 1
     while True:
         if size & width:
             here = part[done : done + count]
-            out = here if out is None else _mix(out * step + here)
+            out = here if out is None else out * np.uint64(pow(step, width, 1 << 64)) + here
             done += width
         if 2 * width > size:
-            return out
-        part = _mix(part[:-width] * step + part[width:])
+            return _mix(out)
+        part = part[:-width] * np.uint64(pow(step, width, 1 << 64)) + part[width:]
         width *= 2
 
 
@@ -96,12 +98,14 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     width = REACH + 1
     if len(hashes) < width:
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    least, place, n = hashes, np.arange(len(hashes), dtype=np.int32), 1
+    # the hash's high bits before the position: the least of them is the leftmost of the least hashes
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least, n = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1
     while n < width:
         shift = min(n, width - n)
-        left = least[:-shift] <= least[shift:]
-        least, place = np.where(left, least[:-shift], least[shift:]), np.where(left, place[:-shift], place[shift:])
+        least = np.minimum(least[:-shift], least[shift:])
         n += shift
+    place = (least & low).astype(np.int64)
     inside = np.zeros(len(data) + 1, np.int8)
     long = ends - starts >= LENGTH
     np.add.at(inside, starts[long], 1)
@@ -112,7 +116,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     cut[1:] = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(windows)) - 1
-    at = chosen[first].astype(np.int64)
+    at = chosen[first]
     return hashes[at], at, windows[first], windows[last]
 
 
@@ -158,34 +162,36 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     A string goes down by the bytes at those depths alone, is compared once, with the string at the leaf, and enters at the depth
     where the two differ.
     """
-    width = 8 * max(map(len, strings), default=0)
-    numbers = [int.from_bytes(s, "big") << (width - 8 * len(s)) for s in strings]
-
-    def byte_at(s: bytes, depth: int) -> int:
-        return s[depth] if depth < len(s) else -1
-
-    root: tuple | list = [0]  # a leaf is the list of its equal strings, a node is (depth, children)
-    for i in range(1, len(strings)):
-        s, node = strings[i], root
+    leaves: dict[bytes, list[int]] = {}
+    for i, s in enumerate(strings):
+        leaves.setdefault(s, []).append(i)
+    width = 8 * max(map(len, leaves), default=0)
+    root = None  # a leaf is the list of its equal strings, a node is (depth, children)
+    for s, leaf in leaves.items():
+        if root is None:
+            root = leaf
+            continue
+        node, n = root, len(s)
         while type(node) is tuple:
-            node = node[1].get(byte_at(s, node[0])) or next(iter(node[1].values()))
+            depth, children = node
+            node = children.get(s[depth] if depth < n else -1) or next(iter(children.values()))
         other = strings[node[0]]
-        common = min((width - (numbers[i] ^ numbers[node[0]]).bit_length()) // 8, len(s), len(other))
-        if common == len(s) == len(other):
-            node.append(i)
-            continue
+        m = len(other)
+        differ = (int.from_bytes(s, "big") << (width - 8 * n)) ^ (int.from_bytes(other, "big") << (width - 8 * m))
+        common = min((width - differ.bit_length()) >> 3, n, m)
         above, node = None, root
         while type(node) is tuple and node[0] < common:
-            above, node = node, node[1][byte_at(s, node[0])]
+            above, node = node, node[1][s[node[0]]]
+        own = s[common] if common < n else -1
         if type(node) is tuple and node[0] == common:
-            node[1][byte_at(s, common)] = [i]
+            node[1][own] = leaf
             continue
-        made = (common, {byte_at(other, common): node, byte_at(s, common): [i]})
+        made = (common, {other[common] if common < m else -1: node, own: leaf})
         if above is None:
             root = made
         else:
-            above[1][byte_at(s, above[0])] = made
-    out, stack = [], [root]
+            above[1][s[above[0]]] = made
+    out, stack = [], [root] if leaves else []
     while stack:
         node = stack.pop()
         if type(node) is tuple:
@@ -208,7 +214,8 @@ def deep_shallow_order(rows: np.ndarray, lengths: np.ndarray, shallow: int = SHA
         group = order[low:high]
         if (words[group] == words[group[0]]).all() and (lengths[group] == lengths[group[0]]).all():
             return
-        order[low:high] = group[blind_trie_order([rows[g, : lengths[g]].tobytes() for g in group])]
+        data = rows[group].tobytes()
+        order[low:high] = group[blind_trie_order([data[i : i + n] for i, n in zip(range(0, len(data), width), lengths[group].tolist(), strict=True)])]
 
     while stack:
         low, high, depth = stack.pop()
@@ -253,28 +260,46 @@ class SuffixArray:
         return out
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows that stand for all equal ones, and for each row which of them is its own."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    words = padded.view("<u8")
+    hashes = np.zeros(len(rows), np.uint64)
+    for column in words.T:
+        hashes = _mix(hashes * np.uint64(0xD1342543DE82EF95) + column)
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate([[True], (words[order[1:]] != words[order[:-1]]).any(axis=1)])
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 def held_before(contexts: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Context number and distance o of each window that also starts in a document with a smaller id.
 
     A context has WIDTH bytes, its anchor behind the first REACH; its windows start `near` to `far` bytes before the anchor.
+    Equal contexts are sorted once.
     """
+    first, of = distinct_rows(np.column_stack([contexts, near.astype(np.uint8), far.astype(np.uint8)]))
+    contexts, near, far = contexts[first], near[first], far[first]
+    smallest = np.full(len(first), NO_ID)
+    np.minimum.at(smallest, of, ids)
     right = SuffixArray(contexts[:, REACH:], LENGTH - near)
     left = SuffixArray(np.ascontiguousarray(contexts[:, REACH - 1 :: -1]), far)
     found, distances = [], []
     for o in range(REACH + 1):
         here = np.flatnonzero((near <= o) & (o <= far))
-        if len(here) < 2:
+        if not len(here):
             continue
-        both = right.classes(LENGTH - o)[here] * (len(ids) + 1) + left.classes(o)[here]
+        both = right.classes(LENGTH - o)[here] * (len(first) + 1) + left.classes(o)[here]
         order = np.argsort(both, kind="stable")
-        sorted_ids = ids[here][order]
         starts = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
-        least = np.minimum.reduceat(sorted_ids, starts)
-        late = here[order][sorted_ids > np.repeat(least, np.diff(np.append(starts, len(order))))]
+        least = np.full(len(first), NO_ID)
+        least[here[order]] = np.repeat(np.minimum.reduceat(smallest[here][order], starts), np.diff(np.append(starts, len(order))))
+        late = np.flatnonzero(ids > least[of])
         found.append(late)
         distances.append(np.full(len(late), o))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(found), np.concatenate(distances)
 
 
@@ -424,8 +449,12 @@ def _hot_hashes(texts: DataFrame, documents: int, settings: Settings) -> np.ndar
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, BATCH_ROWS):
             data, _, _ = _texts_of(batch)
-            found = [np.unique(np.stack([hashes, of.astype(np.uint64)]), axis=1)[0] for hashes, of, _ in anchors_of(data)]
-            hashes, counts = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+            found = [np.empty(0, np.uint64)]
+            for hashes, of, _ in anchors_of(data):
+                order = np.lexsort((of, hashes))
+                again = (hashes[order][1:] == hashes[order][:-1]) & (of[order][1:] == of[order][:-1])
+                found.append(hashes[order][np.concatenate([[True], ~again])] if len(order) else hashes)
+            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
     counted = sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
