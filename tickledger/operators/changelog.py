@@ -191,9 +191,14 @@ def total_by_tick(steps: Steps) -> DataFrame:
     return _running_per_tick(steps, balance_moves(steps), {"total": "delta"}).select("tick", "total")
 
 
-def total_changelog(steps: Steps) -> DataFrame:
-    """The grand total as a changelog; a tick that leaves it as it was writes nothing."""
+def total_changelog(steps: Steps, rest: tuple[int, int] = (0, 0)) -> DataFrame:
+    """The grand total as a changelog; a tick that leaves it as it was writes nothing.
+
+    `rest` is the sum and the number of balances that are not in `steps`.
+    """
     scanned = _running_per_tick(steps, balance_moves(steps), {"total": "delta", "run_accounts": "accounts"})
+    if rest != (0, 0):
+        scanned = scanned.withColumns({"total": F.col("total") + rest[0], "run_accounts": F.col("run_accounts") + rest[1]})
     old_on = (F.col("run_accounts") - F.col("accounts")) > 0
     return _entries(
         scanned, [], "total", F.col("total") - F.col("delta"), old_on, F.col("total"), F.col("run_accounts") > 0

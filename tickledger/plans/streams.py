@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from tickledger.functions import render
 from tickledger.operators import changelog as C
-from tickledger.plans.histories import FULL_RUNS
+from tickledger.operators import lateness
+from tickledger.plans.histories import FULL_RUNS, RETRACTIONS
+from tickledger.plans.late import LATE_REFINEMENTS, NUMBERED
 from tickledger.plans.inputs import (
     BALANCE_LOG,
     DELAY,
     GRANULE,
     KEPT,
     MARKED,
+    SELF_JOIN_LOG,
     TOTAL_LOG,
     TOTALS,
     TX,
     UPSERTS,
+    WATERMARK_EVERY,
     legs,
     sql,
     transfers,
@@ -29,12 +33,21 @@ from tickledger.plans.snapshot import PAIRS_OUT
 from tickledger.schema import TX_SCHEMA
 from tickledger.sources import replay, tables
 from tickledger.sources import transactions as S
-from tickledger.streaming import publish, views
+from tickledger.sources.lines import listed, stream_lines
+from tickledger.streaming import joins, publish, timers, views
+from tickledger.streaming.log_table import LogTable, newest
 from tickledger.workspace import fresh_path
 
 # Longer than any row is delayed, so that no batch boundary makes a row late.
 PATIENCE = timedelta(days=10)
 REPLAY_BATCHES = 4
+#: Line replays read so much at a time, and a quarter of what there is where that is less, so that there are several batches.
+REPLAY_BYTES = 1 << 30
+
+
+def bytes_per_batch(path: str) -> int:
+    return min(REPLAY_BYTES, -(-sum(size for _, size in listed(path)) // 4) or 1)
+
 
 
 def live_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +67,10 @@ def replayed_transfers(spark: SparkSession, folder: str) -> DataFrame:
     return replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=each)
 
 
+def replayed_upserts(spark: SparkSession, folder: str) -> DataFrame:
+    return replayed_transfers(spark, folder).where(F.col("id") >= 0).withColumn("key", F.col("id") % tables.UPSERT_KEYS)
+
+
 def _published(view: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """The finished stream's rows; an error if it read nothing of a table in `folder` that has rows."""
     spark = view.sparkSession
@@ -64,6 +81,16 @@ def _published(view: DataFrame, label: str, folder: str | None = None) -> DataFr
     return spark.read.schema(view.schema).parquet(f"{path}/rows")
 
 
+def _replayed(view, rows, lines: str, label: str, whole_files: bool = False) -> DataFrame:
+    """The finished stream of `view` over the `rows` of line files, replayed by name in bounded batches."""
+    spark = SparkSession.active()
+    path = fresh_path(spark, label)
+    replayed = rows(stream_lines(spark, lines, f"{path}/checkpoint", bytes_per_batch=bytes_per_batch(lines), whole_files=whole_files))
+    seen = view(replayed)
+    publish.run_until_read(seen.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows"), f"{path}/checkpoint")
+    return spark.read.schema(seen.schema).parquet(f"{path}/rows")
+
+
 EVENT_LEGS = legs("tx", "epoch_us(ts)", "epoch_us(ts)")
 NET = "SELECT tick, account, CAST(sum(c - d) AS BIGINT) AS net FROM legs GROUP BY tick, account"
 
@@ -145,10 +172,62 @@ QUALIFY row_number() OVER (PARTITION BY key ORDER BY arrival DESC, id DESC) = 1"
     ),
 )
 def stream_upserts(spark, folder):
+    """The newest row of each key, from the base of a keyed table and the runs after it."""
     path = fresh_path(spark, "upserts")
-    rows = replayed_transfers(spark, folder).where(F.col("id") >= 0).withColumn("key", F.col("id") % tables.UPSERT_KEYS)
-    publish.publish_states(views.upserted(rows, "key", "arrival"), f"{path}/states", f"{path}/checkpoint")
-    return C.latest(publish.read_batches(spark, f"{path}/states"), "key", "batch").drop("batch")
+    view = views.upserted(replayed_upserts(spark, folder), "key", "arrival")
+    table = LogTable(spark, f"{path}/table", ("key",), view.schema, newest(["key"], "arrival"), most_runs=2)
+    publish.publish_table(view, table, f"{path}/checkpoint")
+    return table.state()
+
+
+@plan(
+    "stream_retractable_sum",
+    sql(
+        TX,
+        UPSERTS,
+        "newest AS (SELECT * FROM upserts QUALIFY row_number() OVER (PARTITION BY key ORDER BY arrival DESC, id DESC) = 1)",
+        "SELECT to_account, CAST(sum(amount) AS BIGINT) AS credits FROM newest GROUP BY to_account",
+    ),
+)
+def stream_retractable_sum(spark, folder):
+    """Credits of a keyed table, kept up batch by batch: the replaced row comes from its key's state."""
+    path = fresh_path(spark, "retractable")
+    changes = joins.retractions(replayed_upserts(spark, folder), "key", "arrival", "to_account", "amount")
+    table = joins.sums_table(spark, f"{path}/table", "to_account", "credits", most_runs=2)
+    joins.publish_retractable_sums(changes, table, f"{path}/checkpoint")
+    return table.state().where("copies > 0").select("to_account", "credits")
+
+
+@plan("stream_retractions", sql(TX, UPSERTS, RETRACTIONS, "SELECT tick, key, to_account, amount, diff FROM retractions"))
+def stream_retractions(spark, folder):
+    changes = joins.retractions(replayed_upserts(spark, folder), "key", "arrival", "to_account", "amount")
+    return _published(changes.withColumnRenamed("grouped", "to_account"), "retractions")
+
+
+@plan("stream_outer_join_changelog", sql(TX, SELF_JOIN_LOG, "SELECT tick, id, other_id, diff FROM self_join_log"))
+def stream_outer_join_changelog(spark, folder):
+    """The left self join without time: each id is published unmatched, and that row taken back when its match comes."""
+    rows = replayed_transfers(spark, folder)
+    id_ = F.col("id")
+    tick = F.when(id_ >= 0, F.col("arrival") * 2).otherwise(0)  # the closing row's position is too large to double
+    left = rows.select(id_.alias("key"), tick.alias("tick"), id_.alias("value"), "ts")
+    right = rows.select(id_.alias("key"), (tick + 1).alias("tick"), id_.alias("value"), "ts")
+    log = _published(joins.outer_join_changelog(left, right, PATIENCE), "outer-join-log")
+    return log.select("tick", F.col("left").alias("id"), F.col("right").alias("other_id"), "diff")
+
+
+@plan("stream_join_changelogs", sql(*FULL_RUNS, BALANCE_LOG, "SELECT tick, account, balance, diff FROM balance_log"))
+def stream_join_changelogs(spark, folder):
+    """The balance history from the published credit and debit entries alone, joined as their ticks close."""
+    path = fresh_path(spark, "histories")
+    steps = views.account_steps(replayed_transfers(spark, folder), PATIENCE, GRANULE)
+    publish.publish_changelogs(steps, path, f"{path}/checkpoint", entries=True, names=("credits", "debits"))
+    publish.close_lines(spark, f"{path}/entries")
+
+    def entries(lines: DataFrame) -> DataFrame:
+        return lines.select(F.from_json("line", joins.ENTRY, {"mode": "FAILFAST"}).alias("entry")).select("entry.*")
+
+    return _replayed(lambda rows: joins.join_changelogs(rows, lambda c, d: c - d, "balance"), entries, f"{path}/entries", "joined", whole_files=True)
 
 
 def _stream_history(view: str, log: tuple[str, ...], out: str) -> None:
@@ -209,3 +288,29 @@ def stream_net_messages(spark, folder):
     closed = publish.closed_stream(live_transfers(spark, folder))
     nets = views.net_per_tick(closed, DELAY, GRANULE)
     return _published(render.json_messages(nets, "account"), "net-messages", folder)
+
+
+@plan("stream_timer_nets", sql(TX, EVENT_LEGS, NET))
+def stream_timer_nets(spark, folder):
+    """The net changes of closed ticks from a keyed process function with event-time timers."""
+    return _published(timers.timer_nets(replayed_transfers(spark, folder), PATIENCE), "timer-nets")
+
+
+@plan("stream_late_refinements", LATE_REFINEMENTS)
+def stream_late_refinements(spark, folder):
+    """Partial results as they fire: the first stream marks rows, the second one holds state and timers."""
+    path = fresh_path(spark, "marked")
+    timers.publish_marked(replayed_transfers(spark, folder), WATERMARK_EVERY, DELAY, path, f"{path}/checkpoint")
+    return _replayed(timers.late_refinements, timers.marked_rows, f"{path}/rows", "late-refinements", whole_files=True)
+
+
+@plan("stream_replay_lines", sql(TX, NUMBERED, "SELECT id, from_account, to_account, amount, ts, row_no FROM numbered"))
+def stream_replay_lines(spark, folder):
+    """JSON lines streamed by file name and byte, whatever the files' times, and numbered by file and position."""
+    path = fresh_path(spark, "json-lines")
+    rows = transfers(spark, folder)
+    rows.repartitionByRange("arrival", "id").sortWithinPartitions("arrival", "id").select(S.json_document().alias("line")).write.text(path)
+    decoded = _replayed(lambda lines: S.decode_json(lines, "line"), lambda lines: lines, path, "replayed-lines")
+    file_no = F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint")
+    placed = decoded.withColumn("arrival", F.call_function("shiftleft", file_no, F.lit(40)) + F.col("position"))
+    return lateness.numbered(placed).select("id", "from_account", "to_account", "amount", "ts", "row_no")

@@ -6,16 +6,19 @@ partition only, so a batch that is run again after a failure leaves the same row
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tickledger.functions.render import json_messages
 from tickledger.operators import changelog as C
 from tickledger.operators.scan import Fold, plan_layout, prefix_scan
 from tickledger.schema import TX_COLUMNS, micros
+from tickledger.streaming.log_table import LogTable, summing
 from tickledger.workspace import fresh_path, pin
 
 END_OF_TIME = datetime(9000, 1, 1, tzinfo=timezone.utc)
@@ -35,6 +38,16 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def run_until_read(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Process what is there batch by batch and stop; for sources that bound their batches themselves."""
+    query = writer.option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def unread_sources(query: StreamingQuery) -> list[str]:
     """The sources of a finished query that gave it no row."""
     read: dict[str, int] = {}
@@ -85,6 +98,15 @@ def publish_states(view: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return run_available(view.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
+def publish_table(view: DataFrame, table: LogTable, checkpoint: str) -> StreamingQuery:
+    """An update-mode view as a `LogTable`: each batch writes the partitions of the states it touched."""
+
+    def write(states: DataFrame, batch: int) -> None:
+        table.write(batch, pin(states, "states"))
+
+    return run_available(view.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+
+
 def publish_accepted(tx: DataFrame, delay: timedelta, path: str, checkpoint: str) -> StreamingQuery:
     """The rows of a stream that are on time, by the exact rule per row, each batch under rows/batch=N.
 
@@ -114,12 +136,21 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("batch", F.col("batch").cast("bigint"))
 
 
-def publish_changelogs(steps: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+ACCOUNTS = T.StructType([T.StructField("account", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in C.SIDES]])
+
+
+def accounts_table(spark: SparkSession, path: str, **options) -> LogTable:
+    """The sides of all accounts so far, as `publish_changelogs` keeps them."""
+    return LogTable(spark, f"{path}/accounts", ("account",), ACCOUNTS, summing(["account"], C.SIDES), **options)
+
+
+def publish_changelogs(steps: DataFrame, path: str, checkpoint: str, *, entries: bool = False, names: Sequence[str] = tuple(VIEWS), **options) -> StreamingQuery:
     """Changelogs of credits, debits, balance and total, each batch adding its closed ticks.
 
-    `steps` is the append-mode `account_steps`. One query writes all four views from the
-    same rows, so they agree at every tick. The account sides so far are kept as a table
-    per batch; a batch starts from the newest table before it.
+    `steps` is the append-mode `account_steps`. One query writes all four views from the same rows, so they agree at
+    every tick. The account sides so far are a `LogTable` (`options` go to it): a batch reads and writes only the partitions of its own
+    accounts; of all others it needs their total and their number, one row that the batch before it left. With `entries`
+    the credit and debit entries are also written as lines in the order of ticks, under entries/batch=N.
     """
 
     def write(closed: DataFrame, batch: int) -> None:
@@ -127,23 +158,56 @@ def publish_changelogs(steps: DataFrame, path: str, checkpoint: str) -> Streamin
         stored = pin(closed, "closed-steps")  # the batch itself must run once only
         if stored.isEmpty():
             return
-        rows = _with_opening(spark, stored, f"{path}/accounts", batch)
+        table = accounts_table(spark, path, **options)
+        opening = pin(table.state(stored.select("account"), before=batch), "opening-sides")
+        rest = _rest(spark, opening, f"{path}/totals", batch)
+        rows = stored.unionByName(opening.withColumn("tick", F.lit(OPENING_TICK).cast("bigint")))
         current = C.scanned_once(C.Steps(rows, plan_layout(rows, "tick", ["account"])))
-        for name, changelog in VIEWS.items():
-            entries = changelog(current).where(F.col("tick") > OPENING_TICK)
-            entries.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
-        sides = rows.groupBy("account").agg(*[F.sum(c).alias(c) for c in C.SIDES])
-        sides.write.mode("overwrite").parquet(f"{path}/accounts/batch={batch}")
+        for name in names:
+            made = VIEWS[name](current, rest) if name == "total" else VIEWS[name](current)
+            made.where(F.col("tick") > OPENING_TICK).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        if entries:
+            ordered_lines(_entries_of(spark, path, batch), "tick", f"{path}/entries/batch={batch:012d}")
+        moves = C.balance_moves(current).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("total"), F.coalesce(F.sum("accounts"), F.lit(0)).alias("accounts"))
+        left = moves.select((F.col("total") + rest[0]).alias("total"), (F.col("accounts") + rest[1]).alias("accounts"))
+        left.write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")
+        table.write(batch, stored)
 
     return run_available(steps.writeStream.outputMode("append").foreachBatch(write), checkpoint)
 
 
-def _with_opening(spark: SparkSession, closed: DataFrame, accounts: str, batch: int) -> DataFrame:
-    known = [b for b in published_batches(spark, accounts) if b < batch]
+def _rest(spark: SparkSession, opening: DataFrame, totals: str, batch: int) -> tuple[int, int]:
+    """Sum and number of the balances before this batch that it does not touch."""
+    known = [b for b in published_batches(spark, totals) if b < batch]
     if not known:
-        return closed
-    opening = spark.read.parquet(f"{accounts}/batch={max(known)}")
-    return closed.unionByName(opening.withColumn("tick", F.lit(OPENING_TICK).cast("bigint")))
+        return 0, 0
+    before = spark.read.parquet(f"{totals}/batch={max(known)}").first()
+    two_sided = opening.where((F.col("credit_rows") > 0) & (F.col("debit_rows") > 0))
+    own = two_sided.agg(F.coalesce(F.sum(F.col("credit") - F.col("debit")), F.lit(0)).alias("total"), F.count("*").alias("accounts")).first()
+    return before["total"] - own["total"], before["accounts"] - own["accounts"]
+
+
+def _entries_of(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """Credit (side 0) and debit (side 1) entries of a batch."""
+
+    def side(name: str, number: int) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{name}/batch={batch}")
+        return rows.select("tick", "account", F.lit(number).alias("side"), F.col(name).alias("value"), F.col("diff").cast("long").alias("diff"))
+
+    return side("credits", 0).unionByName(side("debits", 1))
+
+
+def close_lines(spark: SparkSession, path: str) -> None:
+    """One entry at the end of time behind all lines of `path`, which closes the ticks before it."""
+    last = max(published_batches(spark, path), default=0) + 1
+    end = spark.range(1).select(F.unix_micros(F.lit(END_OF_TIME)).alias("tick"), F.lit(0).alias("account"), F.lit(0).alias("side"), F.lit(0).alias("value"), F.lit(0).alias("diff"))
+    ordered_lines(end, "tick", f"{path}/batch={last:012d}")
+
+
+def ordered_lines(rows: DataFrame, by: str, path: str) -> None:
+    """Rows as JSON lines whose files, by name, follow the order of `by`; rows equal in it share a file."""
+    placed = rows.repartitionByRange(by).sortWithinPartitions(by)
+    placed.select(F.to_json(F.struct(*rows.columns)).alias("line")).write.mode("overwrite").text(path)
 
 
 def published_batches(spark: SparkSession, path: str) -> list[int]:
