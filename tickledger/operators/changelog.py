@@ -186,9 +186,9 @@ def running_total(deltas: DataFrame, layout: Layout | None = None) -> DataFrame:
     return prefix_scan(deltas, {"total": Fold("sum", "delta")}, order=["tick"], layout=layout)
 
 
-def total_by_tick(steps: Steps) -> DataFrame:
-    """The grand total after every tick that changed a balance: (tick, total)."""
-    return _running_per_tick(steps, balance_moves(steps), {"total": "delta"}).select("tick", "total")
+def total_by_tick(steps: Steps, rest: int = 0) -> DataFrame:
+    """The grand total after every tick that changed a balance: (tick, total). `rest` is the sum of balances not in `steps`."""
+    return _running_per_tick(steps, balance_moves(steps), {"total": "delta"}).select("tick", (F.col("total") + rest).alias("total") if rest else "total")
 
 
 def total_changelog(steps: Steps, rest: tuple[int, int] = (0, 0)) -> DataFrame:

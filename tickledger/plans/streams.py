@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickledger.functions import render
 from tickledger.operators import changelog as C
 from tickledger.operators import lateness
+from tickledger.plans.audits import ZERO_SUM
 from tickledger.plans.histories import FULL_RUNS, RETRACTIONS
 from tickledger.plans.late import LATE_REFINEMENTS, NUMBERED
 from tickledger.plans.inputs import (
@@ -33,8 +34,9 @@ from tickledger.plans.snapshot import PAIRS_OUT
 from tickledger.schema import TX_SCHEMA
 from tickledger.sources import replay, tables
 from tickledger.sources import transactions as S
+from tickledger.sinks import committed
 from tickledger.sources.lines import listed, stream_lines
-from tickledger.streaming import joins, publish, timers, views
+from tickledger.streaming import joins, progress, publish, timers, views
 from tickledger.streaming.log_table import LogTable, newest
 from tickledger.workspace import fresh_path
 
@@ -314,3 +316,57 @@ def stream_replay_lines(spark, folder):
     file_no = F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint")
     placed = decoded.withColumn("arrival", F.call_function("shiftleft", file_no, F.lit(40)) + F.col("position"))
     return lateness.numbered(placed).select("id", "from_account", "to_account", "amount", "ts", "row_no")
+
+
+@plan("stream_committed_lines", sql(TX, EVENT_LEGS, f"""SELECT '{{"tick":' || tick || ',"account":' || account || ',"net":' || net || '}}' AS line FROM ({NET}) AS n"""))
+def stream_committed_lines(spark, folder):
+    """A closed view through the sink with two phases, read back by its manifests."""
+    path = fresh_path(spark, "committed")
+    nets = views.net_per_tick(replayed_transfers(spark, folder), PATIENCE, GRANULE)
+    lines = render.json_messages(nets, "account").select(F.col("value").alias("line"))
+    publish.run_available(committed.write_stream(lines, f"{path}/out"), f"{path}/checkpoint")
+    return committed.read(spark, f"{path}/out")
+
+
+@plan("stream_audit_zero_sum", sql(*FULL_RUNS, BALANCE_LOG, TOTALS, ZERO_SUM))
+def stream_audit_zero_sum(spark, folder):
+    """The zero-sum audit as observed while the histories are published, without a second read of them."""
+    path = fresh_path(spark, "audited")
+    steps = views.account_steps(replayed_transfers(spark, folder), PATIENCE, GRANULE)
+    publish.publish_changelogs(steps, path, f"{path}/checkpoint", audit=True, names=())
+    return progress.zero_sum_of(publish.read_batches(spark, f"{path}/audit"))
+
+
+@plan(
+    "stream_state_accounts",
+    sql(
+        TX,
+        EVENT_LEGS,
+        """SELECT account, CAST(sum(c) AS BIGINT) AS credit, CAST(sum(d) AS BIGINT) AS debit,
+       CAST(sum(nc) AS BIGINT) AS credit_rows, CAST(sum(nd) AS BIGINT) AS debit_rows FROM legs GROUP BY account""",
+    ),
+)
+def stream_state_accounts(spark, folder):
+    """The sides of all accounts out of the checkpoint of a finished query."""
+    path = fresh_path(spark, "state")
+    replayed = replayed_transfers(spark, folder).where(F.col("id") >= 0)
+    publish.publish_states(views.eager_accounts(replayed), f"{path}/states", f"{path}/checkpoint")
+    return progress.account_sides(spark, f"{path}/checkpoint")
+
+
+@plan("stream_progress_lines", sql(TX, EVENT_LEGS, "SELECT DISTINCT tick, TRUE AS told FROM legs"))
+def stream_progress_lines(spark, folder):
+    """Each published tick, and whether a listener was told a watermark behind it that no earlier line contradicts."""
+    listener = progress.ProgressLines()
+    spark.streams.addListener(listener)
+    try:
+        path = fresh_path(spark, "progress")
+        view = views.net_per_tick(replayed_transfers(spark, folder), PATIENCE, GRANULE)
+        query = publish.append_to(view, f"{path}/rows", f"{path}/checkpoint")
+        marks = listener.marks(query)
+    finally:
+        spark.streams.removeListener(listener)
+    rising = all(a < b for a, b in zip(marks, marks[1:]))
+    highest = max((at for _, at in marks), default=0)
+    rows = spark.read.schema(view.schema).parquet(f"{path}/rows")
+    return rows.select("tick").distinct().withColumn("told", (F.col("tick") < highest) & F.lit(rising))

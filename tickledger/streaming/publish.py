@@ -19,6 +19,7 @@ from tickledger.operators import changelog as C
 from tickledger.operators.scan import Fold, plan_layout, prefix_scan
 from tickledger.schema import TX_COLUMNS, micros
 from tickledger.streaming.log_table import LogTable, summing
+from tickledger.streaming.progress import write_audited
 from tickledger.workspace import fresh_path, pin
 
 END_OF_TIME = datetime(9000, 1, 1, tzinfo=timezone.utc)
@@ -144,13 +145,14 @@ def accounts_table(spark: SparkSession, path: str, **options) -> LogTable:
     return LogTable(spark, f"{path}/accounts", ("account",), ACCOUNTS, summing(["account"], C.SIDES), **options)
 
 
-def publish_changelogs(steps: DataFrame, path: str, checkpoint: str, *, entries: bool = False, names: Sequence[str] = tuple(VIEWS), **options) -> StreamingQuery:
+def publish_changelogs(steps: DataFrame, path: str, checkpoint: str, *, entries: bool = False, audit: bool = False, names: Sequence[str] = tuple(VIEWS), **options) -> StreamingQuery:
     """Changelogs of credits, debits, balance and total, each batch adding its closed ticks.
 
     `steps` is the append-mode `account_steps`. One query writes all four views from the same rows, so they agree at
     every tick. The account sides so far are a `LogTable` (`options` go to it): a batch reads and writes only the partitions of its own
     accounts; of all others it needs their total and their number, one row that the batch before it left. With `entries`
-    the credit and debit entries are also written as lines in the order of ticks, under entries/batch=N.
+    the credit and debit entries are also written as lines in the order of ticks, under entries/batch=N, with `audit` the total
+    after each tick, and the zero-sum audit of these from the pass that writes them, under audit/batch=N.
     """
 
     def write(closed: DataFrame, batch: int) -> None:
@@ -166,6 +168,9 @@ def publish_changelogs(steps: DataFrame, path: str, checkpoint: str, *, entries:
         for name in names:
             made = VIEWS[name](current, rest) if name == "total" else VIEWS[name](current)
             made.where(F.col("tick") > OPENING_TICK).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        if audit:
+            totals = C.total_by_tick(current, rest[0]).where(F.col("tick") > OPENING_TICK)
+            write_audited(totals, f"{path}/totals_by_tick/batch={batch}", f"{path}/audit/batch={batch}")
         if entries:
             ordered_lines(_entries_of(spark, path, batch), "tick", f"{path}/entries/batch={batch:012d}")
         moves = C.balance_moves(current).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("total"), F.coalesce(F.sum("accounts"), F.lit(0)).alias("accounts"))
