@@ -74,15 +74,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD1342543DE82EF95)
-_powers = np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> np.ndarray:
-    """_STEP to the powers 0 .. n - 1, kept between calls up to the longest text seen."""
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 16), _STEP))])
-    return _powers[:n]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,13 +85,11 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     joined = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    starts = ends - np.array([len(w) for w in words])
-    # a word is hashed as a polynomial in its own positions: sums over prefixes, shifted back to its start
-    powers = _powers_to(len(joined) + 1)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[joined] * powers[: len(joined)], dtype=np.uint64)])
-    back = _inverse_powers_to(len(joined) + 1)
-    hashed = _mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    lengths = np.array([len(w) for w in words])
+    starts = np.cumsum(lengths) - lengths
+    # each byte is mixed with its place in the word before the sum, so no two words collide by their pattern
+    place = (np.arange(len(joined)) - np.repeat(starts, lengths)).astype(np.uint64)
+    hashed = _mix(np.add.reduceat(_mix(_BYTE[joined] + place * _STEP), starts) + lengths.astype(np.uint64))
     n = max(1, len(words) - size + 1)
     width = min(size, len(words))
     out = np.full(n, np.uint64(width))
@@ -109,17 +98,6 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(out)
 
 
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_inverse_powers = np.ones(1, np.uint64)
-
-
-def _inverse_powers_to(n: int) -> np.ndarray:
-    global _inverse_powers
-    if len(_inverse_powers) < n:
-        _inverse_powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 16), _INVERSE))])
-    return _inverse_powers[:n]
-
-
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
     """t coordinates of a set with at least one element; equal where two sets have the same smallest value in a bin."""
     out = np.full(t, np.uint64(0xFFFFFFFFFFFFFFFF))
