@@ -17,6 +17,7 @@ one entry with their smallest ids, as many as a result can hold.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ BLOCK_QUERIES = 2048
 class Settings:
     """`centroids` for each half; `share` of the index that a query looks at; about `fitted` vectors train the centroids.
 
-    A query looks at `least` entries, or more if a result needs them, whatever the share; a smaller index is searched whole.
+    A query looks at k + 1 entries at least, its own among them, whatever the share.
 
     The share fits vectors without structure, where near ones lie in cells of any distance; clustered ones reach the
     same recall with far less.
@@ -47,7 +48,6 @@ class Settings:
     fitted: int = 20_000
     rounds: int = 12
     seed: int = 7
-    least: int = 1000
 
 
 def usable(vector: Column) -> Column:
@@ -109,22 +109,25 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     good = vectors.where(F.col(key).isNotNull() & usable(F.col(vector)))
     rows = pin(good.select(F.col(key).cast("long").alias("id"), values.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct(), "vectors")
     entries = pin(_entries(rows, k), "entries")
-    facts = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), F.max(F.size("v"))).first()
+    facts = entries.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not facts[0]:
         return vectors.sparkSession.createDataFrame([], schema)
-    n, longest, size = facts
+    n, largest, size = facts
+    # a power of two that brings all components into [-1, 1]: exact, and no square passes the range of doubles
+    scale = 2.0 ** max(-1022, min(1022, -math.frexp(largest)[1]))
+    longest = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x * scale) * (x * scale))))).first()[0]
     # the query's own entry is among those held
-    wanted = max(int(np.ceil(settings.share * n)), min(n, max(settings.least, k + 1)))
+    wanted = max(int(np.ceil(settings.share * n)), min(n, k + 1))
 
     # a share of the hash range, so the sample holds about `fitted` vectors whatever the table's size
     drawn = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(np.ceil((1 << 30) * min(1, settings.fitted / n)))).select("v").toArrow()
-    fitted = _augmented(_matrix(drawn.column("v"), size), longest)
+    fitted = _augmented(_matrix(drawn.column("v"), size) * scale, longest)
     fitted = fitted[np.lexsort(fitted.T)]
     half = (size + 1) // 2
     centres = centroids_of(fitted[:, :half], settings), centroids_of(fitted[:, half:], settings)
 
-    placed = pin(entries.mapInArrow(_placing(centres, half, size, longest), "ids array<long>, v array<double>, cell int"), "placed")
+    placed = pin(entries.mapInArrow(_placing(centres, half, size, longest, scale), "ids array<long>, v array<double>, cell int"), "placed")
     counts = np.zeros(len(centres[0]) * len(centres[1]), np.int64)
     for cell, count in placed.groupBy("cell").count().collect():
         counts[cell] = count
@@ -135,7 +138,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     index = placed.select(block.alias("block"), "cell", "ids", "v")
 
     asked = rows.where("asks").select("id", "v")
-    probes = pin(asked.mapInArrow(_probing(centres, half, size, counts, wanted, first_block, blocks_of), "block int, cells array<int>, id long, v array<double>"), "probes")
+    probes = pin(asked.mapInArrow(_probing(centres, half, size, counts, wanted, first_block, blocks_of, scale), "block int, cells array<int>, id long, v array<double>"), "probes")
     parts = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
     # queries of a block are dealt to parts, its entries go to each part
     probed = probes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -144,7 +147,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
         probed.select("block", "part", "cells", "id", "v")
         .groupBy("block", "part")
         .cogroup(entered.select("block", "part", "cell", "ids", "v").groupBy("block", "part"))
-        .applyInPandas(_reranking(k, size), "query_id long, vec_id long, score double")
+        .applyInPandas(_reranking(k, scale), "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -188,10 +191,10 @@ def _augmented(points: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([points, missing[:, None]])
 
 
-def _placing(centres, half: int, size: int, longest: float):
+def _placing(centres, half: int, size: int, longest: float, scale: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _augmented(_matrix(batch.column("v"), size), longest)
+            points = _augmented(_matrix(batch.column("v"), size) * scale, longest)
             a = distances(points[:, :half], centres[0]).argmin(axis=1)
             b = distances(points[:, half:], centres[1]).argmin(axis=1)
             cell = pa.array((a * len(centres[1]) + b).astype(np.int32))
@@ -200,12 +203,12 @@ def _placing(centres, half: int, size: int, longest: float):
     return run
 
 
-def _probing(centres, half: int, size: int, counts, wanted: int, first_block, blocks_of):
+def _probing(centres, half: int, size: int, counts, wanted: int, first_block, blocks_of, scale: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                points = np.hstack([_matrix(batch.column("v"), size), np.zeros((batch.num_rows, 1))])
+                points = np.hstack([_matrix(batch.column("v"), size) * scale, np.zeros((batch.num_rows, 1))])
                 first, second = distances(points[:, :half], centres[0]), distances(points[:, half:], centres[1])
                 blocks, cells, rows = [], [], []
                 for i in range(batch.num_rows):
@@ -224,7 +227,7 @@ def _probing(centres, half: int, size: int, counts, wanted: int, first_block, bl
     return run
 
 
-def _reranking(k: int, size: int):
+def _reranking(k: int, scale: float):
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(queries) and len(entries):
@@ -233,7 +236,7 @@ def _reranking(k: int, size: int):
             order = np.argsort(cell_of, kind="stable")
             ids = entries["ids"].to_numpy()
             for start in range(0, len(asked), 256):
-                scores = asked[start : start + 256] @ points.T
+                scores = (asked[start : start + 256] * scale) @ (points * scale).T
                 for i, row in enumerate(scores):
                     own = np.concatenate([order[slice(*np.searchsorted(cell_of[order], [c, c + 1]))] for c in queries["cells"].iloc[start + i]])
                     found = own[np.argpartition(-row[own], k)[: k + 1]] if len(own) > k + 1 else own
@@ -248,8 +251,9 @@ def _reranking(k: int, size: int):
 def _exact(query_id: int, query: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of a few entries, scored one component after the other in double precision."""
     score = np.zeros(len(points))
-    for c in range(points.shape[1]):
-        score += query[c] * points[:, c]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for c in range(points.shape[1]):
+            score += query[c] * points[:, c]
     each = np.repeat(score, [len(x) for x in ids])
     all_ids = np.concatenate(ids)
     other = all_ids != query_id
