@@ -348,7 +348,9 @@ def _dealt(table: DataFrame, column: str, buckets: int) -> DataFrame:
 
 
 _ANCHORS = [("bucket", pa.int32()), ("hot", pa.bool_()), ("hashes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("prints", pa.binary())]
-_SPOTS = [("id", pa.int64()), ("print", pa.int64()), ("hot", pa.bool_()), ("places", pa.binary())]
+#: What a bucket sends back: `firsts` and `seconds` of documents, a blob for each group of documents.
+_REPLIES = [("group", pa.int32()), ("hot", pa.bool_()), ("ids", pa.binary()), ("prints", pa.binary()), ("firsts", pa.binary()), ("seconds", pa.binary())]
+_PER_DOCUMENT = [("id", pa.int64()), ("print", pa.int64()), ("hot", pa.bool_()), ("firsts", pa.binary()), ("seconds", pa.binary())]
 
 
 def _texts_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -412,8 +414,30 @@ def _by_document(ids: np.ndarray, prints: np.ndarray, values: list[np.ndarray])
         yield int(ids[at]), int(prints[at]), *[v[group] for v in values]
 
 
+def _replies(groups: int, hot: bool, ids: np.ndarray, prints: np.ndarray, firsts: np.ndarray, seconds: np.ndarray) -> pa.RecordBatch:
+    group = (_mix(ids.astype(np.uint64) ^ _mix(prints.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+    columns = [x.astype("<i8") for x in (ids, prints, firsts, seconds)]
+    return _emitted([(g, hot, *[c[here].tobytes() for c in columns]) for g, here in _by_value(group)], _REPLIES)
+
+
+def _per_document(replies: DataFrame, groups: int) -> DataFrame:
+    """The replies put together, one row for each document (and for hot and other anchors)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "group"):
+            for hot in (False, True):
+                held = [r for r in rows if r["hot"] == hot]
+                if held:
+                    ids, prints, firsts, seconds = (np.concatenate([_numbers(r, c) for r in held]) for c in ("ids", "prints", "firsts", "seconds"))
+                    made = [(i, p, hot, a.tobytes(), b.tobytes()) for i, p, a, b in _by_document(ids, prints, [firsts, seconds])]
+                    for start in range(0, len(made), 1000):
+                        yield _emitted(made[start : start + 1000], _PER_DOCUMENT)
+
+    return _dealt(replies, "group", groups).mapInArrow(run, _form(_PER_DOCUMENT))
+
+
 def _shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
-    """Places of the anchors that more than one document has."""
+    """Places of the anchors that more than one document has, as replies."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "bucket"):
@@ -433,11 +457,9 @@ def _shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
                     kept = order[np.repeat(shared, np.diff(np.append(cuts, len(order))))]
                     ids, prints, places = ids[kept], prints[kept], places[kept]
                 if len(ids):
-                    made = [(i, p, hot, x.tobytes()) for i, p, x in _by_document(ids, prints, [places])]
-                    for start in range(0, len(made), 10_000):
-                        yield _emitted(made[start : start + 10_000], _SPOTS)
+                    yield _replies(buckets, hot, ids, prints, places, np.zeros(len(ids), np.int64))
 
-    return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_SPOTS))
+    return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_REPLIES))
 
 
 def _hot_hashes(texts: DataFrame, documents: int, settings: Settings) -> np.ndarray:
@@ -462,7 +484,6 @@ def _hot_hashes(texts: DataFrame, documents: int, settings: Settings) -> np.ndar
 
 
 _CONTEXTS = [("bucket", pa.int32()), ("contexts", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("prints", pa.binary())]
-_SPANS = [("id", pa.int64()), ("print", pa.int64()), ("spans", pa.binary())]
 
 
 def _unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -491,8 +512,8 @@ def _sent_contexts(spotted: DataFrame, buckets: int) -> DataFrame:
         for batch in rebatched(batches, 32):
             data, ids, prints = _texts_of(batch)
             tables.append((ids, prints))
-            for i, (text, lists) in enumerate(zip(data, batch.column("places").to_pylist(), strict=True)):
-                all_places = np.frombuffer(b"".join(lists), "<i8")
+            for i, (text, blob) in enumerate(zip(data, batch.column("places").to_pylist(), strict=True)):
+                all_places = np.frombuffer(blob, "<i8")
                 for start in range(0, len(all_places), SENT_ANCHORS // 8):
                     places = all_places[start : start + SENT_ANCHORS // 8]
                     number = i + sum(len(t[0]) for t in tables[:-1])
@@ -507,13 +528,17 @@ def _sent_contexts(spotted: DataFrame, buckets: int) -> DataFrame:
     return spotted.mapInArrow(run, _form(_CONTEXTS))
 
 
-def _window_spans(ids: np.ndarray, prints: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
-    """Per document the spans of the windows that start there."""
-    for id_, print_, here in _by_document(ids, prints, [starts]):
-        yield id_, print_, np.stack(merged(here, here + LENGTH)).tobytes()
+def _window_spans(groups: int, ids: np.ndarray, prints: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """The spans of windows, put together for each document, as replies."""
+    order = np.lexsort((starts, prints, ids))
+    ids, prints, starts = ids[order], prints[order], starts[order]
+    other = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
+    cut = np.flatnonzero(np.concatenate([[True], other | (starts[1:] > starts[:-1] + LENGTH)]))
+    ends = starts[np.append(cut[1:], len(starts)) - 1] + LENGTH
+    return _replies(groups, False, ids[cut], prints[cut], starts[cut], ends)
 
 
-def _spans_of_contexts(sent: DataFrame, buckets: int) -> DataFrame:
+def _spans_of_contexts(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "bucket"):
             contexts = np.concatenate([_numbers(r, "contexts", np.uint8).reshape(-1, WIDTH) for r in rows])
@@ -522,11 +547,10 @@ def _spans_of_contexts(sent: DataFrame, buckets: int) -> DataFrame:
             prints = np.concatenate([_numbers(r, "prints")[d] for r, d in zip(rows, docs, strict=True)])
             at, near, far = _unpacked(np.concatenate([_numbers(r, "places") for r in rows]))
             which, distance = held_before(contexts, near, far, ids)
-            made = list(_window_spans(ids[which], prints[which], at[which] - distance)) if len(which) else []
-            for start in range(0, len(made), 10_000):
-                yield _emitted(made[start : start + 10_000], _SPANS)
+            if len(which):
+                yield _window_spans(groups, ids[which], prints[which], at[which] - distance)
 
-    return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_SPANS))
+    return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_REPLIES))
 
 
 # ---------------------------------------------------------------- windows of hot anchors
@@ -552,8 +576,8 @@ def _asked_windows(spotted: DataFrame, buckets: int) -> DataFrame:
         for batch in rebatched(batches, BATCH_ROWS):
             data, ids, prints = _texts_of(batch)
             keys, docs, starts = [], [], []
-            for i, (text, lists) in enumerate(zip(data, batch.column("places").to_pylist(), strict=True)):
-                at, near, far = _unpacked(np.frombuffer(b"".join(lists), "<i8"))
+            for i, (text, blob) in enumerate(zip(data, batch.column("places").to_pylist(), strict=True)):
+                at, near, far = _unpacked(np.frombuffer(blob, "<i8"))
                 many = far - near + 1
                 first = np.repeat(at - far, many)
                 here = np.unique(first + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many))
@@ -599,7 +623,7 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
     return _dealt(asked.where("bucket >= 0"), "bucket", buckets).mapInArrow(run, _form(_ANSWERED))
 
 
-def _spans_of_windows(asked: DataFrame, answered: DataFrame) -> DataFrame:
+def _spans_of_windows(asked: DataFrame, answered: DataFrame, groups: int) -> DataFrame:
     """Each batch with its answers."""
     together = asked.where("bucket < 0").unionByName(answered, allowMissingColumns=True)
 
@@ -615,9 +639,9 @@ def _spans_of_windows(asked: DataFrame, answered: DataFrame) -> DataFrame:
             ids, prints = _numbers(own, "ids")[docs], _numbers(own, "prints")[docs]
             late = ids > least[of]
             if late.any():
-                yield _emitted(list(_window_spans(ids[late], prints[late], starts[late])), _SPANS)
+                yield _window_spans(groups, ids[late], prints[late], starts[late])
 
-    return together.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, _form(_SPANS))
+    return together.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, _form(_REPLIES))
 
 
 # ---------------------------------------------------------------- the operator
@@ -639,9 +663,9 @@ def looked_up(rows: DataFrame, column: str, table: DataFrame, payload: str) -> D
 
 
 def repeats(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id, print, spans` of documents that lose bytes, one row each, and (`spans` null) of those that go as copies.
+    """`id, print, firsts, seconds` of documents that lose bytes, one row each; both null for those that go as copies.
 
-    `print` is a hash of the text; spans are two rows of little-endian 64-bit numbers, starts and ends in bytes.
+    `print` is a hash of the text; starts and ends of spans in bytes, as little-endian 64-bit numbers, may overlap.
     """
     plain = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     plain = plain.where(F.octet_length("text") >= LENGTH).withColumn("print", F.xxhash64("text"))
@@ -655,26 +679,26 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     buckets = max(2, -(-(size["bytes"] or 0) // (18 * settings.bucket_anchors)))
     narrow = texts.select("id", "print", "text")
     hot = _hot_hashes(narrow, size["rows"], settings) if size["rows"] else np.empty(0, np.uint64)
-    found = _shared_anchors(_sent_anchors(narrow, buckets, hot), buckets)
-    by_document = found.groupBy("id", "print", "hot").agg(F.collect_list("places").alias("places"))
-    spots = pin(by_document.withColumn("node", _node(F.col("id"), F.col("print"))), "shared-anchors")
+    found = _per_document(_shared_anchors(_sent_anchors(narrow, buckets, hot), buckets), buckets)
+    spots = pin(found.select("id", "print", "hot", F.col("firsts").alias("places"), _node(F.col("id"), F.col("print")).alias("node")), "shared-anchors")
 
     def spotted(hot_ones: bool) -> DataFrame:
         wanted = spots.where(F.col("hot") == hot_ones).select("node", "places")
         return looked_up(texts, "own_node", wanted, "places").where("places is not null").select("id", "print", "text", "places")
 
-    counts = {r["hot"]: r["n"] for r in spots.groupBy("hot").agg(F.sum(F.expr("aggregate(places, 0L, (n, p) -> n + octet_length(p) div 8)")).alias("n")).collect()}
+    counts = {r["hot"]: r["n"] for r in spots.groupBy("hot").agg(F.sum(F.expr("octet_length(places) div 8")).alias("n")).collect()}
     spans = None
     if counts.get(True):
         many = max(2, -(-17 * counts[True] // settings.bucket_anchors))
         asked = pin(_asked_windows(spotted(True), many), "asked-windows")
-        spans = _spans_of_windows(asked, _answered(asked, many))
+        spans = _spans_of_windows(asked, _answered(asked, many), buckets)
     if counts.get(False) or spans is None:
         many = max(2, -(-counts.get(False, 0) // settings.bucket_contexts))
-        cold = _spans_of_contexts(_sent_contexts(spotted(False), many), many)
+        cold = _spans_of_contexts(_sent_contexts(spotted(False), many), many, buckets)
         spans = cold if spans is None else spans.unionByName(cold)
-    gathered = pin(spans.groupBy("id", "print").agg(F.collect_list("spans").alias("spans")), "spans")
-    return gathered.unionByName(copies.select("id", "print", F.lit(None).cast("array<binary>").alias("spans")))
+    gathered = pin(_per_document(spans, buckets), "spans")
+    nothing = F.lit(None).cast("binary")
+    return gathered.select("id", "print", "firsts", "seconds").unionByName(copies.select("id", "print", nothing.alias("firsts"), nothing.alias("seconds")))
 
 
 def cut(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -685,7 +709,7 @@ def cut(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
     there are no rows. Other columns are not read.
     """
     found = repeats(docs, settings, key, text)
-    listed = pin(found.select(_node(F.col("id"), F.col("print")).alias("node"), F.struct("spans").alias("found")), "repeats")
+    listed = pin(found.select(_node(F.col("id"), F.col("print")).alias("node"), F.struct("firsts", "seconds").alias("found")), "repeats")
     value = F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(docs[key].alias("key"), value.alias("text"), _node(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)), F.xxhash64(value)).alias("own_node"))
     # short texts are in no table: their node is not looked up
@@ -694,9 +718,8 @@ def cut(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 32):
             out = []
-            for data, lists in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lists").to_pylist(), strict=True):
-                pairs = [np.frombuffer(x, "<i8").reshape(2, -1) for x in lists]
-                starts, ends = merged(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+            for data, firsts, seconds in zip(batch.column("text").cast(pa.binary()).to_pylist(), *[batch.column(c).to_pylist() for c in ("firsts", "seconds")], strict=True):
+                starts, ends = merged(np.frombuffer(firsts, "<i8"), np.frombuffer(seconds, "<i8"))
                 kept = b"".join(data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True))
                 out.append(([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], kept, len(data)))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -705,12 +728,12 @@ def cut(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     form = "array<struct<start:bigint,end:bigint>>"
-    partly = marked.where("found.spans is not null").select("key", "text", F.col("found.spans").alias("lists"))
+    partly = marked.where("found.firsts is not null").select("key", "text", "found.firsts", "found.seconds")
     partly = partly.mapInArrow(run, f"key {kind}, n_bytes long, spans {form}, kept binary")
     size = F.octet_length("text").cast("long")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
     gone = F.col("found").isNotNull()
-    others = marked.where("found is null or found.spans is null").select(
+    others = marked.where("found is null or found.firsts is null").select(
         "key", size.alias("n_bytes"), F.when(gone, whole).otherwise(F.array().cast(form)).alias("spans"), F.when(gone, F.lit(b"")).otherwise(F.encode("text", "utf-8")).alias("kept")
     )
     return partly.unionByName(others).withColumnRenamed("key", key)
