@@ -46,6 +46,20 @@ def test_automaton_agrees_with_the_library(library):
         assert bpe.decode_ids(coder.tables.labels, coder.encode(text)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_words_together_and_alone(library):
+    """Short and long words in one call, repeated, empty, of all bytes; a memory that is emptied all the time."""
+    random.seed(6)
+    tables = bpe.automaton(TOKENIZER)
+    words = ["", "a", "aaaa" * 100, *["".join(random.choice("abé字 0") for _ in range(random.randint(1, 40))) for _ in range(500)]]
+    coded = [x.encode() for x in words] + [bytes(range(256)), b"\x00", b"\x00\x00a"]
+    assert tables.encode_words(coded) == [tables.encode_word(x).tobytes() for x in coded]
+    assert tables.encode_words([]) == []
+    coder = bpe.Encoder(tables)
+    for chunk in (words[:200], words[100:300], words):
+        coder.held = bpe.MEMORY + 1
+        assert [ids_of(x) for x in coder.encode_all(chunk)] == [library.encode(x, add_special_tokens=False).ids for x in chunk]
+
+
 def test_automaton_accepts_only_what_merging_gives():
     """Over a small alphabet, of all ways to cut a word exactly one is accepted: the one that merging gives."""
     letters, merged = "abc", [("a", "b"), ("ab", "c"), ("b", "c"), ("a", "a"), ("aa", "a"), ("c", "ab")]
@@ -70,9 +84,9 @@ def _paths(tables, word, before=None):
     """All ways to cut `word` that the automaton accepts."""
     if not word:
         yield ()
-    for token in set(tables.longest.values()) - {-1}:
+    for token in set(tables.token.tolist()) - {-1}:
         kind = tables.class_of[token]
-        follows = before is None or tables.arcs[tables.state_of[before]][kind >> 3] >> (kind & 7) & 1
+        follows = before is None or tables.bits[tables.state_of[before], kind >> 3] >> (kind & 7) & 1
         if follows and word.startswith(tables.labels[token].decode()):
             for rest in _paths(tables, word[len(tables.labels[token]) :], token):
                 yield token, *rest

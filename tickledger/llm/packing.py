@@ -57,8 +57,9 @@ def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, text
         tool = Encoder(shared.value)
         for batch in rebatched(batches, BATCH_ROWS):
             of, cut = [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                ids = tool.encode(value or "") + end
+            texts = [value or "" for value in batch.column(1).to_pylist()]
+            for i, coded in enumerate(tool.encode_all(texts)):
+                ids = coded + end
                 n = len(ids) // 4
                 first = n % tokens or tokens
                 for k, start in enumerate([0, *range(first, n, tokens)]):

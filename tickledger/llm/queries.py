@@ -52,7 +52,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_bpe_automaton")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER).drop("text"), TOKENIZER)
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), TOKENIZER, keep=("doc_id",)), TOKENIZER)
     return coded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
