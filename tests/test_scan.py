@@ -71,6 +71,15 @@ def test_buckets_follow_the_rows(spark):
     assert len(plan_layout(df, "t", rows_per_bucket=10).splits) == 99
 
 
+def test_small_tables_are_split_among_cores_too(spark):
+    df = spark.range(20_000).select(F.col("id").alias("t"), (F.col("id") % 50 * (F.col("id") % 2)).alias("k"))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(plan_layout(df, "t").splits) + 1 == min(2 * cores, 20_000 // scan.LEAST_ROWS_PER_BUCKET)
+    keyed = plan_layout(df, "t", ["k"])
+    assert spark.range(1).select(F.xxhash64(F.lit(0).cast("long"))).first()[0] in keyed.hot and keyed.splits
+    assert scan._bucket_count(10**9, None, cores) == 4000 and scan._bucket_count(10**9, None, 10**4) == 20_000
+
+
 def test_hot_key_is_spread_and_cold_keys_stay_whole(spark, data):
     df = spark.createDataFrame(data, "k int, t bigint, v bigint, w bigint")
     layout = plan_layout(df, "t", ["k"], buckets=8)

@@ -8,7 +8,7 @@ of about equal row count:
 2. each bucket's total, a tiny aggregate, is folded along the buckets of its key, in levels where there are many;
 3. what came before a bucket is joined back on (key, bucket), the partitioning step 1 left.
 
-Keys below one bucket's worth of rows stay whole, so an all-cold input costs one window.
+Keys below half a bucket's worth of rows stay whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ POSITION = "__position"
 HOT = "__hot"
 COLD_BUCKET = -1
 
+#: A bucket holds this many rows at most, and fewer while that leaves cores idle, down to the least number.
 ROWS_PER_BUCKET = 250_000
+LEAST_ROWS_PER_BUCKET = 512
+BUCKETS_PER_CORE = 2
 SAMPLES_PER_BUCKET = 32
 #: Bounds what the driver holds of a sample, two numbers a row; with more buckets than an eighth of it, buckets are less even.
 MOST_SAMPLES = 4_000_000
@@ -70,15 +73,16 @@ def plan_layout(
 ) -> Layout:
     """Choose hot keys and bucket boundaries from a count and a bounded sample of `stats`.
 
-    `stats` only has to be distributed like the rows to scan. The number of buckets follows the
-    number of rows, whatever it is; what fits into one bucket needs no boundary. A key is hot
+    `stats` only has to be distributed like the rows to scan. Rows are cut into BUCKETS_PER_CORE buckets for
+    each core, and into more where a bucket would hold over ROWS_PER_BUCKET; the scan takes the same path
+    at every size. A key is hot
     when it fills half a bucket. The sample holds a hash of the keys and the position. It moves
     boundaries only: every row is scanned and results do not depend on the layout, nor on two keys
     of one hash.
     """
     keys = tuple(keys)
     total = stats.count()
-    buckets = buckets or math.ceil(total / (rows_per_bucket or ROWS_PER_BUCKET))
+    buckets = buckets or _bucket_count(total, rows_per_bucket, stats.sparkSession.sparkContext.defaultParallelism)
     if not total or buckets == 1:
         return Layout(column, keys)
     share = min(1.0, min(SAMPLES_PER_BUCKET * buckets, MOST_SAMPLES) / total)
@@ -93,6 +97,13 @@ def plan_layout(
     return Layout(column, keys, tuple(sorted(map(int, hot))), splits, overall)
 
 
+def _bucket_count(total: int, rows_per_bucket: int | None, cores: int) -> int:
+    if rows_per_bucket:
+        return math.ceil(total / rows_per_bucket)
+    spread = min(BUCKETS_PER_CORE * cores, total // LEAST_ROWS_PER_BUCKET)
+    return max(1, spread, math.ceil(total / ROWS_PER_BUCKET))
+
+
 def _boundaries(sample: pd.Series, buckets: int) -> tuple[float, ...]:
     if sample.empty:
         return ()

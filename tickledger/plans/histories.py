@@ -41,11 +41,14 @@ from tickledger.plans.inputs import (
 from tickledger.plans.registry import plan
 from tickledger.schema import event_tick
 from tickledger.sinks import publish
+from tickledger.sinks.snapshots import SnapshotIndex
 from tickledger.workspace import fresh_path
 
 SNAPSHOT_AT = 1_705_363_200_000_000
 assert SNAPSHOT_AT == int(datetime(2024, 1, 16, tzinfo=timezone.utc).timestamp()) * 1_000_000
 
+SNAPSHOT_RUNS = 8
+
 KEPT_RUNS = (TX, MARKED, KEPT, legs("kept", *EVENT_TICKS), RUNS)
 FULL_RUNS = (TX, legs("tx", *EVENT_TICKS), RUNS)
 EAGER_RUNS = (TX, legs("tx", *EAGER_TICKS), RUNS)
@@ -270,6 +273,24 @@ def snapshot_bag(spark, folder):
     return C.repeat_copies(C.snapshot_as_of(pairs, columns, SNAPSHOT_AT), columns)
 
 
+@plan("snapshot_from_index", sql(*KEPT_RUNS, BALANCE_LOG, SNAPSHOT))
+def snapshot_from_index(spark, folder):
+    """The view at a tick from one snapshot and the runs after it."""
+    log = _kept_balances(spark, folder).select("tick", "account", "balance", F.col("diff").cast("long").alias("diff"))
+    index = SnapshotIndex(spark, fresh_path(spark, "snapshot-index"), log.schema, least_rows=5_000)
+    index.append(0, log, runs=SNAPSHOT_RUNS)
+    return index.as_of(SNAPSHOT_AT)
+
+
+@plan("changes_from_index", sql(*KEPT_RUNS, BALANCE_LOG, f"SELECT tick, account, balance, diff FROM balance_log WHERE tick > {SNAPSHOT_AT}"))
+def changes_from_index(spark, folder):
+    """What happened after a tick, from the runs that hold later ticks."""
+    log = _kept_balances(spark, folder).select("tick", "account", "balance", F.col("diff").cast("long").alias("diff"))
+    index = SnapshotIndex(spark, fresh_path(spark, "snapshot-index"), log.schema)
+    last = index.append(0, log, runs=SNAPSHOT_RUNS).runs
+    return index.changes(SNAPSHOT_AT, last[-1].last if last else SNAPSHOT_AT)
+
+
 @plan("tail_as_of_zero", sql(*KEPT_RUNS, BALANCE_LOG, "SELECT tick, account, balance, diff FROM balance_log ORDER BY 1, 4, 2, 3"))
 def tail_as_of_zero(spark, folder):
     return C.history(_kept_balances(spark, folder), ["account", "balance"])
