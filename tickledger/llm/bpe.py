@@ -218,7 +218,7 @@ def _compile(size: int, merges: list, lengths: list[int], added: set[int]):
             # x y is now z; and of x x x the first two merge, so z does not follow x
             kind = class_of[token]
             bits[state_of[x], kind >> 3] &= ~np.uint8(1 << (kind & 7))
-    return state_of, class_of, bits[:n_states], live
+    return state_of, class_of, bits[:n_states, : (n_classes + 7) // 8].copy(), live
 
 
 def _splits(bytes_: list[int], merges: list, side: int) -> int:
