@@ -373,3 +373,17 @@ def test_pipeline_stages_on_awkward_documents(spark):
             assert stage(spark, table, FOLDER).columns == table.columns
             stage(spark, table, FOLDER).collect()
         corpus_pipeline.STAGES[-1][1](spark, table, FOLDER).collect()
+
+
+def test_components_without_links(spark):
+    """No rows, one row, and rows that share nothing: every document is its own component."""
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash.components(empty).collect() == [] and minhash.connected(empty.selectExpr("doc_id as a", "doc_id as b")).collect() == []
+    apart = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n"), (3, None)], "doc_id long, text string")
+    assert sorted((r["id"], r["component_id"]) for r in minhash.components(apart).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_bands_follow_the_similarity():
+    for percent in (50, 80, 85, 95, 100):
+        s = minhash.Settings(percent=percent)
+        assert (1 - min(percent / 100, 0.999) ** s.rows) ** s.bands < s.miss and s.coordinates <= s.most_coordinates

@@ -138,7 +138,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", settings:
     x = np.empty((len(labels), DIMENSIONS), np.float32)
     for i, row in enumerate(drawn.column("x")):
         x[i] = np.frombuffer(row.as_buffer(), "<f4")
-    del drawn
+    del drawn, row
+    pa.default_memory_pool().release_unused()
     order = np.lexsort((*x.T[:8], labels.astype(str)))
     return train(x, labels, order, settings)
 

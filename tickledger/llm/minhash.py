@@ -18,19 +18,20 @@ From sketches to components:
    then by their whole sets. A task returns only links that join components.
 
 Step 4 leaves out no pair of a bucket, so a link is missed only if no band agrees or its sketches differ by
-more than seven standard deviations (for similarity 0.85 one pair in 10^8). No pairs within a group are ever written out: links between members that
+more than seven standard deviations (one pair in 10^8 at the limit, whatever it is). No pairs within a group are ever written out: links between members that
 are connected already are not needed for components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tickledger.llm.base import rebatched
@@ -44,16 +45,32 @@ NO_ID = 1 << 62
 
 @dataclass(frozen=True)
 class Settings:
-    """Links need 100 * intersection >= percent * union; sketches have bands * rows coordinates."""
+    """Links need 100 * intersection >= percent * union; sketches have bands * rows coordinates.
+
+    Both follow from `percent`: as many bands as it takes to miss a pair at the limit with less than `miss`, and
+    the longest bands with which that needs no more than `most_coordinates`.
+    """
 
     words: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 6
+    miss: float = 1e-8
+    most_coordinates: int = 256
     partners: int = 1000  # partners of one document that a verification task takes at most
     block_shingles: int = 400_000  # shingles of a bucket that one side of a block holds
     block_sketches: int = 1024  # and how many sketches
 
+    def _bands_of(self, rows: int) -> int:
+        share = min(self.percent / 100, 0.999)
+        return max(1, math.ceil(math.log(self.miss) / math.log1p(-(share**rows))))
+
+    @property
+    def rows(self) -> int:
+        return max((r for r in range(1, 17) if r * self._bands_of(r) <= self.most_coordinates), default=1)
+
+    @property
+    def bands(self) -> int:
+        return self._bands_of(self.rows)
+
     @property
     def coordinates(self) -> int:
         return self.bands * self.rows
@@ -135,7 +152,7 @@ def own_id(key: Column, text: Column) -> Column:
 
 def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
     """`id, own, h1, h2, n, bands, sketch` for rows `id, own, text`: fingerprint, set size, band keys, sketch bytes."""
-    t = settings.coordinates
+    t, bands, rows = settings.coordinates, settings.bands, settings.rows
     kinds = [("id", pa.int64()), ("own", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +165,7 @@ def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
                 if print_ not in known:
                     elements = shingles(words, settings.words)
                     made = sketch(elements, t) if len(elements) else np.empty(0, np.uint64)
-                    keys = band_keys(made, settings.bands, settings.rows) if len(elements) else []
+                    keys = band_keys(made, bands, rows) if len(elements) else []
                     known[print_] = len(elements), keys, made.astype(np.uint8).tobytes()
                 out.append((*(int.from_bytes(print_[i : i + 8], "little", signed=True) for i in (0, 8)), *known[print_]))
             columns = [pa.array([r[c] for r in out], kind) for c, (_, kind) in enumerate(kinds[2:])]
@@ -192,7 +209,7 @@ def components(docs: DataFrame, settings: Settings = Settings(), key: str = "doc
     sums = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     split = placed.join(sums.where("low < high and size > 2").select("bucket"), "bucket").select("bucket", "node", "label")
     across = pin(_across(split, sketches, plain, settings), "more-links")
-    final = connected(links.unionByName(across))
+    final = labels if across.isEmpty() else connected(links.unionByName(across))
 
     named = member.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return named.select("id", "own", F.col("n").alias("n_shingles"), "label", F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
@@ -365,20 +382,26 @@ def connected(links: DataFrame) -> DataFrame:
     written to the shared folder.
     """
     edges = pin(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = pin(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    total = F.sum(F.col("label").cast("decimal(38,0)"))
-    before, now = None, labels.agg(total).first()[0]
+    labels, now = _with_sum(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    before = None
     while before != now:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("near"))
         told = step.select("node", "near").unionByName(step.select(F.col("label").alias("node"), "near"))
         hooked = told.groupBy("node").agg(F.min("near").alias("label"))
         jump = hooked.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        labels = pin(hooked.join(jump, F.col("label") == F.col("at")).select("node", F.col("further").alias("label")), "labels")
-        before, now = now, labels.agg(total).first()[0]
+        before = now
+        labels, now = _with_sum(hooked.join(jump, F.col("label") == F.col("at")).select("node", F.col("further").alias("label")))
     return labels
 
 
+def _with_sum(labels: DataFrame) -> tuple[DataFrame, object]:
+    """The labels, written, and their sum, which is taken while they are written: labels only fall, so an equal sum is the end."""
+    seen = Observation()
+    written = pin(labels.observe(seen, F.sum(F.col("label").cast("decimal(38,0)")).alias("total")), "labels")
+    return written, seen.get["total"]
+
+
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which one stands for each component: the one with the smallest id.
 
