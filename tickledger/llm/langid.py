@@ -7,11 +7,12 @@ SVM for each pair of families, then one for each pair of languages of the chosen
 votes that tie are settled by the summed margins.
 
 Training takes a bounded sample: for each language about `per_language` labelled texts, drawn by hash.
-Features of the sample are made on the executors; the driver gets one vector per sampled row.
+Features of the sample are made on the executors, one task trains on them, and the driver gets the weights only.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -124,24 +125,32 @@ def sample_of(labelled: DataFrame, text: str, label: str, settings: Settings) ->
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", settings: Settings = Settings()) -> Model:
-    """Train on `labelled`; without usable rows the model knows no language."""
+    """Train on `labelled`; without usable rows the model knows no language.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sample holds `most_rows` texts at most, so one task trains on it. Vectors are made where the texts are and
+    move as their cells that are not 0; only the machines' weights reach the driver.
+    """
+
+    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, BATCH_ROWS):
-            made = [features(x).astype("<f4").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(made, pa.binary())], names=["label", "x"])
-
-    drawn = sample_of(labelled, text, label, settings).mapInArrow(run, "label string, x binary").toArrow()
-    labels = np.array(drawn.column("label").to_pylist(), dtype=object)
-    if not len(labels):
-        return Model()
-    x = np.empty((len(labels), DIMENSIONS), np.float32)
-    for i, row in enumerate(drawn.column("x")):
-        x[i] = np.frombuffer(row.as_buffer(), "<f4")
-    del drawn, row
-    pa.default_memory_pool().release_unused()
-    order = np.lexsort((*x.T[:8], labels.astype(str)))
-    return train(x, labels, order, settings)
+            made = [features(x).astype("<f4") for x in batch.column("text").to_pylist()]
+            cells = [np.flatnonzero(v).astype("<u2") for v in made]
+            columns = [pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([v[c].tobytes() for v, c in zip(made, cells, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], names=["label", "cells", "x"])
+
+    def trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("label", "cells", "x")], strict=True)]
+        if rows:
+            x = np.zeros((len(rows), DIMENSIONS), np.float32)
+            for into, (_, cells, values) in zip(x, rows, strict=True):
+                into[np.frombuffer(cells, "<u2")] = np.frombuffer(values, "<f4")
+            labels = np.array([row[0] for row in rows], dtype=object)
+            order = np.lexsort((*x.T[:8], labels.astype(str)))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(x, labels, order, settings))], pa.binary())], names=["model"])
+
+    drawn = sample_of(labelled, text, label, settings).mapInArrow(vectors, "label string, cells binary, x binary")
+    models = drawn.repartition(1).mapInArrow(trained, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else Model()
 
 
 def train(x: np.ndarray, labels: np.ndarray, order: np.ndarray, settings: Settings) -> Model:
