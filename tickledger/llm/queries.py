@@ -115,7 +115,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op5_warc_shards")
+#: Five hexadecimal digits of a SHA-1 are four digits in base 32.
+OP5_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), last_of AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS last_id FROM payloads
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < last_id THEN last_id END AS refers_to
+FROM last_of"""
+
+
+@query("op5_warc_shards", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     root = fresh_path(spark, "warc")
     warc.write(table(spark, folder, "pages").select("page_id", "url", "html"), root)
