@@ -7,12 +7,13 @@ the chi-square distribution are rejected.
 
 The estimate runs as passes over a narrow table: a pass computes distances, finds per group the distance that
 holds the wanted share of documents (by counting into fine cells, so no group is gathered or sorted),
-and sums means and products of that part. These concentration steps lower the determinant every time. A floor
-for each statistic is added to the covariance, so statistics that are constant for most documents do not turn
-every other value into an outlier.
+and sums means and products of that part. These concentration steps lower the determinant every time. They run from
+two starts, and the result with the smaller determinant counts. A floor for each statistic is added to the covariance,
+so statistics that are constant for most documents do not turn every other value into an outlier.
 
-Groups with too few documents for an estimate are judged by one over all documents of their language, and where
-those are too few too by one over all documents; so every document that passes the base rules has a distance.
+Languages and the whole table are estimated in the same passes. A language's estimate is drawn towards that of all
+documents and a source's towards that of its language, with the weight of `prior` documents. So a source of any size
+is judged by its own documents as far as they tell, and every document that passes the base rules has a distance.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Settings:
-    """`share` of a group that its estimate rests on, number of `steps`, least documents of a `group`.
+    """`share` of a group that its estimate rests on, number of `steps`, weight of the wider estimate (`prior`) in documents.
 
     `cutoff` is the squared distance beyond which a document is rejected: the 0.99999 quantile of chi-square with
     five degrees of freedom. `consistency` scales the covariance of the inner share to that of all: for
@@ -42,7 +43,7 @@ class Settings:
 
     share: float = 0.75
     steps: int = 5
-    group: int = 100
+    prior: float = 100.0
     cutoff: float = 30.86
     consistency: float = 1.412
     floors: tuple[float, ...] = (0.25, 0.05, 0.5, 0.5, 0.1)
@@ -58,6 +59,12 @@ STATISTICS: dict[str, Callable[[], Column]] = {
     "x4": lambda: F.sqrt(F.col("n_repeat_words") / F.greatest("n_words", F.lit(1))),
 }
 DIMENSIONS = tuple(STATISTICS)
+#: Keys of the estimates that a document adds to: its language and source, its language, all.
+LEVELS: dict[str, Callable[[], Column]] = {
+    "own": lambda: F.xxhash64(F.lit(0), F.col("doc_lang").isNull(), "doc_lang", F.col("doc_source").isNull(), "doc_source"),
+    "of_lang": lambda: F.xxhash64(F.lit(1), F.col("doc_lang").isNull(), "doc_lang"),
+    "of_all": lambda: F.xxhash64(F.lit(2)),
+}
 
 
 def repeated_words(words: Column) -> Column:
@@ -122,49 +129,74 @@ def judged(docs: DataFrame, settings: Settings = Settings(), keep: tuple[str, ..
 
 def squared_distance(table: DataFrame, settings: Settings) -> DataFrame:
     """`table` with `distance`, null only where a language and source has no document that passes the base rules."""
-    vectors = table.select("*", *[make().alias(name) for name, make in STATISTICS.items()])
-    same = F.col("doc_lang").eqNullSafe(F.col("of_lang")) & F.col("doc_source").eqNullSafe(F.col("of_source"))
-    placed = vectors.join(_groups(table, settings), same, "left").drop("of_lang", "of_source")
-    # a document adds to each estimate that covers it and that some document is judged by
-    inner = pin(placed.where(~F.col("base_failed")).select(F.explode("adds_to").alias("group"), *DIMENSIONS), "vectors")
-    placed = placed.drop("adds_to")
-    factor = pin(factored(pin(starts(inner, settings), "estimate")), "factor")
+    placed = table.select("*", *[make().alias(name) for name, make in (STATISTICS | LEVELS).items()])
+    narrow = pin(placed.where(~F.col("base_failed")).select(*LEVELS, *DIMENSIONS), "vectors")
+    inner = narrow.select(F.explode(F.array(*LEVELS)).alias("group"), *DIMENSIONS)
+    factor = pin(factored(starts(inner, settings)), "factor")
     for _ in range(settings.steps):
-        factor = pin(factored(pin(concentrated(inner, factor, settings), "estimate")), "factor")
-    return _with_distance(placed, factor)
-
-
-def _groups(table: DataFrame, settings: Settings) -> DataFrame:
-    """For each language and source the estimate (`group`) that judges it and those (`adds_to`) that it adds to."""
-    passed = table.where(~F.col("base_failed"))
-    sizes = pin(passed.groupBy(F.col("doc_lang").alias("of_lang"), F.col("doc_source").alias("of_source")).count(), "sizes")
-    languages = sizes.groupBy(F.col("of_lang").alias("lang")).agg(F.sum("count").alias("in_lang"), F.min("count").alias("least"))
-    fewest = languages.agg(F.min("in_lang")).first()[0]
-    large, common = F.col("count") >= settings.group, F.col("in_lang") >= settings.group
-    names = {
-        "own": F.when(large, F.xxhash64(F.lit(0), F.col("of_lang").isNull(), "of_lang", F.col("of_source").isNull(), "of_source")),
-        "by_lang": F.when(common & (F.col("least") < settings.group), F.xxhash64(F.lit(1), F.col("of_lang").isNull(), "of_lang")),
-        "by_all": F.when(F.lit(fewest is not None and fewest < settings.group), F.xxhash64(F.lit(2))),
-    }
-    keyed = sizes.join(languages, F.col("of_lang").eqNullSafe(F.col("lang"))).select("of_lang", "of_source", *[c.alias(n) for n, c in names.items()])
-    return keyed.select("of_lang", "of_source", F.coalesce(*names).alias("group"), F.array_compact(F.array(*names)).alias("adds_to"))
+        factor = pin(factored(concentrated(inner, factor, settings)), "factor")
+    sizes = inner.groupBy("group").agg(F.count("*").alias("size"))
+    estimates = pin(smallest(factor).join(sizes, "group"), "estimates")
+    judges = pin(factored(shrunk(narrow.select(*LEVELS).distinct(), estimates, settings)), "judges")
+    return _with_distance(placed, judges, "own").drop(*LEVELS)
+
+
+def smallest(factor: DataFrame) -> DataFrame:
+    """Of each group's starts the estimate whose covariance has the smallest determinant."""
+    size = sum((F.log(f"l{i}{i}") for i in range(1, len(DIMENSIONS))), F.log("l00"))
+    first = F.min_by(F.struct(*ESTIMATE), F.struct(F.round(size, 9).alias("size"), F.col("start")))
+    return factor.groupBy("group").agg(first.alias("of")).select("group", "of.*")
+
+
+def shrunk(keys: DataFrame, estimates: DataFrame, settings: Settings) -> DataFrame:
+    """For each language and source its estimate, drawn towards that of the language, itself drawn towards that of all.
+
+    An estimate over n documents has the weight n / (n + prior).
+    """
+    out = keys
+    for level in LEVELS:
+        weight = F.col("size") / (F.col("size") + settings.prior)
+        named = estimates.select(F.col("group").alias(level), weight.alias(f"{level}_weight"), *[F.col(e).alias(f"{level}_{e}") for e in ESTIMATE])
+        out = out.join(named, level)
+
+    def drawn(e: str) -> Column:
+        share, wider = F.col("own_weight"), F.col("of_lang_weight")
+        language = wider * F.col(f"of_lang_{e}") + (1 - wider) * F.col(f"of_all_{e}")
+        return share * F.col(f"own_{e}") + (1 - share) * language
+
+    return out.select("own", *[drawn(e).alias(e) for e in ESTIMATE])
 
 
 def starts(inner: DataFrame, settings: Settings) -> DataFrame:
-    """First estimate of each group: medians, and squared median deviations as a diagonal covariance."""
-    medians = _medians(inner, [F.col(x) for x in DIMENSIONS])
+    """First estimates of each group: medians with squared median deviations (0), mean and covariance of all its rows (1)."""
+    medians = pin(_medians(inner, [F.col(x) for x in DIMENSIONS]), "medians")
     centred = inner.join(medians, "group").select("group", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(x) for i, x in enumerate(DIMENSIONS)])
     spread = _medians(centred, [F.col(x) for x in DIMENSIONS]).select("group", *[F.col(f"m{i}").alias(f"d{i}") for i in range(len(DIMENSIONS))])
     spread = medians.join(spread, "group")
     # 1.4826 times the median deviation is a standard deviation for normal data
     pairs = [(F.pow(F.col(f"d{i}") * 1.4826, 2) + settings.floors[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _lower()]
-    return spread.select("group", *[f"m{i}" for i in range(len(DIMENSIONS))], *pairs)
+    middle = spread.select("group", F.lit(0).alias("start"), *[f"m{i}" for i in range(len(DIMENSIONS))], *pairs)
+    return middle.unionByName(_moments(inner.withColumn("start", F.lit(1)), settings, 1.0))
 
 
 def _lower() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(DIMENSIONS)) for j in range(i + 1)]
 
 
+ESTIMATE = (*[f"m{i}" for i in range(len(DIMENSIONS))], *[f"c{i}{j}" for i, j in _lower()])
+
+
+def _moments(rows: DataFrame, settings: Settings, scale: float) -> DataFrame:
+    """Mean and covariance, times `scale`, of the rows of each group and start."""
+    means = [F.avg(x).alias(f"a{i}") for i, x in enumerate(DIMENSIONS)]
+    products = [F.covar_pop(DIMENSIONS[i], DIMENSIONS[j]).alias(f"v{i}{j}") for i, j in _lower()]
+    sums = rows.groupBy("group", "start").agg(*means, *products)
+    # sums depend on the order of rows in their last digits; rounding keeps the verdicts from doing so
+    mean = [F.round(f"a{i}", 9).alias(f"m{i}") for i in range(len(DIMENSIONS))]
+    covariance = [F.round(F.col(f"v{i}{j}") * scale + (settings.floors[i] ** 2 if i == j else 0.0), 9).alias(f"c{i}{j}") for i, j in _lower()]
+    return sums.select("group", "start", *mean, *covariance)
+
+
 def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
     """`group, m0 ..`, by counting values into cells of 1/512."""
     cells = rows.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(v * 512).cast("long").alias("cell")) for i, v in enumerate(values)])).alias("x")).select("group", "x.*")
@@ -181,44 +213,38 @@ def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def factored(estimate: DataFrame) -> DataFrame:
-    """The estimate with the Cholesky factor L (`l00 ..`) of each group's covariance in its place."""
+    """The estimates and the Cholesky factor L (`l00 ..`) of each covariance."""
     factor = estimate
     for i, j in _lower():
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         factor = factor.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return factor.drop(*[f"c{i}{j}" for i, j in _lower()])
+    return factor
 
 
-def _with_distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    """Rows with the squared Mahalanobis distance from their group's estimate.
+def _with_distance(rows: DataFrame, factor: DataFrame, key: str) -> DataFrame:
+    """Rows with the squared Mahalanobis distance from the estimates of their `key`, and their `start` if there are several.
 
     A row solves L z = x - mean, and its distance is the sum of z squared.
     """
     d = len(DIMENSIONS)
-    out = rows.join(factor, "group", "left")
+    out = rows.join(factor.drop(*[f"c{i}{j}" for i, j in _lower()]), key, "left")
     for i in range(d):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     total = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, d)), F.col("z0") * F.col("z0"))
-    return out.select(*rows.columns, total.alias("distance"))
+    return out.select(*rows.columns, *[c for c in factor.columns if c == "start"], total.alias("distance"))
 
 
 def concentrated(inner: DataFrame, factor: DataFrame, settings: Settings) -> DataFrame:
     """One concentration step: mean and covariance of the share of each group that is nearest to its estimate."""
-    near = _with_distance(inner, factor).where("distance is not null")
+    near = _with_distance(inner, factor, "group").where("distance is not null")
     # cells of one percent of the distance; the share ends with the cell that reaches it
     near = near.withColumn("cell", F.floor(F.log(F.col("distance") + 1e-6) * 100))
-    # one row per group; written, so that its size is known and a hot group need not be moved for it
-    limit = pin(_quantile(near.groupBy("group", "cell").count(), ["group"], settings.share), "limits").withColumnRenamed("cell", "last")
-    kept = near.join(limit, "group").where("cell <= last")
-    means = [F.avg(x).alias(f"a{i}") for i, x in enumerate(DIMENSIONS)]
-    products = [F.covar_pop(DIMENSIONS[i], DIMENSIONS[j]).alias(f"v{i}{j}") for i, j in _lower()]
-    sums = kept.groupBy("group").agg(*means, *products)
-    # sums depend on the order of rows in their last digits; rounding keeps the verdicts from doing so
-    mean = [F.round(f"a{i}", 9).alias(f"m{i}") for i in range(len(DIMENSIONS))]
-    covariance = [F.round(F.col(f"v{i}{j}") * settings.consistency + (settings.floors[i] ** 2 if i == j else 0.0), 9).alias(f"c{i}{j}") for i, j in _lower()]
-    return sums.select("group", *mean, *covariance)
+    # one row per group and start; written, so that its size is known and a hot group need not be moved for it
+    keys = ["group", "start"]
+    limit = pin(_quantile(near.groupBy(*keys, "cell").count(), keys, settings.share), "limits").withColumnRenamed("cell", "last")
+    return _moments(near.join(limit, keys).where("cell <= last"), settings, settings.consistency)
