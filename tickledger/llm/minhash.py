@@ -405,15 +405,19 @@ def _with_sum(labels: DataFrame) -> tuple[DataFrame, object]:
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of which one stands for each component: the one with the smallest id.
 
-    Rows that repeat an id count as one document: the smallest text stays. What joins the documents is the ids that go and
-    the ids that repeat; both are written before, so texts are moved only where those lists are long.
+    Rows that share an id but not the text are documents of their own, told apart by text like rows without an id; of rows
+    equal in both, one stays. What joins the documents is the ids that go, the ids that repeat and the shared ids; all
+    are written before, so texts are moved only where those lists are long.
     """
-    counts = components(docs, settings, key, text).groupBy("own").agg(F.max(F.col("own") == F.col("label")).alias("kept"), F.count("*").alias("rows"))
+    by_id = docs.select(docs[key].cast("long").alias("shared_id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("hash")).where("shared_id is not null")
+    shared = pin(by_id.groupBy("shared_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("shared_id"), "shared-ids")
+    plain = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_row"), docs[key].cast("long").alias("doc_key"), docs[text].alias("doc_text"))
+    told = plain.join(shared, F.col("doc_key") == F.col("shared_id"), "left").withColumn("doc_key", F.when(F.col("shared_id").isNull(), F.col("doc_key"))).drop("shared_id")
+    counts = components(told, settings, "doc_key", "doc_text").groupBy("own").agg(F.max(F.col("own") == F.col("label")).alias("kept"), F.count("*").alias("rows"))
     counts = pin(counts.where("not kept or rows > 1"), "kept-ids")
     gone = counts.where("not kept").select(F.col("own").alias("kept_id"))
     repeated = counts.where("kept").select(F.col("own").alias("kept_id"))
-    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_row"), own_id(docs[key], docs[text]).alias("kept_id"), docs[text].alias("doc_text"))
-    left = named.join(gone, "kept_id", "left_anti")
+    left = told.withColumn("kept_id", own_id(F.col("doc_key"), F.col("doc_text"))).join(gone, "kept_id", "left_anti")
     first = Window.partitionBy("kept_id").orderBy("doc_text")
     smallest = left.join(repeated, "kept_id", "left_semi").withColumn("doc_place", F.row_number().over(first)).where("doc_place = 1")
     return left.join(repeated, "kept_id", "left_anti").select("doc_row.*").unionByName(smallest.select("doc_row.*"))
