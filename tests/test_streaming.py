@@ -220,3 +220,28 @@ def test_exact_late_rule_over_batches(spark, tmp_path):
     expected = lateness.accepted(ledger(spark, data), timedelta(seconds=5))
     assert rows(got.drop("batch")) == rows(expected) and 0 < expected.count() < 300
     assert got.select("batch").distinct().count() > 1
+
+
+def test_long_replays_have_more_batches(spark, transfers, tmp_path):
+    rows_ = ledger(spark, transfers)
+    assert replay.write_replay(rows_, str(tmp_path / "in"), 2, rows_per_file=10, most_files=4) == 4
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 20  # five batches instead of two
+
+
+def test_batches_hold_the_rows_of_their_number(spark, transfers, tmp_path):
+    each = replay.write_batches(ledger(spark, transfers), F.col("id") % 3, 3, str(tmp_path / "in"), rows_per_file=40)
+    assert each == 2
+    seen = []
+    reader = stream(spark, tmp_path / "in", each)
+    query = reader.writeStream.foreachBatch(lambda df, n: seen.append({r[0] for r in df.selectExpr("id % 3").collect()}))
+    publish.run_available(query, str(tmp_path / "c"))
+    assert seen == [{0}, {1}, {2}]
+
+
+def test_the_gated_stream_drops_late_rows_in_every_table():
+    from check_against_sql import connect
+
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        text = PLANS["stream_net_per_tick_late"].sql
+        kept, sent = (connect(folder).execute(f"{text[: text.rindex('SELECT tick, account')]} SELECT count(*) FROM {name}").fetchone()[0] for name in ("on_time", "tx"))
+        assert 0 < kept < sent

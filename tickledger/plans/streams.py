@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,7 @@ from tickledger.workspace import fresh_path
 # Longer than any row is delayed, so that no batch boundary makes a row late.
 PATIENCE = timedelta(days=10)
 REPLAY_BATCHES = 4
+LATE_BATCHES = 8
 #: Line replays read so much at a time, and a quarter of what there is where that is less, so that there are several batches.
 REPLAY_BYTES = 1 << 30
 
@@ -61,12 +63,16 @@ def live_transfers(spark: SparkSession, folder: str) -> DataFrame:
     return tables.ledger_from_events(live_events(spark, folder))
 
 
-def replayed_transfers(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored transfers in several micro-batches, by arrival."""
+def replay_readers(spark: SparkSession, folder: str) -> Callable[[], DataFrame]:
+    """Each call reads the stored transfers as a stream in several micro-batches of bounded size, by arrival."""
     path = fresh_path(spark, "replay")
     rows = transfers(spark, folder).unionByName(publish.closing_row(spark))
     each = replay.write_replay(rows, path, REPLAY_BATCHES)
-    return replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=each)
+    return lambda: replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=each)
+
+
+def replayed_transfers(spark: SparkSession, folder: str) -> DataFrame:
+    return replay_readers(spark, folder)()
 
 
 def replayed_upserts(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,6 +115,29 @@ def stream_net_per_tick_replay(spark, folder):
     return _published(views.net_per_tick(replayed, PATIENCE, GRANULE), "net-per-tick")
 
 
+#: One account's transfers stream up to three batches after their time. A batch drops what ended before the watermark
+#: of the batches up to the one before the last, which is when Spark moves it.
+DELAYED = f"""delayed AS (
+  SELECT *, id * {LATE_BATCHES} // (SELECT max(id) + 1 FROM tx) + CASE WHEN from_account = 3 THEN id % 4 ELSE 0 END AS batch FROM tx),
+batches AS (
+  SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS high FROM delayed GROUP BY batch),
+on_time AS (
+  SELECT delayed.* FROM delayed JOIN batches USING (batch) WHERE high IS NULL OR ts + INTERVAL 1 HOUR > high - INTERVAL 4 HOUR)"""
+
+
+@plan("stream_net_per_tick_late", sql(TX, DELAYED, legs("on_time", "epoch_us(ts)", "epoch_us(ts)"), NET))
+def stream_net_per_tick_late(spark, folder):
+    """Net changes of closed ticks, without the rows that came after their tick was closed."""
+    rows = transfers(spark, folder)
+    span = (rows.agg(F.max("id")).first()[0] or 0) + 1
+    behind = F.when(F.col("from_account") == 3, F.col("id") % 4).otherwise(0)
+    batch = F.when(F.col("id") < 0, LATE_BATCHES + 3).otherwise(F.expr(f"id * {LATE_BATCHES} div {span}") + behind)
+    path = fresh_path(spark, "delayed")
+    each = replay.write_batches(rows.unionByName(publish.closing_row(spark)), batch, LATE_BATCHES + 4, path)
+    delayed = replay.stream_files(spark, path, TX_SCHEMA, files_per_batch=each)
+    return _published(views.net_per_tick(delayed, DELAY, GRANULE), "net-per-tick-late")
+
+
 @plan(
     "total_finalized",
     sql(
@@ -119,8 +148,7 @@ def stream_net_per_tick_replay(spark, folder):
 )
 def total_finalized(spark, folder):
     """Closed ticks only, and in each of them the net changes of all accounts add up to 0."""
-    closed = publish.closed_stream(live_transfers(spark, folder))
-    return _published(views.total_per_tick(closed, DELAY, GRANULE), "totals", folder)
+    return _published(views.total_per_tick(replayed_transfers(spark, folder), PATIENCE, GRANULE), "totals")
 
 
 @plan(
@@ -134,16 +162,16 @@ FROM cr JOIN de USING (ts, account)""",
     ),
 )
 def stream_balance_per_tick_join(spark, folder):
-    credited = publish.closed_stream(live_transfers(spark, folder))
-    debited = publish.closed_stream(live_transfers(spark, folder))
-    joined = views.balance_per_tick_by_join(credited, debited, DELAY, GRANULE)
-    return _published(joined, "balance-per-tick", folder)
+    replayed = replay_readers(spark, folder)
+    joined = views.balance_per_tick_by_join(replayed(), replayed(), PATIENCE, GRANULE)
+    return _published(joined, "balance-per-tick")
 
 
 @plan("stream_outer_join_with_time", sql(TX, PAIRS_OUT.format(right="tx")))
 def stream_outer_join_with_time(spark, folder):
-    joined = views.outer_join_with_time(live_transfers(spark, folder), live_transfers(spark, folder), DELAY)
-    return _published(joined, "outer-join", folder)
+    replayed = replay_readers(spark, folder)
+    joined = views.outer_join_with_time(replayed(), replayed(), PATIENCE)
+    return _published(joined, "outer-join").where("id >= 0")
 
 
 @plan(
@@ -287,9 +315,8 @@ def stream_json_lines(spark, folder):
 )
 def stream_net_messages(spark, folder):
     """A closed view as JSON messages."""
-    closed = publish.closed_stream(live_transfers(spark, folder))
-    nets = views.net_per_tick(closed, DELAY, GRANULE)
-    return _published(render.json_messages(nets, "account"), "net-messages", folder)
+    nets = views.net_per_tick(replayed_transfers(spark, folder), PATIENCE, GRANULE)
+    return _published(render.json_messages(nets, "account"), "net-messages")
 
 
 @plan("stream_timer_nets", sql(TX, EVENT_LEGS, NET))

@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 ROWS_PER_FILE = 1_000_000
+FILES_PER_BATCH = 64
 
 
-def write_replay(tx: DataFrame, path: str, batches: int, rows_per_file: int = ROWS_PER_FILE) -> int:
+def write_replay(tx: DataFrame, path: str, batches: int, rows_per_file: int = ROWS_PER_FILE, most_files: int = FILES_PER_BATCH) -> int:
     """Parquet files, each a range of arrival positions, stamped in that order; returns how many make one batch.
 
-    Their number follows the rows, so no task sorts or writes more than about `rows_per_file`.
+    Their number follows the rows, so no task sorts or writes more than about `rows_per_file`. A batch has `most_files`
+    at most, so long inputs stream in more than `batches` of them.
     """
     each = max(1, math.ceil(tx.count() / rows_per_file / batches))
     tx.repartitionByRange(each * batches, "arrival").sortWithinPartitions("arrival").write.parquet(path)
     stamp_in_name_order(tx.sparkSession, path)
+    return min(each, most_files)
+
+
+def write_batches(tx: DataFrame, batch: Column, batches: int, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """The same with the rows of each number `batch`, from 0 to `batches` - 1, in files of their own."""
+    each = max(1, math.ceil(tx.count() / rows_per_file / batches))
+    file_no = batch.cast("int") * each + F.pmod(F.xxhash64("id"), F.lit(each)).cast("int")
+    tx.repartitionById(each * batches, file_no).write.parquet(path)
+    stamp_in_name_order(tx.sparkSession, path)
     return each
 
 
