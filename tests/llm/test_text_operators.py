@@ -203,6 +203,20 @@ def test_linking_agrees_with_all_pairs():
         assert secret_scan.linked(strong, weak, scope=20) == expected
 
 
+def test_names_of_any_case_and_paths_made_of_words():
+    secret = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    kinds = lambda text: [secret_scan.KINDS[k] for _, k, _ in secret_scan.find(text)]
+    for name in ("CLIENT_ID=", "clientId: ", "Account-Id = ", "user_id: "):
+        assert kinds(f"{name}bob1234 and {secret}") == ["weak_id", "weak_secret"]
+    assert kinds(f"HTTPS://API.example.com/v1 {secret}") == ["endpoint", "weak_secret"]
+    for clean in ("user_id: bob1 see file src/Main/java/Foo2/BarBaz/Qux.java", "account_id: 1234-5678 commit Fix-Issue-4521-in-the-Parser-module", "CLIENT_ID=abcd"):
+        assert kinds(clean) == []
+    random.seed(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = ["".join(random.choice(letters) for _ in range(40)) for _ in range(2000)]
+    assert sum(map(secret_scan.looks_random, drawn)) >= 1995
+
+
 def test_no_string_is_both_parts():
     secret = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
     url = "https://example.com/Docs/2021/Report-Final-v2"

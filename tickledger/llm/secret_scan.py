@@ -45,13 +45,16 @@ HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK_ID = re.compile(r"(?<![A-Za-z0-9])A[A-Z]{3}[A-Z0-9]{12,124}", re.ASCII)
-NAMED_ID = re.compile(r"(?<![A-Za-z0-9])(?:client|account|user|key)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}", re.ASCII)
+NAMED_ID = re.compile(r"(?<![A-Za-z0-9])(?i:client|account|user|key)[_-]?(?i:id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}", re.ASCII)
 ID_NAMES = ("client", "account", "user", "key")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
-ENDPOINT = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII)
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII)
 #: Host and path of a URL, after the user that may stand before the host; URLs may hold others as parameters.
 LOCATION = re.compile(r"://(?:[^\s\"'<>/?#@]*@)*([^\s\"'<>?#]*)")
 INNER_LOCATION = re.compile(r"://([^\s\"'<>?#&]*)")
+#: Pieces of names: a file path or a branch consists of them, of random characters about a third lies in one.
+WORD = re.compile(r"[A-Z]?[a-z]{2,}")
+MOST_IN_WORDS = 0.8
 MIXED = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
 
 
@@ -91,7 +94,7 @@ def weak(text: str, folded: str, strong: list[tuple[int, int, int]]) -> list[tup
             k = bisect_right(ends, start)
             return k < len(paths) and paths[k][0] < end
 
-        out += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text) if all(x.search(m[0]) for x in MIXED) and not in_path(m.start(), m.end())]
+        out += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text) if looks_random(m[0]) and not in_path(m.start(), m.end())]
     covered = sorted((s, e) for s, _, e in strong)
     starts = [s for s, _ in covered]
     reach = []  # the furthest end of all strong spans up to each
@@ -105,6 +108,12 @@ def weak(text: str, folded: str, strong: list[tuple[int, int, int]]) -> list[tup
     return [x for x in out if free(x[0], x[2])]
 
 
+def looks_random(found: str) -> bool:
+    """Three kinds of characters, and letters and digits that are not mostly words."""
+    letters = sum(map(str.isalnum, found))
+    return all(x.search(found) for x in MIXED) and sum(map(len, WORD.findall(found))) < MOST_IN_WORDS * letters
+
+
 def locations(text: str, endpoint: tuple[int, int, int]) -> list[tuple[int, int]]:
     """Hosts and paths of an endpoint and of the URLs among its parameters; they do not overlap."""
     start, end = location(text, endpoint)
