@@ -4,10 +4,12 @@ import os
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from conftest import ledger, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tickledger.operators import changelog as C
 from tickledger.operators import lateness
@@ -150,6 +152,85 @@ def test_unmatched_rows_are_taken_back(spark, tmp_path):
     assert state_rows(spark, str(tmp_path / "c"), "sides") <= 3
 
 
+class OneBucket:
+    """Stands in for the state of one key and its timers."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("pairs", [1, 5, 1 << 18])
+def test_buckets_join_like_single_keys(monkeypatch, pairs):
+    monkeypatch.setattr(joins, "PAIRS_PER_FRAME", pairs)
+    rng = random.Random(pairs)
+    bucket, join = OneBucket(), joins._RetractingLeftJoin(timedelta(seconds=20))
+    join.init(bucket)
+    held, passed = {}, 0
+    for batch in range(40):
+        new = [(rng.choice([0, 0, 1, 2, 2**62 + batch // 4, -3]), rng.randrange(batch * 10, batch * 10 + 10), rng.randrange(2**61), rng.randrange(4), rng.randrange(batch * 4000, batch * 4000 + 9000)) for _ in range(rng.randrange(1, 9))]
+        frames = [pd.DataFrame(part, columns=["key", "tick", "value", "flags", "millis"]) for part in (new[:3], new[3:]) if part]
+        before = bucket.calls
+        made = [f for f in join.handleInputRows((1,), iter(frames), None)]
+        assert bucket.calls - before == 2
+        got = [tuple(None if pd.isna(x) else int(x) for x in r) for f in made for r in f.itertuples(index=False)]
+        wanted = []
+        for key, tick, value, flags, millis in sorted(new, key=lambda r: (r[1], not r[3] & 1)):
+            side, value = flags & 1, None if flags & 2 else value
+            lefts, rights, until = held.get(key, ([], [], 0))
+            if side:
+                lefts.append(value)
+                wanted += [(tick, key, value, right, 1) for right in rights or [None]]
+            else:
+                wanted += [(tick, key, left, None, -1) for left in lefts if not rights]
+                rights.append(value)
+                wanted += [(tick, key, left, value, 1) for left in lefts]
+            held[key] = lefts, rights, max(until, millis + 20_000)
+        order = lambda rows: sorted(rows, key=str)
+        assert order(got) == order(wanted), batch
+        passed = max(passed, batch * 4000 - 15_000)
+        for at in [t for t in bucket.timers if t < passed]:
+            list(join.handleExpiredTimer((1,), TimerValues(0, passed), ExpiredTimerInfo(at)))
+            bucket.timers.remove(at)
+        held = {k: v for k, v in held.items() if v[2] >= passed}
+        kept = join._held(bucket.value) if bucket.value else pd.DataFrame({"key": []})
+        assert sorted(set(kept["key"])) == sorted(held) and len(bucket.timers) == bool(held)
+
+
+def test_left_join_state_is_in_buckets(spark, tmp_path):
+    """300 keys are few state values, whatever their number; NULL keys and values are as others."""
+    data = [(None if i == 7 else i, i, None if i == 9 else i, 1000) for i in range(300)]
+    frame = spark.createDataFrame(data, "key long, tick long, value long, second long").withColumn("ts", F.timestamp_seconds("second")).drop("second")
+    frame.write.parquet(str(tmp_path / "in"))
+    rows_in = lambda: spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    log = joins.outer_join_changelog(rows_in(), rows_in().withColumn("tick", F.col("tick") + 1000), timedelta(0), buckets=5)
+    publish.append_to(log, str(tmp_path / "out"), str(tmp_path / "c"))
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("tick", "key", "left", "right", "diff").collect()]
+    keyed = [(k, t, v) for k, t, v, _ in data]
+    wanted = [x for k, t, v in keyed for x in ((t, k, v, None, 1), (t + 1000, k, v, None, -1), (t + 1000, k, v, v, 1))]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    assert state_rows(spark, str(tmp_path / "c"), "sides") <= 6
+
+
 def test_delta_rule_on_multisets():
     rng = random.Random(3)
     bag = lambda: {rng.randrange(4): rng.choice([-2, -1, 1, 2]) for _ in range(3)}

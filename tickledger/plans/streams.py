@@ -47,6 +47,8 @@ REPLAY_BATCHES = 4
 LATE_BATCHES = 8
 #: Line replays read so much at a time, and a quarter of what there is where that is less, so that there are several batches.
 REPLAY_BYTES = 1 << 30
+#: Of the left join's two sides, so a bucket has twice as many rows.
+JOIN_ROWS_PER_BUCKET = 5_000
 
 
 def bytes_per_batch(path: str) -> int:
@@ -242,7 +244,8 @@ def stream_outer_join_changelog(spark, folder):
     tick = F.when(id_ >= 0, F.col("arrival") * 2).otherwise(0)  # the closing row's position is too large to double
     left = rows.select(id_.alias("key"), tick.alias("tick"), id_.alias("value"), "ts")
     right = rows.select(id_.alias("key"), (tick + 1).alias("tick"), id_.alias("value"), "ts")
-    log = _published(joins.outer_join_changelog(left, right, PATIENCE), "outer-join-log")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), transfers(spark, folder).count() // JOIN_ROWS_PER_BUCKET)
+    log = _published(joins.outer_join_changelog(left, right, PATIENCE, buckets=buckets), "outer-join-log")
     return log.select("tick", F.col("left").alias("id"), F.col("right").alias("other_id"), "diff")
 
 

@@ -1,6 +1,6 @@
 """Joins and keyed tables with state of their own, fed by micro-batches and giving out changelogs.
 
-State is Spark's keyed state (RocksDB), one entry per key; keys are ids or accounts, and a changelog has at most one entry pair per
+State is Spark's keyed state (RocksDB), one entry per key; keys are buckets of ids or accounts, and a changelog has at most one entry pair per
 account, side and tick, so an account's rows are bounded by the ticks of a batch however busy it is.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,68 +27,128 @@ KEPT_FOR = timedelta(days=7)
 # ---------------------------------------------------------------- untimed left join
 
 
+#: Rows of one frame that a bucket gives out, so that many matches of one key are not held at once.
+PAIRS_PER_FRAME = 1 << 18
+IS_LEFT, NO_VALUE = 1, 2
+NULL_KEYS = -1
+
+
+def _matches(mine: pd.DataFrame, other: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of equal keys, a bounded number at a time; `other` is in the order of its keys."""
+    low = np.searchsorted(other["key"], mine["key"], "left")
+    number = np.searchsorted(other["key"], mine["key"], "right") - low
+    behind = np.cumsum(number)
+    piece = (behind - number) // PAIRS_PER_FRAME
+    for at in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(piece)) + 1):
+        if pairs := int(number[at].sum()):
+            place = np.arange(pairs) - np.repeat(behind[at] - number[at] - (behind[at[0]] - number[at[0]]), number[at])
+            yield np.repeat(at, number[at]), np.repeat(low[at], number[at]) + place
+
+
 class _RetractingLeftJoin(StatefulProcessor):
-    """Key: the join key. A left row comes out unmatched at first; the first right row takes that back."""
+    """Key: a bucket of join keys. A left row comes out unmatched at first; the first right row of its join key takes that back.
+
+    What a bucket holds is one value, so a batch costs it a few state calls however many of its keys it touches. Its one
+    timer is the first time at which one of its keys may go.
+    """
+
+    HELD = {"key": "<i8", "value": "<i8", "flags": "<i1", "until": "<i8"}
 
     def __init__(self, kept_for: timedelta):
         self.kept_ms = kept_for // timedelta(milliseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sides = handle.getValueState("sides", "lefts array<long>, rights array<long>, until long")
+        self.sides = handle.getValueState("sides", ", ".join(f"{c} binary" for c in self.HELD) + ", timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.sides.get()
-        lefts, rights, until = ([], [], None) if held is None else (list(held[0]), list(held[1]), held[2])
-
-        def out(tick: int, left: int, right: int | None, diff: int) -> Row:
-            return Row(tick=tick, key=key[0], left=left, right=right, diff=diff)
-
-        newest = 0
-        for row in sorted(rows, key=lambda r: (r.tick, not r.is_left)):
-            newest = max(newest, row.millis)
-            if row.is_left:
-                lefts.append(row.value)
-                for right in rights or [None]:
-                    yield out(row.tick, row.value, right, 1)
-            else:
-                if not rights:
-                    for left in lefts:
-                        yield out(row.tick, left, None, -1)
-                rights.append(row.value)
-                for left in lefts:
-                    yield out(row.tick, left, row.value, 1)
-        last = newest + self.kept_ms
-        if until is None or last > until:
-            if until is not None:
-                self.handle.deleteTimer(until)
-            self.handle.registerTimer(last)
-            until = last
-        self.sides.update((lefts, rights, until))
+    def _held(self, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame({c: np.frombuffer(x, form) for (c, form), x in zip(self.HELD.items(), state, strict=False)})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.sides.clear()
+    def _hold(self, rows: pd.DataFrame, timer: int | None) -> None:
+        """Keep the rows, with one timer not behind the first time at which a key goes."""
+        due = int(rows["until"].min())
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.sides.update((*[rows[c].to_numpy(form).tobytes() for c, form in self.HELD.items()], timer))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self.sides.get()
+        new = pd.concat([r[["key", "tick", "value", "flags", "millis"]] for r in rows], ignore_index=True).astype("int64")
+        new["until"] = np.maximum(new.pop("millis"), 0) + self.kept_ms
+        new["right"] = new["flags"] & IS_LEFT == 0
+        new = new.sort_values(["tick", "right"], kind="stable", ignore_index=True)
+        new["place"] = np.arange(len(new))
+        held = self._held(state) if state else self._held((b"",) * len(self.HELD))
+        held = held.assign(tick=0, right=held["flags"] & IS_LEFT == 0, place=-1)
+        every = pd.concat([held, new], ignore_index=True).sort_values("key", kind="stable", ignore_index=True)
+        every["until"] = every.groupby("key")["until"].transform("max")
+        lefts, rights = (every[every["right"] == side].reset_index(drop=True) for side in (False, True))
+
+        def out(tick: np.ndarray, left: pd.DataFrame, right: pd.DataFrame | None, diff: int) -> pd.DataFrame:
+            def values(x: pd.DataFrame) -> pd.arrays.IntegerArray:
+                return pd.arrays.IntegerArray(x["value"].to_numpy("int64"), (x["flags"].to_numpy() & NO_VALUE) != 0)
+
+            keys = pd.arrays.IntegerArray(left["key"].to_numpy("int64"), np.full(len(left), key[0] == NULL_KEYS))
+            matched = pd.array([None] * len(left), "Int64") if right is None else values(right)
+            made = {"tick": np.asarray(tick, "int64"), "key": keys, "left": values(left), "right": matched, "diff": np.full(len(left), diff, "int32")}
+            return pd.DataFrame(made)
+
+        # every left row's first right one: before it the row is unmatched
+        first = rights.loc[rights.groupby("key")["place"].idxmin(), ["key", "place", "tick"]]
+        met = lefts[["key"]].merge(first, "left", "key")
+        alone = (met["place"].isna() | (lefts["place"] < met["place"])).to_numpy()
+        fresh = (lefts["place"] >= 0).to_numpy()
+        if (told := alone & fresh).any():
+            yield out(lefts["tick"][told], lefts[told], None, 1)
+        if (back := alone & (met["place"] >= 0).to_numpy()).any():
+            yield out(np.asarray(first.set_index("key")["tick"].loc[lefts["key"][back]]), lefts[back], None, -1)
+        newer = rights[rights["place"] >= 0].reset_index(drop=True)
+        for mine, other in ((lefts[fresh], rights), (lefts[~fresh], newer)):
+            for a, b in _matches(mine, other):
+                left, right = mine.iloc[a], other.iloc[b]
+                last = np.where(left["place"].to_numpy() > right["place"].to_numpy(), left["tick"].to_numpy(), right["tick"].to_numpy())
+                yield out(last, left, right, 1)
+        self._hold(every, state[-1] if state else None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held(self.sides.get())
+        passed = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+        later = held[held["until"] > passed]
+        if len(later):
+            self._hold(later, None)
+        else:
+            self.sides.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def outer_join_changelog(left: DataFrame, right: DataFrame, delay: timedelta, kept_for: timedelta = KEPT_FOR) -> DataFrame:
+def outer_join_changelog(left: DataFrame, right: DataFrame, delay: timedelta, kept_for: timedelta = KEPT_FOR, buckets: int = 256) -> DataFrame:
     """Left join of two streams (key, tick, value, ts) that is not bound to times, as (tick, key, left, right, diff), append.
 
     A left row without a match is published with NULL at once and taken back by the first match. Rows are joined in
     the order of their ticks within a micro-batch, batches as they come. A key's state goes when the watermark, `delay` behind the newest
     `ts`, has passed its newest row by `kept_for`: a match that comes later than that is not found, which bounds the state.
+
+    Keys are dealt by hash to `buckets`, each of them one group with one state value: of a batch a task holds a bucket's rows and what the
+    bucket keeps. It must stay the same for a checkpoint, and should follow the rows that are kept (some 10,000 in a bucket).
     """
-    columns = [F.col("key").cast("long"), F.col("tick").cast("long"), F.col("value").cast("long"), F.col("ts"), F.unix_millis("ts").alias("millis")]
+    key, value = F.col("key").cast("long"), F.col("value").cast("long")
+    bucket = F.when(key.isNull(), F.lit(NULL_KEYS)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    nothing = F.lit(0).cast("long")
+    columns = [F.coalesce(key, nothing).alias("key"), F.col("tick").cast("long"), F.coalesce(value, nothing).alias("value"), F.col("ts"), F.unix_millis("ts").alias("millis")]
 
     def side(rows: DataFrame, is_left: bool) -> DataFrame:
-        return rows.select(*columns, F.lit(is_left).alias("is_left")).withWatermark("ts", f"{micros(delay)} microseconds")
+        flags = F.lit(int(is_left) * IS_LEFT) + F.when(value.isNull(), F.lit(NO_VALUE)).otherwise(F.lit(0))
+        return rows.select(bucket.alias("bucket"), *columns, flags.alias("flags")).withWatermark("ts", f"{micros(delay)} microseconds")
 
     both = side(left, True).unionByName(side(right, False)).where(F.col("ts") < F.lit(END_OF_TIME))
     form = "tick long, key long, left long, right long, diff int"
-    return both.groupBy("key").transformWithState(_RetractingLeftJoin(kept_for), form, "append", "eventTime")
+    return both.groupBy("bucket").transformWithStateInPandas(_RetractingLeftJoin(kept_for), form, "append", "eventTime")
 
 
 # ---------------------------------------------------------------- join of two changelogs
