@@ -231,6 +231,28 @@ def test_left_join_state_is_in_buckets(spark, tmp_path):
     assert state_rows(spark, str(tmp_path / "c"), "sides") <= 6
 
 
+def test_an_account_gives_out_bounded_frames(monkeypatch):
+    """What a timer fires leaves in pieces, the NULL account and values that are NULL are as before."""
+    monkeypatch.setattr(joins, "ROWS_PER_FRAME", 4)
+    states = [OneBucket() for _ in range(3)]
+    join = joins._ChangelogJoin(lambda a, b: a - b)
+    join.handle, join.waiting, join.multisets = states[0], states[0], states[1:]
+    data = [(t * 1000, side, (t + 1) * (side + 1) - back, not back and t != 12, 1 - 2 * back) for t in range(12) for side in (0, 1) for back in (0,)]
+    data += [(99_000, 0, 5, True, 1)]
+    frame = pd.DataFrame(data, columns=["tick", "side", "value", "known", "diff"])
+    assert list(join.handleInputRows((joins.NO_ACCOUNT,), iter([frame[:5], frame[5:]]), None)) == []
+    made = list(join.handleExpiredTimer((joins.NO_ACCOUNT,), TimerValues(0, 50), ExpiredTimerInfo(0)))
+    assert len(made) > 2 and all(f["account"].isna().all() for f in made)
+    bags, wanted = ({}, {}), []
+    for t in range(12):
+        new = ({t + 1: 1}, {2 * t + 2: 1})
+        wanted += [(t * 1000, v, n) for v, n in sorted(joins.delta_join(*bags, *new, lambda a, b: a - b).items())]
+        for bag, change in zip(bags, new):
+            bag.update(change)
+    assert [(int(r.tick), int(r.value), int(r.diff)) for f in made for r in f.itertuples()] == wanted
+    assert states[0].value[0] == [99_000] and states[0].timers >= {99}
+
+
 def test_delta_rule_on_multisets():
     rng = random.Random(3)
     bag = lambda: {rng.randrange(4): rng.choice([-2, -1, 1, 2]) for _ in range(3)}

@@ -154,6 +154,11 @@ def outer_join_changelog(left: DataFrame, right: DataFrame, delay: timedelta, ke
 # ---------------------------------------------------------------- join of two changelogs
 
 
+#: Rows of one frame that an account gives out, and what stands for the account that is NULL (others are ints).
+ROWS_PER_FRAME = 10_000
+NO_ACCOUNT = -(2**62)
+
+
 def delta_join(left: dict, right: dict, new_left: dict, new_right: dict, combine: Callable[[int, int], int]) -> dict:
     """What changes in the join of two multisets (value -> copies): new with old, old with new, new with new."""
     out: dict[int, int] = {}
@@ -168,7 +173,7 @@ def delta_join(left: dict, right: dict, new_left: dict, new_right: dict, combine
 class _ChangelogJoin(StatefulProcessor):
     """Key: account. Entries wait for the watermark, so that both sides of a tick are there; then ticks are joined in order.
 
-    All that waits is one value, as is each multiset, so a batch costs a key a few state calls however many ticks close.
+    Rows come and go as frames. All that waits is one value, as is each multiset, so a batch costs a key a few state calls however many ticks close.
     """
 
     def __init__(self, combine: Callable[[int, int], int]):
@@ -179,6 +184,11 @@ class _ChangelogJoin(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", "ticks array<long>, sides array<int>, values array<long>, diffs array<long>, timer long")
         self.multisets = [handle.getValueState(name, "values array<long>, copies array<long>") for name in ("left", "right")]
 
+    def _frame(self, key, made: list[tuple[int, int, int]]) -> pd.DataFrame:
+        ticks, values, diffs = zip(*made, strict=True)
+        account = pd.array([None if key[0] == NO_ACCOUNT else key[0]], "Int32")
+        return pd.DataFrame({"tick": ticks, "account": account.repeat(len(made)), "value": values, "diff": np.array(diffs, "int32")})
+
     def _wait(self, entries: list[tuple], timer: int | None) -> None:
         """Keep the entries, with one timer at the first of their ticks."""
         due = -(-min(e[0] for e in entries) // 1000)
@@ -189,13 +199,16 @@ class _ChangelogJoin(StatefulProcessor):
             timer = due
         self.waiting.update((*[list(column) for column in zip(*entries, strict=True)], timer))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.waiting.get()
         entries = [] if held is None else list(zip(*held[:4], strict=True))
-        self._wait([*entries, *((r.tick, r.side, r.value, r.diff) for r in rows)], None if held is None else held[4])
+        for new in rows:
+            ticks, sides, values, diffs = (new[c].astype("int64").tolist() for c in ("tick", "side", "value", "diff"))
+            entries += zip(ticks, sides, [v if known else None for v, known in zip(values, new["known"], strict=True)], diffs, strict=True)
+        self._wait(entries, None if held is None else held[4])
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         entries = list(zip(*self.waiting.get()[:4], strict=True))
         old = [dict(zip(*(state.get() or ([], [])), strict=True)) for state in self.multisets]
@@ -204,14 +217,19 @@ class _ChangelogJoin(StatefulProcessor):
             if tick <= passed:
                 new = ticks.setdefault(tick, [{}, {}])[side]
                 new[value] = new.get(value, 0) + diff
+        made: list[tuple[int, int, int]] = []
         for tick in sorted(ticks):
-            for value, diff in sorted(delta_join(*old, *ticks[tick], self.combine).items()):
-                yield Row(tick=tick, account=key[0], value=value, diff=diff)
+            made += [(tick, value, diff) for value, diff in sorted(delta_join(*old, *ticks[tick], self.combine).items())]
+            if len(made) >= ROWS_PER_FRAME:
+                yield self._frame(key, made)
+                made = []
             for before, changes in zip(old, ticks[tick], strict=True):
                 for value, diff in changes.items():
                     before[value] = before.get(value, 0) + diff
                     if not before[value]:
                         del before[value]
+        if made:
+            yield self._frame(key, made)
         for state, now in zip(self.multisets, old, strict=True):
             state.update((list(now), list(now.values())))
         later = [e for e in entries if e[0] > passed]
@@ -235,8 +253,11 @@ def join_changelogs(entries: DataFrame, combine: Callable[[int, int], int], name
     that both sides had before it, never whole histories.
     """
     timed = entries.withColumn("at", F.timestamp_micros("tick")).withWatermark("at", "0 seconds").where(F.col("at") < F.lit(END_OF_TIME))
+    # frames have no NULL among integers
+    account, value = F.coalesce(F.col("account").cast("long"), F.lit(NO_ACCOUNT)), F.coalesce("value", F.lit(0).cast("long"))
+    plain = timed.select(account.alias("account"), "tick", "side", value.alias("value"), F.col("value").isNotNull().alias("known"), "diff", "at")
     form = "tick long, account int, value long, diff int"
-    return timed.groupBy("account").transformWithState(_ChangelogJoin(combine), form, "append", "eventTime").withColumnRenamed("value", name)
+    return plain.groupBy("account").transformWithStateInPandas(_ChangelogJoin(combine), form, "append", "eventTime").withColumnRenamed("value", name)
 
 
 # ---------------------------------------------------------------- retractable aggregate
