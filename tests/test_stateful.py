@@ -253,6 +253,25 @@ def test_an_account_gives_out_bounded_frames(monkeypatch):
     assert states[0].value[0] == [99_000] and states[0].timers >= {99}
 
 
+def test_ticks_of_a_span_share_a_state_value():
+    net, parts = OneBucket(), OneBucket()
+    fires = timers._Refinements()
+    fires.handle, fires.net, fires.parts = net, net, parts
+    key, form = (3, 0), ["tick", "block", "met_mark", "delta"]
+    ticks = [k * 1000 for k in range(1, 201)]
+    frame = pd.DataFrame([(t, 0, 0, t) for t in ticks], columns=form)
+    assert list(fires.handleInputRows(key, iter([frame[:90], frame[90:]]), None)) == []
+    assert net.calls == 2 and parts.calls == 0 and net.timers == {1}
+    late = pd.DataFrame([(5000, 2, 6000, 1), (5000, 1, 6000, 2), (5000, 2, 6000, 4), (500_000, 2, 6000, 9)], columns=form)
+    (made,) = fires.handleInputRows(key, iter([late]), None)
+    assert made[["tick", "part", "net"]].values.tolist() == [[5000, 1, 5000], [5000, 2, 2], [5000, 3, 5]]
+    (made,) = fires.handleExpiredTimer(key, TimerValues(0, 101), ExpiredTimerInfo(1))
+    net.timers.discard(1)
+    assert made["tick"].tolist() == [t for t in ticks[:100] if t != 5000] and set(made["part"]) == {1} and net.timers == {101}
+    (made,) = fires.handleExpiredTimer((timers.NO_ACCOUNT, 0), TimerValues(0, 10**6), ExpiredTimerInfo(101))
+    assert len(made) == 101 and made["account"].isna().all() and net.value is None
+
+
 def test_delta_rule_on_multisets():
     rng = random.Random(3)
     bag = lambda: {rng.randrange(4): rng.choice([-2, -1, 1, 2]) for _ in range(3)}

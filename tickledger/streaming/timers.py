@@ -2,8 +2,8 @@
 
 `timer_nets` keeps the running net of each account and tick, sets a timer at the tick, and gives the net out when the
 watermark passes it. `late_refinements` does the same under the periodic watermark of the replay source: a row behind it meets
-a timer in the past, which fires at once and makes a further, numbered part. A key is one account at one tick, and rows are added
-up per key before the shuffle, so a busy account is spread over its ticks and a busy tick sends one row per task.
+a timer in the past, which fires at once and makes a further, numbered part. A key is one account at one tick, or with the ticks of a
+day, and rows are added up per tick before the shuffle, so a busy account is spread over its keys and a busy tick sends one row per task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ from tickledger.streaming.publish import END_OF_TIME, published_batches, run_ava
 from tickledger.workspace import pin
 
 OPENING_MARK = -(2**62)
+#: Stands for the account that is NULL; others are ints.
+NO_ACCOUNT = -(2**62)
+#: The ticks of an account that `late_refinements` keeps together.
+SPAN = timedelta(days=1)
 #: What `publish_marked` writes of a row, one JSON line each; times are epoch microseconds.
 MARKED = T.StructType([T.StructField(c, T.IntegerType() if c.endswith("account") else T.LongType()) for c in ("ts", "from_account", "to_account", "amount", "block", "met")])
 
@@ -125,53 +130,84 @@ def marked_rows(lines: DataFrame) -> DataFrame:
 
 
 class _Refinements(StatefulProcessor):
-    """Key (tick, account): the net that waits for the watermark, and how many parts were given out."""
+    """Key (account, span of ticks): the nets of its ticks that wait for the watermark, and how many parts of each were given out.
+
+    Each of the two is one value, and one timer stands at the first tick that waits, so a batch costs a key a few state calls however
+    many ticks there are. Parts leave as frames, so a task holds those of one key and not of all that fire.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.net = handle.getValueState("net", "net long")
-        self.parts = handle.getValueState("parts", "parts long")
-
-    def _fire(self, key, net: int) -> Row:
-        part = (self.parts.get()[0] if self.parts.exists() else 0) + 1
-        self.parts.update((part,))
-        return Row(tick=key[0], account=key[1], part=part, net=net)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        waiting, late = None, {}
-        for row in rows:
-            if row.met_mark < key[0]:
-                waiting = (waiting or 0) + row.delta
-            else:
-                late[row.block] = late.get(row.block, 0) + row.delta
-        if waiting is not None:
-            if self.net.exists():
-                waiting += self.net.get()[0]
-            else:
-                self.handle.registerTimer(_fires_at(key[0]))
-            self.net.update((waiting,))
-        if late and self.net.exists():
-            # the watermark has passed within this batch, so the timer is due before the late rows
-            self.handle.deleteTimer(_fires_at(key[0]))
-            yield self._fire(key, self.net.get()[0])
+        self.net = handle.getValueState("net", "ticks array<long>, nets array<long>, timer long")
+        self.parts = handle.getValueState("parts", "ticks array<long>, parts array<long>")
+
+    def _frames(self, key, fired: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        """Numbered parts of the nets (tick, net) in the order in which they fire."""
+        if not fired:
+            return
+        held = self.parts.get()
+        parts = dict(zip(*held, strict=True)) if held else {}
+        numbers = []
+        for tick, _ in fired:
+            parts[tick] = parts.get(tick, 0) + 1
+            numbers.append(parts[tick])
+        self.parts.update((list(parts), list(parts.values())))
+        ticks, nets = zip(*fired, strict=True)
+        account = pd.array([None if key[0] == NO_ACCOUNT else key[0]], "Int32")
+        yield pd.DataFrame({"tick": ticks, "account": account.repeat(len(fired)), "part": numbers, "net": nets})
+
+    def _wait(self, nets: dict[int, int], timer: int | None) -> None:
+        """Keep the nets with one timer at the first tick; `timer` is the one that is set."""
+        due = _fires_at(min(nets)) if nets else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if nets:
+            self.net.update((list(nets), list(nets.values()), due))
+        else:
             self.net.clear()
-        for block in sorted(late):
-            yield self._fire(key, late[block])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.net.exists():
-            yield self._fire(key, self.net.get()[0])
-            self.net.clear()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.net.get()
+        nets, timer = (dict(zip(*held[:2], strict=True)), held[2]) if held else ({}, None)
+        late: dict[tuple[int, int], int] = {}
+        for frame in rows:
+            for tick, block, met, delta in zip(*(frame[c].astype("int64").tolist() for c in ("tick", "block", "met_mark", "delta")), strict=True):
+                if met < tick:
+                    nets[tick] = nets.get(tick, 0) + delta
+                else:
+                    late[tick, block] = late.get((tick, block), 0) + delta
+        fired = []
+        for tick, block in sorted(late):
+            if tick in nets:
+                # the watermark has passed within this batch, so what waits is due before the late rows
+                fired.append((tick, nets.pop(tick)))
+            fired.append((tick, late[tick, block]))
+        if held or nets:
+            self._wait(nets, timer)
+        return self._frames(key, fired)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.net.get()
+        nets = dict(zip(*held[:2], strict=True))
+        passed = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+        fired = [(tick, nets.pop(tick)) for tick in sorted(nets) if _fires_at(tick) <= passed]
+        self._wait(nets, None)  # Spark takes away the timer that fired
+        return self._frames(key, fired)
 
     def close(self) -> None:
         pass
 
 
-def late_refinements(marked: DataFrame) -> DataFrame:
+def late_refinements(marked: DataFrame, span: timedelta = SPAN) -> DataFrame:
     """Per (tick, account) numbered partial nets as they fire (append), from the rows of `publish_marked`.
 
     Spark's watermark follows the one that rows met, one millisecond behind it so that no row of the same
     watermark is late. The counts of parts stay in state, one number per tick and account; the nets go as they fire.
+    The ticks of an account within a `span` share a state value, as do their counts; it must stay the same for a checkpoint, and a
+    shorter one suits times that are finer than hours.
     """
     legs = signed_legs(marked, "ts", "met", "block").where(F.col("ts") < F.lit(END_OF_TIME))
     closing = marked.where(F.col("ts") >= F.lit(END_OF_TIME)).select("ts", F.unix_micros("ts").alias("met"), "block", F.col("to_account").alias("account"), F.lit(0).cast("bigint").alias("delta"))
@@ -179,5 +215,7 @@ def late_refinements(marked: DataFrame) -> DataFrame:
     # Spark's watermark begins at the epoch and drops what is not behind it
     met_at = F.timestamp_micros(F.greatest("met", F.lit(1000)))
     timed = sums.select("*", met_at.alias("met_at")).withWatermark("met_at", "1 millisecond").where(F.col("met_at") < F.lit(END_OF_TIME))
-    keyed = timed.select(event_tick().alias("tick"), "account", "block", F.col("met").alias("met_mark"), "delta", "met_at").groupBy("tick", "account")
-    return keyed.transformWithState(_Refinements(), "tick long, account int, part long, net long", "append", "eventTime")
+    account = F.coalesce(F.col("account").cast("long"), F.lit(NO_ACCOUNT))  # frames have no NULL among integers
+    placed = timed.select(account.alias("account"), event_tick().alias("tick"), "block", F.col("met").alias("met_mark"), "delta", "met_at")
+    keyed = placed.withColumn("span", F.floor(F.col("tick") / F.lit(micros(span)))).groupBy("account", "span")
+    return keyed.transformWithStateInPandas(_Refinements(), "tick long, account int, part long, net long", "append", "eventTime")
