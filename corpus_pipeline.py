@@ -33,7 +33,7 @@ def _wrapped(docs: DataFrame, *names: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; without letters, or where no language wins clearly, they go."""
     model = langid.fit(docs.select("text", "lang"))
-    found = langid.predict(_wrapped(docs, "text"), model, text="doc_text", margin="margin")
+    found = langid.predict(_wrapped(docs), model, text="doc.text", margin="margin")
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("margin") >= LEAST_MARGIN)).select("doc.*")
 
 

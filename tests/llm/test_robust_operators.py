@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickledger.llm import ann, minhash
+from tickledger.llm import ann, langid, minhash
 
 
 def brute(rows, queries, k):
@@ -59,3 +59,18 @@ def test_equal_words_hash_alike_at_any_place():
     words = [b"alpha", b"be", b"c", b"alpha", b"be", b"c", b"\xc3\xa9t\xc3\xa9"]
     assert len(minhash.shingles(words, 1)) == 4
     assert len(minhash.shingles(words, 3)) == 4
+
+
+def test_language_takes_the_text_out_of_its_row(spark):
+    """A text passes to Python once, also where it is a field of a struct."""
+    data = [(1, "the cat and the dog", "en"), (2, None, "en"), (3, "der Hund und die Katze", "de"), (4, "1 2", None), (5, "die Katze", "de")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("text", "lang"))
+    flat = langid.predict(docs, model, margin="margin")
+    nested = langid.predict(docs.select(F.struct("*").alias("doc")), model, text="doc.text", margin="margin")
+    beside = langid.predict(docs, model, text="TEXT", margin="margin")
+    wanted = sorted(map(tuple, flat.collect()), key=str)
+    assert sorted((*r["doc"], *r[1:]) for r in nested.collect()) == sorted(wanted, key=lambda r: r[0])
+    assert sorted(map(tuple, beside.collect()), key=str) == wanted
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (flat, nested)]
+    assert not any("AS value#" in p for p in plans)

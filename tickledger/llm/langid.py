@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickledger.llm.base import rebatched
 
@@ -198,6 +199,17 @@ def svm(x: np.ndarray, first: np.ndarray, second: np.ndarray, settings: Settings
     return at.astype(float)
 
 
+def _place(schema: StructType, text: str) -> list[int] | None:
+    """Where a row has its text, by positions of fields within fields; none if it is not found by exactly that name."""
+    place: list[int] = []
+    for name in text.split("."):
+        if not isinstance(schema, StructType) or schema.names.count(name) != 1:
+            return None
+        place.append(schema.names.index(name))
+        schema = schema.fields[place[-1]].dataType
+    return place
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "lang_pred", score: str = "score", margin: str | None = None) -> DataFrame:
     """All columns of `docs`, the predicted language and a score from 0 to 1, from the whole text alone.
 
@@ -205,13 +217,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
 
     Null texts and texts without a letter are `und` with score 0, and so is all where the model knows no language.
     Rows that repeat get equal results. Columns already named like a result are replaced. No shuffle.
+    `text` may be a field of a struct (`doc.text`). It passes to Python within its row, not once more beside it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in (language, score, margin)]).alias("row"), docs[text].alias("value"))
+    row = docs.select(*[docs[c] for c in docs.columns if c not in (language, score, margin)])
+    place = _place(row.schema, text)
+    carried = docs.select(F.struct(*[docs[c] for c in row.columns]).alias("row"), *[docs[text].alias("value")] * (place is None))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, BATCH_ROWS):
-            found = [(UNKNOWN, 0.0, 0.0) if not x or not LETTER.search(x) else shared.value.judge(features(x)) for x in batch.column(1).to_pylist()]
+            texts = batch.column(len(batch.columns) - 1)
+            for at in place or []:
+                texts = texts.field(at)
+            found = [(UNKNOWN, 0.0, 0.0) if not x or not LETTER.search(x) else shared.value.judge(features(x)) for x in texts.to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.float64()) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "language", "score", "margin"])
 
