@@ -58,7 +58,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their ids, their sequence and their place in it."""
     cut = packing.pieces(docs.select("doc_id", "text"), TOKENIZER)
-    return packing.pack(cut, group=PIECES_PER_TASK)
+    return packing.pack(cut, group=PIECES_PER_TASK, rows=packing.expected(docs))
 
 
 STAGES = [

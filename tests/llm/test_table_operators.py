@@ -8,6 +8,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tickledger.llm import ann, minhash, quality, url_filter, warc
 from tickledger.llm.queries import QUERIES, RULES, SQL
-from tickledger.workspace import fresh_path
+from tickledger.workspace import fresh_path, pin, pin_alone, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -372,6 +373,63 @@ def test_pipeline_stages(spark):
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == seen["near_dedup"]
 
 
+def stored(spark):
+    return {p.name for p in Path(shared_folder(spark), "tickledger").iterdir()}
+
+
+def test_stages_leave_no_table_that_is_not_read_again(spark, tmp_path):
+    """Pieces are dealt out without being written before; what components are made from goes when they are known."""
+    words = [[f"{chr(97 + d)}{i}" for i in range(120)] for d in range(6)]
+    rows = [(d, " ".join(w)) for d, w in enumerate(words)] + [(10 + d, " ".join([*w[:-1], "end"])) for d, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pin(docs, "before")
+    before = stored(spark)
+    corpus_pipeline.near_dedup(spark, docs, FOLDER).write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(6))
+    left = stored(spark) - before
+    assert {re.sub("-[0-9a-f]{32}$", "", name) for name in left} == {"shared-ids", "kept-ids"}
+    corpus_pipeline.best_fit_packing(spark, kept, FOLDER).write.parquet(f"{tmp_path}/packed")
+    assert stored(spark) - before == left
+    assert spark.read.parquet(f"{tmp_path}/packed").count() == 6
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    def outer():
+        first = pin(spark.range(5), "first")
+        second = pin_alone(spark, lambda: pin(first.where("id > 1"), "third").where("id > 2"), "second")
+        return first.join(second, "id")
+
+    pin(spark.range(1), "other")
+    before = stored(spark)
+    assert sorted(r["id"] for r in pin_alone(spark, outer, "result").collect()) == [3, 4]
+    assert {name.split("-")[0] for name in stored(spark) - before} == {"result"}
+    pin(spark.range(1), "other")
+    assert len(stored(spark) - before) == 2
+
+
+def test_a_round_of_labels_reads_two_tables_twice(spark, monkeypatch):
+    """Plans cost the driver memory: before, a round had twelve scans in its plan."""
+    leaves = []
+
+    def noted(df, label):
+        if label == "labels":
+            leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return pin(df, label)
+
+    monkeypatch.setattr(minhash, "pin", noted)
+    labels = minhash.connected(spark.createDataFrame([(1, 2), (3, 2), (7, 9), (8, 8)], "a long, b long")).collect()
+    assert sorted((r["node"], r["label"]) for r in labels) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 7)]
+    assert len(leaves) > 1 and max(leaves) <= 4
+
+
+def test_buckets_in_one_component_are_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_across", None)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"end{i}"])) for i in range(4)], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.components(docs).collect()} == {0}
+
+
 def test_unlearned_languages_and_junk_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     random.seed(13)

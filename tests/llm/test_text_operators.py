@@ -6,8 +6,10 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -147,6 +149,30 @@ def test_packing_is_close_to_the_least_number():
     assert len(set(sequence.tolist())) <= 1.02 * -(-lengths.sum() // 2048)
 
 
+def test_pieces_dealt_out_unwritten_are_all_placed(spark):
+    """An expected number far below the real one makes few tasks of several groups each."""
+    docs = spark.createDataFrame([(i, f"some words {i} " * (i % 60)) for i in range(300)] + [(300, None)], "doc_id long, text string")
+    cut = packing.pieces(docs, TOKENIZER, tokens=64)
+    assert packing.expected(docs) == 301 and packing.expected(docs.limit(0)) == 0
+    packed = packing.pack(cut, packing.Capacity(tokens=64), group=40, rows=1).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in packed) == Counter((r["doc_id"], r["piece"], r["length"]) for r in cut.collect())
+    places = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 64
+    assert packing.pack(cut.limit(0), rows=0).count() == 0
+
+
+@pytest.mark.parametrize(("n", "sizes"), [(0, []), (3, [3]), (13, [13]), (14, [10, 4]), (35, [10, 10, 10, 5])])
+def test_groups_are_bounded_and_whole(n, sizes):
+    batches = [pa.RecordBatch.from_pydict({"value": list(range(s, min(s + 7, n)))}, schema=pa.schema([("value", pa.int64())])) for s in range(0, max(n, 1), 7)]
+    found = list(packing.grouped(batches, 10))
+    assert [t.num_rows for t in found] == sizes
+    assert [x for t in found for x in t.column("value").to_pylist()] == list(range(n))
+
+
 def test_packing_nothing_and_too_much(spark):
     empty = spark.createDataFrame([], "doc_id long, length long")
     assert packing.pack(empty).count() == 0

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tickledger.llm.base import rebatched
 from tickledger.llm.url_filter import possible_hits
-from tickledger.workspace import pin
+from tickledger.workspace import pin, pin_alone
 
 BATCH_ROWS = 128
 #: Null ids get numbers from here on, so that they are never the smallest of a component.
@@ -183,12 +183,7 @@ def components(docs: DataFrame, settings: Settings = Settings(), key: str = "doc
     same count as one. Other columns are not read; an empty table gives no rows.
     """
     plain = docs.select(docs[key].cast("long").alias("id"), own_id(docs[key], docs[text]).alias("own"), docs[text].alias("text"))
-    rows = pin(sketched(plain, settings), "sketches")
-    # one class for each word sequence; texts without words stay alone
-    classes = pin(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("own").alias("node")), "classes")
-    joined = rows.join(classes, ["h1", "h2"], "left")
-    member = pin(joined.select("id", "own", "n", F.coalesce("node", "own").alias("node"), *[F.when(F.col("own") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "sketch")]), "members")
-
+    member = pin_alone(docs.sparkSession, lambda: _members(plain, settings), "members")
     keyed = member.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
     ends = [F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print")]
     shared = keyed.groupBy("bucket").agg(*ends).where("leader < last")
@@ -207,14 +202,23 @@ def components(docs: DataFrame, settings: Settings = Settings(), key: str = "doc
     # buckets that those links leave in several components
     placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sums = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    split = placed.join(sums.where("low < high and size > 2").select("bucket"), "bucket").select("bucket", "node", "label")
-    across = pin(_across(split, sketches, plain, settings), "more-links")
-    final = labels if across.isEmpty() else connected(links.unionByName(across))
+    split = pin(placed.join(sums.where("low < high and size > 2").select("bucket"), "bucket").select("bucket", "node", "label"), "split-buckets")
+    across = None if split.isEmpty() else pin(_across(split, sketches, plain, settings), "more-links")
+    final = labels if across is None or across.isEmpty() else connected(links.unionByName(across))
 
     named = member.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return named.select("id", "own", F.col("n").alias("n_shingles"), "label", F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
 
 
+def _members(plain: DataFrame, settings: Settings) -> DataFrame:
+    """`id, own, n, node, bands, sketch`: each row and its class, which only the class's smallest row has a sketch for."""
+    rows = pin(sketched(plain, settings), "sketches")
+    # one class for each word sequence; texts without words stay alone
+    classes = pin(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("own").alias("node")), "classes")
+    joined = rows.join(classes, ["h1", "h2"], "left")
+    return joined.select("id", "own", "n", F.coalesce("node", "own").alias("node"), *[F.when(F.col("own") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "sketch")])
+
+
 def _sets(plain: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """`node, n, elements`: the sets of the whole texts of the documents `wanted`.
 
@@ -379,15 +383,17 @@ def connected(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours, passes it on to the former label, and jumps to
     the label's label; the number of rounds grows with the logarithm of the longest path. Every round is
-    written to the shared folder.
+    written to the shared folder. A node is its own neighbour too, so one pass over the edges gives both its label and
+    the smallest around it.
     """
-    edges = pin(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, now = _with_sum(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    ends = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])
+    edges = pin(links.select(F.explode(ends).alias("edge")).select("edge.*").distinct(), "edges")
+    labels, now = _with_sum(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     before = None
     while before != now:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("near"))
-        told = step.select("node", "near").unionByName(step.select(F.col("label").alias("node"), "near"))
+        met = edges.join(labels, F.col("b") == F.col("node")).groupBy("a")
+        step = met.agg(F.min("label").alias("near"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("label"))
+        told = step.select(F.explode(F.array("a", "label")).alias("node"), "near")
         hooked = told.groupBy("node").agg(F.min("near").alias("label"))
         jump = hooked.select(F.col("node").alias("at"), F.col("label").alias("further"))
         before = now
@@ -413,8 +419,12 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings(), key: str = "do
     shared = pin(by_id.groupBy("shared_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high").select("shared_id"), "shared-ids")
     plain = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_row"), docs[key].cast("long").alias("doc_key"), docs[text].alias("doc_text"))
     told = plain.join(shared, F.col("doc_key") == F.col("shared_id"), "left").withColumn("doc_key", F.when(F.col("shared_id").isNull(), F.col("doc_key"))).drop("shared_id")
-    counts = components(told, settings, "doc_key", "doc_text").groupBy("own").agg(F.max(F.col("own") == F.col("label")).alias("kept"), F.count("*").alias("rows"))
-    counts = pin(counts.where("not kept or rows > 1"), "kept-ids")
+
+    def judged() -> DataFrame:
+        counts = components(told, settings, "doc_key", "doc_text").groupBy("own").agg(F.max(F.col("own") == F.col("label")).alias("kept"), F.count("*").alias("rows"))
+        return counts.where("not kept or rows > 1")
+
+    counts = pin_alone(docs.sparkSession, judged, "kept-ids")
     gone = counts.where("not kept").select(F.col("own").alias("kept_id"))
     repeated = counts.where("kept").select(F.col("own").alias("kept_id"))
     left = told.withColumn("kept_id", own_id(F.col("doc_key"), F.col("doc_text"))).join(gone, "kept_id", "left_anti")

@@ -7,8 +7,8 @@ to an open sequence that can take it under every capacity, chosen by one of two
 * `norm`: the smallest weighted norm of what remains free afterwards;
 * `dot`: the largest weighted dot product of the piece's needs and the free capacities.
 
-Pieces are dealt out evenly to tasks of `group` pieces at most and packed there from the longest to the
-shortest, so a task's memory is bounded and each task leaves about one sequence half empty.
+Pieces are dealt out evenly to tasks of about `group` pieces and packed there from the longest to the
+shortest, in groups where a task gets more. So a task's memory is bounded and each group leaves about one sequence half empty.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ class Capacity:
 
 
 PIECE_FIELDS = "piece int, start long, length long, ids_crc32 long"
+#: Bytes of text per token, rather too few than too many, so that tasks get no more pieces than they should.
+TOKEN_BYTES = 3
 
 
 def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
@@ -76,33 +78,57 @@ def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, text
     return cut.select("row.*", *[c for c in cut.columns if c != "row"])
 
 
-def pack(parts: DataFrame, capacity: Capacity = Capacity(), length: str = "length", group: int = 20_000) -> DataFrame:
+def expected(docs: DataFrame, tokens: int = 2048, text: str = "text") -> int:
+    """About how many rows `pieces` gives, by the lengths of the texts: to deal them out, not to count them."""
+    size = F.coalesce(F.octet_length(docs[text]), F.lit(0))
+    return docs.agg(F.sum(1 + F.floor(size / (TOKEN_BYTES * tokens)))).first()[0] or 0
+
+
+def pack(parts: DataFrame, capacity: Capacity = Capacity(), length: str = "length", group: int = 20_000, rows: int | None = None) -> DataFrame:
     """All columns of `parts` with `sequence_id` (unique, no meaning) and `offset` of each piece in its sequence.
 
     Pieces must not be longer than a sequence; null lengths are an error. An empty table gives no rows.
     Columns already named `sequence_id` or `offset` are replaced.
+
+    With `rows`, about how many there are, they are dealt out as they are made and move once, which is all that is
+    stored of them. Without it they are written and counted first; wide rows then take twice the disk.
     """
     if capacity.rule not in ("norm", "dot"):
         raise ValueError(f"unknown rule {capacity.rule}")
-    table = pin(parts.drop("sequence_id", "offset"), "pieces")
-    tasks = max(1, -(-table.count() // group))
+    table = parts.drop("sequence_id", "offset")
+    if rows is None:
+        table = pin(table, "pieces")
+        rows = table.count()
+    tasks = max(1, -(-rows // group))
     carried = table.repartition(tasks).select(F.struct(*[table[c] for c in table.columns]).alias("row"), F.col(length).cast("long").alias("value"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        sequence, offset = best_fit(rows.column("value").to_numpy(), capacity)
-        base = TaskContext.get().partitionId() << 40
-        out = pa.table([rows.column("row"), pa.array(sequence + base, pa.int64()), pa.array(offset, pa.int64())], names=["row", "sequence_id", "offset"])
-        yield from out.to_batches(max_chunksize=1000)
+        first = TaskContext.get().partitionId() << 40
+        for taken in grouped(batches, group):
+            sequence, offset = best_fit(taken.column("value").to_numpy(), capacity)
+            out = pa.table([taken.column("row"), pa.array(sequence + first, pa.int64()), pa.array(offset, pa.int64())], names=["row", "sequence_id", "offset"])
+            yield from out.to_batches(max_chunksize=1000)
+            first += int(sequence.max()) + 1
 
     row_type = carried.schema["row"].dataType.simpleString()
     placed = carried.mapInArrow(run, f"row {row_type}, sequence_id long, offset long")
     return placed.select("row.*", "sequence_id", "offset")
 
 
+def grouped(batches: Iterable[pa.RecordBatch], group: int) -> Iterator[pa.Table]:
+    """All rows in groups of `group`; the last has a quarter of that to five quarters, or all where there are fewer."""
+    held, n, most = [], 0, group + -(-group // 4)
+    for batch in rebatched(batches, group):
+        held.append(batch)
+        n += batch.num_rows
+        while n > most:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield rows.slice(0, group).combine_chunks()
+            held, n = rows.slice(group).to_batches(), n - group
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each length, longest first, ties in the given order."""
     lengths = lengths.astype(np.int64)

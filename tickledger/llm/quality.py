@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickledger.llm.base import let
-from tickledger.workspace import pin
+from tickledger.workspace import pin, pin_alone
 
 WORD = r"[^\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -130,6 +130,12 @@ def judged(docs: DataFrame, settings: Settings = Settings(), keep: tuple[str, ..
 def squared_distance(table: DataFrame, settings: Settings) -> DataFrame:
     """`table` with `distance`, null only where a language and source has no document that passes the base rules."""
     placed = table.select("*", *[make().alias(name) for name, make in (STATISTICS | LEVELS).items()])
+    judges = pin_alone(table.sparkSession, lambda: _judges(placed, settings), "judges")
+    return _with_distance(placed, judges, "own").drop(*LEVELS)
+
+
+def _judges(placed: DataFrame, settings: Settings) -> DataFrame:
+    """The estimate, with its factor, that the documents of each language and source are judged by."""
     narrow = pin(placed.where(~F.col("base_failed")).select(*LEVELS, *DIMENSIONS), "vectors")
     inner = narrow.select(F.explode(F.array(*LEVELS)).alias("group"), *DIMENSIONS)
     factor = pin(factored(starts(inner, settings)), "factor")
@@ -137,8 +143,7 @@ def squared_distance(table: DataFrame, settings: Settings) -> DataFrame:
         factor = pin(factored(concentrated(inner, factor, settings)), "factor")
     sizes = inner.groupBy("group").agg(F.count("*").alias("size"))
     estimates = pin(smallest(factor).join(sizes, "group"), "estimates")
-    judges = pin(factored(shrunk(narrow.select(*LEVELS).distinct(), estimates, settings)), "judges")
-    return _with_distance(placed, judges, "own").drop(*LEVELS)
+    return factored(shrunk(narrow.select(*LEVELS).distinct(), estimates, settings))
 
 
 def smallest(factor: DataFrame) -> DataFrame:
@@ -214,12 +219,18 @@ def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 def factored(estimate: DataFrame) -> DataFrame:
     """The estimates and the Cholesky factor L (`l00 ..`) of each covariance."""
-    factor = estimate
-    for i, j in _lower():
-        rest = F.col(f"c{i}{j}")
+
+    def rest(i: int, j: int) -> Column:
+        left = F.col(f"c{i}{j}")
         for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        factor = factor.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+            left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        return left
+
+    factor = estimate
+    for j in range(len(DIMENSIONS)):  # a column of L at a time, so that plans stay short
+        factor = factor.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest(j, j), F.lit(1e-12))))
+        if below := {f"l{i}{j}": rest(i, j) / F.col(f"l{j}{j}") for i in range(j + 1, len(DIMENSIONS))}:
+            factor = factor.withColumns(below)
     return factor
 
 

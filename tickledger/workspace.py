@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Where `pin` notes what it writes while `pin_alone` makes a table.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -46,4 +50,31 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pin_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """`pin` what `make` gives; the tables that it pins on the way are deleted as soon as that is written.
+
+    Nothing but the result may read those tables later.
+    """
+    written: list[str] = []
+    before = _WRITTEN.set(written)
+    try:
+        table = pin(make(), label)
+    finally:
+        _WRITTEN.reset(before)
+    *on_the_way, result = written
+    for path in on_the_way:
+        _delete(spark, path)
+    if (outer := _WRITTEN.get()) is not None:
+        outer.append(result)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own file systems, so wherever Spark can write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
