@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -154,3 +155,51 @@ def test_spans_are_byte_ranges(spark):
     rows = [(1, "é" * 40), (2, "x" + "é" * 40 + "y")]
     cut = S.cut(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 2").select(F.get("spans", F.lit(0)), "kept").first()
     assert (cut[0]["start"], cut[0]["end"], bytes(cut[1])) == (1, 81, b"xy")
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_anchors_take_little_memory():
+    data = np.random.default_rng(5).integers(97, 123, 6_000_000, dtype=np.uint8).tobytes()
+    texts = [data[i : i + 3000] for i in range(0, len(data), 3000)]
+    assert peak_mb(lambda: [None for _ in S.anchors_of(texts)]) < 40
+
+
+def test_contexts_are_compared_by_slices():
+    """Little memory beside the bucket's own, and the windows found at one go."""
+    rng = np.random.default_rng(6)
+    contexts = np.tile(rng.integers(97, 101, (20_000, S.WIDTH), dtype=np.uint8), (4, 1))
+    contexts[:, -4:] = rng.integers(97, 101, (len(contexts), 4))
+    near, far = rng.integers(0, 5, len(contexts)), rng.integers(5, 35, len(contexts))
+    ids = rng.integers(0, 5000, len(contexts))
+    parts = [set(zip(w.tolist(), o.tolist(), strict=True)) for w, o in S.held_before(contexts, near, far, ids)]
+    whole = set(zip(*(x.tolist() for x in S._held_before(contexts, near, far, ids)), strict=True))
+    assert len(parts) > 3
+    assert set().union(*parts) == whole
+    assert sum(map(len, parts)) == len(whole) > 100_000
+    assert peak_mb(lambda: [None for _ in S.held_before(contexts, near, far, ids)]) < 25
+
+
+def test_shared_hashes_are_found_by_slices():
+    rng = np.random.default_rng(7)
+    hashes, ids = rng.integers(0, 30_000, 60_000).astype(np.uint64), rng.integers(0, 3, 60_000)
+    holders = {}
+    for h, i in zip(hashes.tolist(), ids.tolist(), strict=True):
+        holders.setdefault(h, set()).add(i)
+    assert sorted(S.in_several(hashes, ids).tolist()) == [k for k, h in enumerate(hashes.tolist()) if len(holders[h]) > 1]
+
+
+def test_replies_go_in_small_rows():
+    rng = np.random.default_rng(8)
+    columns = [rng.integers(0, 1000, 50_000) for _ in range(4)]
+    rows = S._replies(2, False, *columns).to_pylist()
+    assert max(len(r["ids"]) for r in rows) <= 8 * 4096
+    got = [np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]).tolist() for c in ("ids", "prints", "firsts", "seconds")]
+    assert sorted(zip(*got, strict=True)) == sorted(zip(*(c.tolist() for c in columns), strict=True))

@@ -42,10 +42,14 @@ WIDTH = REACH + LENGTH
 #: Null ids count as larger than all others.
 NO_ID = 2**63 - 1
 #: Bytes that one numpy step works on, and anchors that a task gathers before it sends them.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 18
 #: Bits of a position within a step, of twice STEP_BYTES at most.
 PLACE_BITS = 23
 SENT_ANCHORS = 400_000
+#: Anchors (or half as many contexts) in a row of a shuffle, so that no row is large for the JVM's heap.
+ROW_ANCHORS = 4096
+#: Entries of a bucket that are compared at a time; those of one hash stay together, however many they are.
+SLICE = 16_384
 BATCH_ROWS = 256
 #: Words of eight bytes that the quicksort looks at before tries take over, also where so few strings are left.
 SHALLOW_WORDS = 2
@@ -56,8 +60,8 @@ SMALL = 32
 class Settings:
     """How work is dealt out; results depend on none of these."""
 
-    bucket_anchors: int = 1_000_000
-    bucket_contexts: int = 250_000
+    bucket_anchors: int = 500_000
+    bucket_contexts: int = 125_000
     sampled_documents: int = 20_000
     hot_documents: int = 4096  # an anchor in so many documents, by the sample's estimate, takes the path of windows
     least_seen: int = 10  # and it must be in so many documents of the sample
@@ -275,12 +279,39 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], of
 
 
-def held_before(contexts: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context number and distance o of each window that also starts in a document with a smaller id.
+def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value and the places that have it, in order."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], values[order][1:] != values[order][:-1]]))
+    for group in np.split(order, cuts[1:]):
+        yield int(values[group[0]]), group
+
+
+def _slices(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """All places, about SLICE at a time, those of one hash together."""
+    for _, here in _by_value((_mix(hashes) % np.uint64(-(-len(hashes) // SLICE))).astype(np.int32)):
+        yield here
+
+
+def _anchor_hashes(contexts: np.ndarray) -> np.ndarray:
+    """Hashes of the anchors' bytes."""
+    grams = np.ascontiguousarray(contexts[:, REACH : REACH + GRAM]).view("<u8")
+    return _mix(_mix(grams[:, 0]) * np.uint64(0xD1342543DE82EF95) + grams[:, 1])
+
+
+def held_before(contexts: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Context number and distance o of each window that also starts in a document with a smaller id, a slice of the contexts at a time.
 
     A context has WIDTH bytes, its anchor behind the first REACH; its windows start `near` to `far` bytes before the anchor.
-    Equal contexts are sorted once.
+    Equal windows have equal anchors, so a slice has all contexts of some anchors.
     """
+    for here in _slices(_anchor_hashes(contexts)):
+        which, distance = _held_before(contexts[here], near[here], far[here], ids[here])
+        yield here[which], distance
+
+
+def _held_before(contexts: np.ndarray, near: np.ndarray, far: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`held_before` at one go. Equal contexts are sorted once."""
     first, of = distinct_rows(np.column_stack([contexts, near.astype(np.uint8), far.astype(np.uint8)]))
     contexts, near, far = contexts[first], near[first], far[first]
     smallest = np.full(len(first), NO_ID)
@@ -319,9 +350,9 @@ def _numbers(row: dict, name: str, kind: str = "<i8") -> np.ndarray:
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one `key` after the other of a partition sorted by it."""
+    """Rows of one `key` after the other of a partition sorted by it; who has read them may clear the list."""
     held: list[dict] = []
-    for batch in rebatched(batches, 64):
+    for batch in rebatched(batches, 8):
         for row in batch.to_pylist():
             if held and row[key] != held[0][key]:
                 yield held[0][key], held
@@ -331,6 +362,13 @@ def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
+def _rows_of(values: np.ndarray, most: int = ROW_ANCHORS) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value and the places that have it, `most` at a time."""
+    for value, group in _by_value(values):
+        for start in range(0, len(group), most):
+            yield value, group[start : start + most]
+
+
 def _emitted(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
@@ -357,14 +395,6 @@ def _texts_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarra
     return batch.column("text").cast(pa.binary()).to_pylist(), batch.column("id").to_numpy(), batch.column("print").to_numpy()
 
 
-def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each distinct value and the places that have it, in order."""
-    order = np.argsort(values, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], values[order][1:] != values[order][:-1]]))
-    for group in np.split(order, cuts[1:]):
-        yield int(values[group[0]]), group
-
-
 def _documents(of: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Rising document numbers anew from 0, and the ids and prints of those documents."""
     new = np.concatenate([[True], of[1:] != of[:-1]])
@@ -385,7 +415,7 @@ def _sent_anchors(texts: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             if len(hot):
                 bucket[np.isin(hashes, hot)] = buckets + (part * 31 + n_sent) % buckets  # known to be shared: any task will do
             rows = []
-            for b, group in _by_value(bucket):
+            for b, group in _rows_of(bucket):
                 rows.append((b % buckets, b >= buckets, hashes[group].tobytes(), places[group].tobytes(), *_documents(of[group], ids, prints)))
             return _emitted(rows, _ANCHORS)
 
@@ -417,7 +447,7 @@ def _by_document(ids: np.ndarray, prints: np.ndarray, values: list[np.ndarray])
 def _replies(groups: int, hot: bool, ids: np.ndarray, prints: np.ndarray, firsts: np.ndarray, seconds: np.ndarray) -> pa.RecordBatch:
     group = (_mix(ids.astype(np.uint64) ^ _mix(prints.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
     columns = [x.astype("<i8") for x in (ids, prints, firsts, seconds)]
-    return _emitted([(g, hot, *[c[here].tobytes() for c in columns]) for g, here in _by_value(group)], _REPLIES)
+    return _emitted([(g, hot, *[c[here].tobytes() for c in columns]) for g, here in _rows_of(group)], _REPLIES)
 
 
 def _per_document(replies: DataFrame, groups: int) -> DataFrame:
@@ -436,6 +466,17 @@ def _per_document(replies: DataFrame, groups: int) -> DataFrame:
     return _dealt(replies, "group", groups).mapInArrow(run, _form(_PER_DOCUMENT))
 
 
+def in_several(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the hashes that come with more than one id."""
+    found = []
+    for here in _slices(hashes):
+        order = here[np.argsort(hashes[here], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+        shared = np.minimum.reduceat(ids[order], cuts) < np.maximum.reduceat(ids[order], cuts)
+        found.append(order[np.repeat(shared, np.diff(np.append(cuts, len(order))))])
+    return np.concatenate(found)
+
+
 def _shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
     """Places of the anchors that more than one document has, as replies."""
 
@@ -450,11 +491,7 @@ def _shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
                 prints = np.concatenate([_numbers(r, "prints")[d] for r, d in zip(held, docs, strict=True)])
                 places = np.concatenate([_numbers(r, "places") for r in held])
                 if not hot:
-                    hashes = np.concatenate([_numbers(r, "hashes", "<u8") for r in held])
-                    order = np.argsort(hashes, kind="stable")
-                    cuts = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
-                    shared = np.minimum.reduceat(ids[order], cuts) < np.maximum.reduceat(ids[order], cuts)
-                    kept = order[np.repeat(shared, np.diff(np.append(cuts, len(order))))]
+                    kept = in_several(np.concatenate([_numbers(r, "hashes", "<u8") for r in held]), ids)
                     ids, prints, places = ids[kept], prints[kept], places[kept]
                 if len(ids):
                     yield _replies(buckets, hot, ids, prints, places, np.zeros(len(ids), np.int64))
@@ -503,9 +540,8 @@ def _sent_contexts(spotted: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(held, ids, prints) -> pa.RecordBatch:
             contexts, of, places = (np.concatenate([h[i] for h in held]) for i in range(3))
-            grams = np.ascontiguousarray(contexts[:, REACH : REACH + GRAM]).view("<u8")
-            bucket = (_mix(_mix(grams[:, 0]) * np.uint64(0xD1342543DE82EF95) + grams[:, 1]) % np.uint64(buckets)).astype(np.int64)
-            rows = [(b, contexts[group].tobytes(), places[group].tobytes(), *_documents(of[group], ids, prints)) for b, group in _by_value(bucket)]
+            bucket = (_anchor_hashes(contexts) % np.uint64(buckets)).astype(np.int64)
+            rows = [(b, contexts[group].tobytes(), places[group].tobytes(), *_documents(of[group], ids, prints)) for b, group in _rows_of(bucket, ROW_ANCHORS // 2)]
             return _emitted(rows, _CONTEXTS)
 
         held, tables, count = [], [], 0
@@ -514,8 +550,8 @@ def _sent_contexts(spotted: DataFrame, buckets: int) -> DataFrame:
             tables.append((ids, prints))
             for i, (text, blob) in enumerate(zip(data, batch.column("places").to_pylist(), strict=True)):
                 all_places = np.frombuffer(blob, "<i8")
-                for start in range(0, len(all_places), SENT_ANCHORS // 8):
-                    places = all_places[start : start + SENT_ANCHORS // 8]
+                for start in range(0, len(all_places), ROW_ANCHORS):
+                    places = all_places[start : start + ROW_ANCHORS]
                     number = i + sum(len(t[0]) for t in tables[:-1])
                     held.append((_around(np.frombuffer(text, np.uint8), *_unpacked(places)), np.full(len(places), number), places))
                     count += len(places)
@@ -528,14 +564,14 @@ def _sent_contexts(spotted: DataFrame, buckets: int) -> DataFrame:
     return spotted.mapInArrow(run, _form(_CONTEXTS))
 
 
-def _window_spans(groups: int, ids: np.ndarray, prints: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """The spans of windows, put together for each document, as replies."""
+def _window_spans(ids: np.ndarray, prints: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of windows, put together for each document: ids, prints, starts, ends."""
     order = np.lexsort((starts, prints, ids))
     ids, prints, starts = ids[order], prints[order], starts[order]
     other = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
     cut = np.flatnonzero(np.concatenate([[True], other | (starts[1:] > starts[:-1] + LENGTH)]))
     ends = starts[np.append(cut[1:], len(starts)) - 1] + LENGTH
-    return _replies(groups, False, ids[cut], prints[cut], starts[cut], ends)
+    return ids[cut], prints[cut], starts[cut], ends
 
 
 def _spans_of_contexts(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
@@ -546,9 +582,10 @@ def _spans_of_contexts(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
             ids = np.concatenate([_numbers(r, "ids")[d] for r, d in zip(rows, docs, strict=True)])
             prints = np.concatenate([_numbers(r, "prints")[d] for r, d in zip(rows, docs, strict=True)])
             at, near, far = _unpacked(np.concatenate([_numbers(r, "places") for r in rows]))
-            which, distance = held_before(contexts, near, far, ids)
-            if len(which):
-                yield _window_spans(groups, ids[which], prints[which], at[which] - distance)
+            rows.clear()
+            spans = [_window_spans(ids[w], prints[w], at[w] - distance) for w, distance in held_before(contexts, near, far, ids) if len(w)]
+            if spans:
+                yield _replies(groups, False, *map(np.concatenate, zip(*spans, strict=True)))
 
     return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_REPLIES))
 
@@ -639,7 +676,7 @@ def _spans_of_windows(asked: DataFrame, answered: DataFrame, groups: int) -> Dat
             ids, prints = _numbers(own, "ids")[docs], _numbers(own, "prints")[docs]
             late = ids > least[of]
             if late.any():
-                yield _window_spans(groups, ids[late], prints[late], starts[late])
+                yield _replies(groups, False, *_window_spans(ids[late], prints[late], starts[late]))
 
     return together.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, _form(_REPLIES))
 
