@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickledger.llm import suffix_dedup as S
+from tickledger.workspace import shared_folder
 
 SCHEMA = "doc_id long, text string"
 
@@ -203,3 +206,62 @@ def test_replies_go_in_small_rows():
     assert max(len(r["ids"]) for r in rows) <= 8 * 4096
     got = [np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]).tolist() for c in ("ids", "prints", "firsts", "seconds")]
     assert sorted(zip(*got, strict=True)) == sorted(zip(*(c.tolist() for c in columns), strict=True))
+
+
+def prose_of(rng, n):
+    words = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(500)]
+    return [(i, i * 2654435761 - 2**62, " ".join(rng.choice(words) for _ in range(120))) for i in range(n)]
+
+
+def test_blobs_come_back_from_a_shuffle():
+    rng = np.random.default_rng(9)
+    for blob in (b"", bytes(80), rng.bytes(8000), np.arange(1000, dtype="<i8").tobytes()):
+        for number_bytes in (1, 8):
+            sent = S._squeezed(blob, number_bytes)
+            assert S._unsqueezed(sent) == blob
+            assert len(sent) <= len(blob) + 5
+    assert len(S._squeezed(np.arange(1000, dtype="<i8").tobytes(), 8)) < 1500
+
+
+def test_anchors_take_few_bytes_in_the_shuffle(spark):
+    """Within a bucket 32 bits of a hash are enough, and places and documents of neighbours are much alike."""
+    rows = prose_of(random.Random(5), 600)
+    texts = spark.createDataFrame(rows, "id long, print long, text string").coalesce(1)
+    count = sum(len(h) for h, _, _ in S.anchors_of(r[2].encode() for r in rows))
+    blobs = ["hashes", "places", "docs", "ids", "prints"]
+    sent = sum(len(r[c]) for r in S._sent_anchors(texts, 2, np.empty(0, np.uint64)).collect() for c in blobs)
+    assert sent < 12 * count
+
+
+def test_contexts_take_few_bytes_in_the_shuffle(spark):
+    rows = prose_of(random.Random(6), 200)
+    places = [np.concatenate([p for _, _, p in S.anchors_of([r[2].encode()])]) for r in rows]
+    spotted = spark.createDataFrame([(*r, p.astype("<i8").tobytes()) for r, p in zip(rows, places, strict=True)], "id long, print long, text string, places binary")
+    sent = sum(len(r[c]) for r in S._sent_contexts(spotted.coalesce(1), 2).collect() for c in ("contexts", "places", "docs", "ids", "prints"))
+    assert sent < 60 * sum(map(len, places))
+
+
+def test_disk_is_given_up_on_the_way(spark, mixed):
+    """Neither shuffle files nor tables that nothing reads any more stay, and the session's setting is as before."""
+
+    def shuffled():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for top in disk.localDirsString() for _, _, files in os.walk(top) for f in files if f.startswith("shuffle_")}
+
+    def tables():
+        folder = f"{shared_folder(spark)}/tickledger"
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(setting, None) is None
+    docs = spark.createDataFrame(mixed, SCHEMA)
+    files, before = shuffled(), tables()
+    cut = S.cut(docs, S.Settings(hot_documents=3, least_seen=2))
+    for _ in range(50):  # Spark deletes them in the background
+        if shuffled() <= files:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= files
+    assert sorted(t.rsplit("-", 1)[0] for t in tables() - before) == ["bloom-filter", "repeats"]
+    assert spark.conf.get(setting, None) is None
+    assert cut.count() == len(mixed)

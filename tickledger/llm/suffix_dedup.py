@@ -18,6 +18,8 @@ run of windows that chose it.
 Anchors in very many different documents (found in a bounded sample of documents, which moves them to another path and
 changes no result) would fill one bucket. Their windows are compared by a 128-bit hash: batches of documents ask once for each different
 window, so a window is asked for once per batch, however many documents hold it, and the smallest id comes back.
+
+What shuffles and tables on the way take on disk is given up as soon as nothing reads it; blobs pass the shuffles compressed.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tickledger.llm.base import rebatched
 from tickledger.llm.url_filter import filter_of, probe
-from tickledger.workspace import pin
+from tickledger.workspace import pin, pin_alone, shuffles_dropped
 
 LENGTH = 50
 GRAM = 16
@@ -345,8 +347,35 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- Spark
 
 
+#: Bytes of a number in the blobs; those of equal significance are compressed together. Others are compressed as they are.
+_NUMBER_BYTES = dict.fromkeys(["places", "ids", "firsts", "seconds", "numbers", "least", "starts"], 8)
+
+
+def _squeezed(blob: bytes, number_bytes: int) -> bytes:
+    """The blob compressed, behind the size of its numbers and its own (0 where it stays as it is, as random numbers do)."""
+    planes = np.frombuffer(blob, np.uint8).reshape(-1, number_bytes).T.tobytes() if number_bytes > 1 else blob
+    small = pa.compress(planes, codec="zstd", asbytes=True)
+    head = bytes([number_bytes])
+    return head + len(blob).to_bytes(4, "little") + small if len(small) < len(blob) else head + bytes(4) + planes
+
+
+def _unsqueezed(blob: bytes) -> bytes:
+    number_bytes, size, rest = blob[0], int.from_bytes(blob[1:5], "little"), blob[5:]
+    planes = pa.decompress(rest, size, codec="zstd", asbytes=True) if size else rest
+    return np.frombuffer(planes, np.uint8).reshape(number_bytes, -1).T.tobytes() if number_bytes > 1 and planes else planes
+
+
+def _to_send(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch as it passes a shuffle: `_numbers` reads its blobs."""
+    columns = [
+        pa.array([b if b is None else _squeezed(b, _NUMBER_BYTES.get(name, 1)) for b in column.to_pylist()], pa.binary()) if column.type == pa.binary() else column
+        for name, column in zip(batch.schema.names, batch.columns, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def _numbers(row: dict, name: str, kind: str = "<i8") -> np.ndarray:
-    return np.frombuffer(row[name], kind)
+    return np.frombuffer(_unsqueezed(row[name]), kind)
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -396,9 +425,21 @@ def _texts_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarra
 
 
 def _documents(of: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Rising document numbers anew from 0, and the ids and prints of those documents."""
+    """Of rising document numbers a byte each, 1 where a document begins, and the ids and prints of those documents."""
     new = np.concatenate([[True], of[1:] != of[:-1]])
-    return (np.cumsum(new) - 1).astype("<i4").tobytes(), ids[of[new]].astype("<i8").tobytes(), prints[of[new]].astype("<i8").tobytes()
+    return new.tobytes(), ids[of[new]].astype("<i8").tobytes(), prints[of[new]].astype("<i8").tobytes()
+
+
+def _holders(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Id and print of the document of each entry of the rows that `_documents` made."""
+    docs = [np.cumsum(_numbers(r, "docs", np.uint8), dtype=np.int64) - 1 for r in rows]
+    ids, prints = (np.concatenate([_numbers(r, name)[d] for r, d in zip(rows, docs, strict=True)]) for name in ("ids", "prints"))
+    return ids, prints
+
+
+def _in_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """32 bits of each hash, without what all of a bucket share. Different hashes that agree in them cost a comparison of contexts."""
+    return (hashes // np.uint64(buckets)).astype("<u4")
 
 
 def _sent_anchors(texts: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -416,8 +457,9 @@ def _sent_anchors(texts: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 bucket[np.isin(hashes, hot)] = buckets + (part * 31 + n_sent) % buckets  # known to be shared: any task will do
             rows = []
             for b, group in _rows_of(bucket):
-                rows.append((b % buckets, b >= buckets, hashes[group].tobytes(), places[group].tobytes(), *_documents(of[group], ids, prints)))
-            return _emitted(rows, _ANCHORS)
+                sent = b"" if b >= buckets else _in_bucket(hashes[group], buckets).tobytes()
+                rows.append((b % buckets, b >= buckets, sent, places[group].tobytes(), *_documents(of[group], ids, prints)))
+            return _to_send(_emitted(rows, _ANCHORS))
 
         held, tables, count = [], [], 0
         for batch in rebatched(batches, BATCH_ROWS):
@@ -486,15 +528,14 @@ def _shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
                 held = [r for r in rows if r["hot"] == hot]
                 if not held:
                     continue
-                docs = [_numbers(r, "docs", "<i4") for r in held]
-                ids = np.concatenate([_numbers(r, "ids")[d] for r, d in zip(held, docs, strict=True)])
-                prints = np.concatenate([_numbers(r, "prints")[d] for r, d in zip(held, docs, strict=True)])
+                ids, prints = _holders(held)
                 places = np.concatenate([_numbers(r, "places") for r in held])
                 if not hot:
-                    kept = in_several(np.concatenate([_numbers(r, "hashes", "<u8") for r in held]), ids)
+                    hashes = np.concatenate([_numbers(r, "hashes", "<u4") for r in held])
+                    kept = np.sort(in_several(hashes.astype(np.uint64), ids))  # a document's places together
                     ids, prints, places = ids[kept], prints[kept], places[kept]
                 if len(ids):
-                    yield _replies(buckets, hot, ids, prints, places, np.zeros(len(ids), np.int64))
+                    yield _to_send(_replies(buckets, hot, ids, prints, places, np.zeros(len(ids), np.int64)))
 
     return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_REPLIES))
 
@@ -542,7 +583,7 @@ def _sent_contexts(spotted: DataFrame, buckets: int) -> DataFrame:
             contexts, of, places = (np.concatenate([h[i] for h in held]) for i in range(3))
             bucket = (_anchor_hashes(contexts) % np.uint64(buckets)).astype(np.int64)
             rows = [(b, contexts[group].tobytes(), places[group].tobytes(), *_documents(of[group], ids, prints)) for b, group in _rows_of(bucket, ROW_ANCHORS // 2)]
-            return _emitted(rows, _CONTEXTS)
+            return _to_send(_emitted(rows, _CONTEXTS))
 
         held, tables, count = [], [], 0
         for batch in rebatched(batches, 32):
@@ -578,14 +619,12 @@ def _spans_of_contexts(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "bucket"):
             contexts = np.concatenate([_numbers(r, "contexts", np.uint8).reshape(-1, WIDTH) for r in rows])
-            docs = [_numbers(r, "docs", "<i4") for r in rows]
-            ids = np.concatenate([_numbers(r, "ids")[d] for r, d in zip(rows, docs, strict=True)])
-            prints = np.concatenate([_numbers(r, "prints")[d] for r, d in zip(rows, docs, strict=True)])
+            ids, prints = _holders(rows)
             at, near, far = _unpacked(np.concatenate([_numbers(r, "places") for r in rows]))
             rows.clear()
             spans = [_window_spans(ids[w], prints[w], at[w] - distance) for w, distance in held_before(contexts, near, far, ids) if len(w)]
             if spans:
-                yield _replies(groups, False, *map(np.concatenate, zip(*spans, strict=True)))
+                yield _to_send(_replies(groups, False, *map(np.concatenate, zip(*spans, strict=True))))
 
     return _dealt(sent, "bucket", buckets).mapInArrow(run, _form(_REPLIES))
 
@@ -638,7 +677,7 @@ def _asked_windows(spotted: DataFrame, buckets: int) -> DataFrame:
             for b in np.unique(bucket).tolist():
                 mine = np.flatnonzero(bucket == b)
                 out.append((b, name, mine.astype("<i8").tobytes(), distinct[mine].tobytes(), least[mine].tobytes(), nothing, nothing, nothing, nothing))
-            yield _emitted(out, _ASKED)
+            yield _to_send(_emitted(out, _ASKED))
 
     return spotted.mapInArrow(run, _form(_ASKED))
 
@@ -652,10 +691,11 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
             distinct, of = _distinct(keys)
             least = np.full(len(distinct), NO_ID)
             np.minimum.at(least, of, np.concatenate([_numbers(r, "least") for r in rows]))
-            cut = np.cumsum([len(r["numbers"]) // 8 for r in rows])
-            made = [(r["batch"], r["numbers"], least[mine].tobytes()) for r, mine in zip(rows, np.split(of, cut[:-1]), strict=True)]
+            numbers = [_numbers(r, "numbers") for r in rows]
+            cut = np.cumsum([len(n) for n in numbers])
+            made = [(r["batch"], n.tobytes(), least[mine].tobytes()) for r, n, mine in zip(rows, numbers, np.split(of, cut[:-1]), strict=True)]
             for start in range(0, len(made), 64):
-                yield _emitted(made[start : start + 64], _ANSWERED)
+                yield _to_send(_emitted(made[start : start + 64], _ANSWERED))
 
     return _dealt(asked.where("bucket >= 0"), "bucket", buckets).mapInArrow(run, _form(_ANSWERED))
 
@@ -676,7 +716,7 @@ def _spans_of_windows(asked: DataFrame, answered: DataFrame, groups: int) -> Dat
             ids, prints = _numbers(own, "ids")[docs], _numbers(own, "prints")[docs]
             late = ids > least[of]
             if late.any():
-                yield _replies(groups, False, *_window_spans(ids[late], prints[late], starts[late]))
+                yield _to_send(_replies(groups, False, *_window_spans(ids[late], prints[late], starts[late])))
 
     return together.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, _form(_REPLIES))
 
@@ -710,7 +750,8 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     firsts = named.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = named.join(firsts, "sha").where("id > first").select("id", "print").distinct()
     copies = pin(copies.select("id", "print", _node(F.col("id"), F.col("print")).alias("node"), F.lit(True).alias("copy")), "copies")
-    texts = looked_up(plain.withColumn("own_node", _node(F.col("id"), F.col("print"))), "own_node", copies.select("node", "copy"), "copy").where("copy is null").drop("copy")
+    noded = plain.withColumn("own_node", _node(F.col("id"), F.col("print")))
+    texts = looked_up(noded, "own_node", copies.select("node", "copy"), "copy").where("copy is null").drop("copy")
 
     size = named.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")).first()
     buckets = max(2, -(-(size["bytes"] or 0) // (18 * settings.bucket_anchors)))
@@ -721,14 +762,19 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
 
     def spotted(hot_ones: bool) -> DataFrame:
         wanted = spots.where(F.col("hot") == hot_ones).select("node", "places")
-        return looked_up(texts, "own_node", wanted, "places").where("places is not null").select("id", "print", "text", "places")
+        # no copy is among them, so copies need not be taken out again
+        return looked_up(noded, "own_node", wanted, "places").where("places is not null").select("id", "print", "text", "places")
 
     counts = {r["hot"]: r["n"] for r in spots.groupBy("hot").agg(F.sum(F.expr("octet_length(places) div 8")).alias("n")).collect()}
     spans = None
-    if counts.get(True):
+
+    def of_windows() -> DataFrame:
         many = max(2, -(-17 * counts[True] // settings.bucket_anchors))
         asked = pin(_asked_windows(spotted(True), many), "asked-windows")
-        spans = _spans_of_windows(asked, _answered(asked, many), buckets)
+        return _spans_of_windows(asked, _answered(asked, many), buckets)
+
+    if counts.get(True):
+        spans = pin_alone(docs.sparkSession, of_windows, "spans-of-windows")
     if counts.get(False) or spans is None:
         many = max(2, -(-counts.get(False, 0) // settings.bucket_contexts))
         cold = _spans_of_contexts(_sent_contexts(spotted(False), many), many, buckets)
@@ -745,12 +791,15 @@ def cut(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
     compared with smaller ids only, never with each other. Texts below LENGTH bytes stay whole; of an empty table
     there are no rows. Other columns are not read.
     """
-    found = repeats(docs, settings, key, text)
-    listed = pin(found.select(_node(F.col("id"), F.col("print")).alias("node"), F.struct("firsts", "seconds").alias("found")), "repeats")
+    def found() -> DataFrame:
+        return repeats(docs, settings, key, text).select(_node(F.col("id"), F.col("print")).alias("node"), F.struct("firsts", "seconds").alias("found"))
+
     value = F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(docs[key].alias("key"), value.alias("text"), _node(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)), F.xxhash64(value)).alias("own_node"))
-    # short texts are in no table: their node is not looked up
-    marked = looked_up(rows.withColumn("own_node", F.when(F.octet_length("text") >= LENGTH, F.col("own_node"))), "own_node", listed, "found")
+    with shuffles_dropped(docs.sparkSession):
+        listed = pin_alone(docs.sparkSession, found, "repeats")
+        # short texts are in no table: their node is not looked up
+        marked = looked_up(rows.withColumn("own_node", F.when(F.octet_length("text") >= LENGTH, F.col("own_node"))), "own_node", listed, "found")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 32):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Where `pin` notes what it writes while `pin_alone` makes a table.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -74,6 +76,23 @@ def pin_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) ->
     return table
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query that is run within as soon as it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, however large they are.
+    """
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Delete a folder by Spark's own file systems, so wherever Spark can write."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
